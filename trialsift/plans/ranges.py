@@ -97,12 +97,15 @@ def cumulative(
     buckets: int | None = None,
     bounds: Sequence[float] | None = None,
     positions: Column | None = None,
+    nan_last: bool = False,
 ) -> DataFrame:
     """One row per group and distinct value of ``x``, with exact running totals.
 
     Columns: ``by``, ``x``, ``n`` and the ``sums`` of the value itself; ``n_before`` and
     ``<sum>_before`` over all values ordered before it; ``n_total`` and ``<sum>_total`` of the
-    group.  NULL and NaN values are left out.  ``weight`` counts pre-collapsed rows.
+    group.  NULL values are left out, and NaN values too unless ``nan_last``: then they form one
+    row with ``x`` NULL that comes after every other value in either direction and counts in the
+    totals.  ``weight`` counts pre-collapsed rows.
 
     ``positions`` is an optional array expression over ``n_total`` with zero-based row positions
     of interest.  Then only values covering such a position are returned, with the covered
@@ -117,15 +120,21 @@ def cumulative(
     measures.update({name: col(c) for name, c in sums.items()})
     totals = [F.sum(name).alias(name) for name in measures]
 
-    rows = df.where(known(x)).select(
-        *by, col(x).alias(x), *[c.alias(name) for name, c in measures.items()]
+    kept, value = known(x), col(x)
+    if nan_last:
+        kept, value = value.isNotNull(), F.when(known(x), value)
+    rows = df.where(kept).select(
+        *by, value.alias(x), *[c.alias(name) for name, c in measures.items()]
     )
     ranged = bool(bounds)
     if ranged:
         rows = with_ranges(rows, {BUCKET: (x, bounds)})
+        if nan_last:
+            outermost = F.lit(-1 if descending else len(bounds) + 1)
+            rows = rows.withColumn(BUCKET, F.coalesce(BUCKET, outermost))
 
     def order(column: str) -> Column:
-        return F.desc(column) if descending else F.asc(column)
+        return F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
 
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if not ranged:
@@ -213,18 +222,20 @@ def order_statistics(
     method: str = "linear",
     buckets: int | None = None,
     bounds: Sequence[float] | None = None,
+    nan_last: bool = False,
 ) -> DataFrame:
     """Exact quantiles of ``x`` per group, with the running totals on both sides of each.
 
     ``linear`` interpolates between the two neighbouring values, ``nearest`` takes the value at
     ``round(q * (n - 1))``.  Columns: ``by``, ``slot`` (index into ``probabilities``), ``q``,
-    ``value``, ``n_total``, ``<sum>_total``, and ``n_below`` / ``<sum>_below`` (rows strictly
+    ``value``, ``n_total``, ``<sum>_total`` (these count NaN rows too if ``nan_last``), and ``n_below`` / ``<sum>_below`` (rows strictly
     below the quantile) with ``n_upto`` / ``<sum>_upto`` (rows not above it).
     """
     by = list(by)
     sums = dict(sums or {})
+    extra = {"__valid": F.when(known(x), F.lit(1)).otherwise(F.lit(0)).cast("long")}
     qs = F.array(*[F.lit(float(q)) for q in probabilities])
-    last = F.col("n_total") - 1
+    last = F.col("__valid_total" if nan_last else "n_total") - 1
 
     def rank(q: Column) -> Column:
         exact = q * last.cast("double")
@@ -238,7 +249,16 @@ def order_statistics(
             )
         )
     )
-    table = cumulative(df, x, sums, by, buckets=buckets, bounds=bounds, positions=wanted)
+    table = cumulative(
+        df,
+        x,
+        {**sums, **extra} if nan_last else sums,
+        by,
+        buckets=buckets,
+        bounds=bounds,
+        positions=wanted,
+        nan_last=nan_last,
+    )
     points = table.withColumn("pos", F.explode("positions"))
     slots = F.transform(
         qs,
@@ -445,25 +465,81 @@ def at_or_before(keys: Sequence[Column], cutoff: Sequence) -> Column:
     return last
 
 
-def acceptance_level(
-    df: DataFrame,
-    score: str,
-    order: Sequence[str],
-    kept: Sequence[int],
-    n_total: int,
-    buckets: int | None = None,
-) -> Column:
-    """How many of the nested accepted sets (sizes ``kept``) a row belongs to.
+class NestedSets:
+    """The nested accepted sets of several abort rates over ``n_total`` rows.
+
+    All sets are prefixes of one order.  The level of a row is the number of distinct set sizes it
+    is accepted in, and a row belongs to the set of a rate when its level reaches ``need(rate)``.
+    """
+
+    def __init__(self, rates: Sequence[float], n_total: int):
+        self.n_total = n_total
+        self.rates = [(float(r), accepted_count(float(r), n_total)) for r in rates]
+        self.sizes = sorted({k for _, k in self.rates if k > 0}, reverse=True)
+
+    def level(
+        self, df: DataFrame, score: str, order: Sequence[str], buckets: int | None = None
+    ) -> Column:
+        inner = [k for k in self.sizes if k < self.n_total]
+        cutoffs = rank_cutoffs(df, score, order, inner, buckets)
+        keys = rank_keys(score, order)
+        level = F.lit(len(self.sizes) - len(inner))
+        for k in inner:
+            level = level + at_or_before(keys, cutoffs[k]).cast("int")
+        return level
+
+    def need(self, kept: int) -> int:
+        return self.sizes.index(kept) + 1 if kept > 0 else len(self.sizes) + 1
+
+    def points(self) -> Column:
+        """Literal array of (rate, kept, need), one entry per rate."""
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(r).alias("rate"),
+                    F.lit(k).cast("long").alias("kept"),
+                    F.lit(self.need(k)).alias("need"),
+                )
+                for r, k in self.rates
+            ]
+        )
+
+    def totals(self, cells: DataFrame, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+        """Per rate, the sums of ``measures`` over the accepted rows.
+
+        ``cells`` holds one row per group and level, so each group is a short list here.
+        """
+        listed = cells.groupBy(*by).agg(
+            F.collect_list(F.struct("level", *measures)).alias("__cells")
+        )
+        exploded = listed.withColumn("__p", F.explode(self.points()))
+        inside = F.filter("__cells", lambda c: c["level"] >= F.col("__p.need"))
+        return exploded.select(
+            *by,
+            F.col("__p.rate").alias("abort_rate"),
+            F.col("__p.kept").alias("kept"),
+            *[
+                F.aggregate(
+                    inside, F.lit(0).cast("long"), lambda acc, c, m=m: acc + c[m]
+                ).alias(m)
+                for m in measures
+            ],
+        )
+
+
+def attach(df: DataFrame, table: DataFrame, by: Sequence[str], limit: int = 100_000) -> DataFrame:
+    """Join one row per group of ``by`` onto ``df``.
 
-    The sets are prefixes of one order, so the level answers all of them: a row is in the set of
-    size ``kept[i]`` exactly when its level exceeds the number of larger sets.
+    Without grouping the table has a single row.  With grouping it is broadcast only if a count
+    shows at most ``limit`` groups; otherwise it is a shuffle join, with skewed groups split by
+    adaptive execution.
     """
-    sizes = list(kept)
-    inner = [k for k in sizes if 0 < k < n_total]
-    cutoffs = rank_cutoffs(df, score, order, inner, buckets)
-    keys = rank_keys(score, order)
-    level = F.lit(sum(1 for k in sizes if k >= n_total))
-    for k in sorted(set(inner)):
-        inside = at_or_before(keys, cutoffs[k])
-        level = level + F.when(inside, F.lit(inner.count(k))).otherwise(F.lit(0))
-    return level
+    if not by:
+        one = F.lit(1).alias("__one")
+        return (
+            df.select("*", one).join(F.broadcast(table.select("*", one)), "__one").drop("__one")
+        )
+    keys = list(by)
+    if table.select(*keys).limit(limit + 1).count() <= limit:
+        table = F.broadcast(table)
+    return df.join(table, keys)
