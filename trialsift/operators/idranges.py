@@ -130,8 +130,8 @@ def even_batches(
 
 
 def batch_sizes(total: int, batches: int) -> list[int]:
-    """Sizes of the even batches."""
-    if batches < 1:
-        raise ValueError("batches must be at least 1")
+    """Sizes of the even batches; none may be empty."""
+    if not 1 <= batches <= total:
+        raise ValueError("need 1 <= batches <= total")
     size, extra = divmod(total, batches)
     return [size + 1] * extra + [size] * (batches - extra)
