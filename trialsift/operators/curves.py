@@ -30,6 +30,7 @@ from trialsift.plans.ranges import (
     attach,
     cumulative,
     order_statistics,
+    summed,
     with_ranges,
 )
 
@@ -411,10 +412,7 @@ def sums_at_thresholds(
     return points.select(
         *by,
         F.col("p.threshold").alias("threshold"),
-        *[
-            F.aggregate(upto, F.lit(0).cast("long"), lambda acc, c, m=m: acc + c[m]).alias(m)
-            for m in measures
-        ],
+        *[summed(upto, m).alias(m) for m in measures],
         *[f"{m}_all" for m in measures],
     )
 

@@ -465,6 +465,11 @@ def at_or_before(keys: Sequence[Column], cutoff: Sequence) -> Column:
     return last
 
 
+def summed(cells: Column | str, field: str) -> Column:
+    """Sum of a long field over an array of structs."""
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda total, c: total + c[field])
+
+
 class NestedSets:
     """The nested accepted sets of several abort rates over ``n_total`` rows.
 
@@ -518,12 +523,7 @@ class NestedSets:
             *by,
             F.col("__p.rate").alias("abort_rate"),
             F.col("__p.kept").alias("kept"),
-            *[
-                F.aggregate(
-                    inside, F.lit(0).cast("long"), lambda acc, c, m=m: acc + c[m]
-                ).alias(m)
-                for m in measures
-            ],
+            *[summed(inside, m).alias(m) for m in measures],
         )
 
 
