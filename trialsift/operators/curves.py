@@ -33,6 +33,7 @@ from trialsift.plans.ranges import (
     summed,
     with_ranges,
 )
+from trialsift.session import settle
 
 
 def error_rate(
@@ -487,6 +488,8 @@ def postselect_ranked(
     cut positions are located; then one scan compares every trial with these literal cuts.
     """
     rates = check_rates(abort_rates)
+    columns = dict.fromkeys([*scores, *scores.values(), *order])
+    df, buckets = settle(df.select(*columns), buckets)
     n_total = df.count()
     sets = NestedSets(rates, n_total)
     entries = [
@@ -553,6 +556,8 @@ def decompose(
     buckets: int | None = None,
 ) -> DataFrame:
     """Split the gap between two post-selection curves into a decision and a ranking part."""
+    columns = dict.fromkeys([anchored, reselected, y0, y_star, *order])
+    df, buckets = settle(df.select(*columns), buckets)
     head = negative_rate(df, anchored).first()
     n_total, r_minus = head["n"], head["rate"] or 0.0
     if abort_rates is None:

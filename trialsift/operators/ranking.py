@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from trialsift.functions.exprs import col, flag, half_even, known, ratio
 from trialsift.functions.registry import SET_LABELS, check_rates
 from trialsift.operators.curves import sums_at_thresholds
-from trialsift.plans.ranges import NestedSets, cumulative
+from trialsift.plans.ranges import NestedSets, attach, cumulative
+from trialsift.session import settle
 
 
 def with_ranking_scores(
@@ -56,6 +57,7 @@ def accepted_overlap(
 ) -> DataFrame:
     """Agreement of the two accepted sets at every abort rate."""
     rates = check_rates(abort_rates)
+    df, buckets = settle(df.select(*dict.fromkeys([exact, comparison, *order])), buckets)
     n_total = df.count()
     sets = NestedSets(rates, n_total)
     both_level = F.least(
@@ -100,13 +102,19 @@ def _comparison_only(
 
     Rows are aggregated by their pair of levels first; only that table is spread over the rates.
     """
-    sets = NestedSets(check_rates(abort_rates), df.count())
-    pairs = df.select(
-        *keys,
-        sets.level(df, exact, order, buckets).alias("__le"),
-        sets.level(df, comparison, order, buckets).alias("__lc"),
+    rates = check_rates(abort_rates)
+    rows = df.select(
+        *dict.fromkeys([exact, comparison, *order, *keys]),
         *[c.alias(m) for m, c in measures.items()],
     )
+    rows, buckets = settle(rows, buckets)
+    sets = NestedSets(rates, rows.count())
+    pairs = rows.select(
+        *keys,
+        sets.level(rows, exact, order, buckets).alias("__le"),
+        sets.level(rows, comparison, order, buckets).alias("__lc"),
+        *measures,
+    )
     grouped = (
         pairs.where(F.col("__lc") > F.col("__le"))
         .groupBy(*keys, "__le", "__lc")
@@ -262,8 +270,6 @@ def threshold_sets(
     rows = rows.withColumns({exact: half_even(exact, digits), forced: half_even(forced, digits)})
     t = _rejections(rows, exact, forced, thresholds, {}, None, buckets)
     total = rows.agg(F.count("*").alias("n_total"))
-    from trialsift.plans.ranges import attach
-
     t = attach(t, total, [])
     entries = F.array(
         *[

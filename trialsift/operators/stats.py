@@ -21,6 +21,7 @@ from trialsift.plans.ranges import (
     sketch_bounds,
     with_ranges,
 )
+from trialsift.session import settle
 
 
 
@@ -192,18 +193,20 @@ def average_ranks(
     return table.select(x, middle.alias(f"rank_{x}"))
 
 
-def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
-    """One row: number of finite pairs and the rank correlation, from distinct pairs."""
+def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Finite pairs with their number of occurrences; a negative zero counts as zero."""
     zero = F.lit(0.0)
-    pairs = (
+    return (
         df.where(finite(x) & finite(y))
         .groupBy((col(x).cast("double") + zero).alias("x"), (col(y).cast("double") + zero).alias("y"))
         .agg(F.count("*").alias("w"))
     )
-    source = df.where(finite(x) & finite(y)).select(
-        col(x).cast("double").alias("x"), col(y).cast("double").alias("y")
-    )
-    bounds = sketch_bounds(source, {"x": "x", "y": "y"}, buckets)
+
+
+def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
+    """One row: number of finite pairs and the rank correlation, from distinct pairs."""
+    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
+    bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, buckets)
     ranked = pairs
     for c in ("x", "y"):
         table = average_ranks(pairs, c, "w", bounds=bounds[c])
@@ -358,12 +361,9 @@ def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFr
 
     Memory per task is one strip: about 1 / buckets of the distinct pairs.
     """
-    zero = F.lit(0.0)
-    usable = df.where(finite(x) & finite(y)).select(
-        (col(x).cast("double") + zero).alias("x"), (col(y).cast("double") + zero).alias("y")
-    )
-    pairs = usable.groupBy("x", "y").agg(F.count("*").alias("w"))
-    bounds = sketch_bounds(usable, {"x": "x", "y": "y"}, buckets)
+    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
+    # The grid has at most (2 * ranges)^2 cells and is counted in one task.
+    bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, min(buckets, 512))
     row = pairs.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
     for table in (
         _kendall_excess(pairs, bounds),

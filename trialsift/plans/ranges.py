@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import col, finite, known
-from trialsift.session import default_buckets
+from trialsift.session import default_buckets, settle
 
 BUCKET = "__range"
 
@@ -34,7 +34,7 @@ def sketch_bounds(
 
     A bound that repeats marks a value holding at least about ``1 / buckets`` of the rows.
     """
-    n = buckets or default_buckets(df.select(*[col(c).alias(k) for k, c in columns.items()]))
+    n = buckets or default_buckets(df)
     if n < 2:
         return {name: [] for name in columns}
     probabilities = [i / n for i in range(1, n)]
@@ -114,8 +114,6 @@ def cumulative(
     """
     by = list(by)
     sums = dict(sums or {})
-    if bounds is None:
-        bounds = sketch_bounds(df, {"x": x}, buckets)["x"]
     measures = {"n": F.lit(1).cast("long") if weight is None else col(weight).cast("long")}
     measures.update({name: col(c) for name, c in sums.items()})
     totals = [F.sum(name).alias(name) for name in measures]
@@ -126,6 +124,9 @@ def cumulative(
     rows = df.where(kept).select(
         *by, value.alias(x), *[c.alias(name) for name, c in measures.items()]
     )
+    if bounds is None:
+        rows, buckets = settle(rows, buckets, single_if_small=True)
+        bounds = sketch_bounds(rows, {"x": x}, buckets)["x"]
     ranged = bool(bounds)
     if ranged:
         rows = with_ranges(rows, {BUCKET: (x, bounds)})
@@ -395,6 +396,7 @@ def accept_rank(
 
     ``order`` columns must be numeric and make the order total.
     """
+    df, buckets = settle(df, buckets, single_if_small=True)
     plan = RankPlan(df, score, order, buckets)
     if plan.small:
         whole = Window.partitionBy(F.lit(0)).orderBy(*plan.keys)
@@ -424,7 +426,8 @@ def rank_cutoffs(
 ) -> dict[int, tuple]:
     """Sort keys of the rows at the given one-based ranks.
 
-    Only the cells holding a requested rank are sorted; no other row is shuffled.  The answer has
+    ``df`` is read three times (bounds, counts per cell, rows of the cells), so it should be a scan
+    or settled before.  Only the cells holding a requested rank are sorted; no other row is shuffled.  The answer has
     one row per requested rank, so it is returned to the driver.
     """
     wanted = sorted({int(r) for r in ranks if r >= 1})

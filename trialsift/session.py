@@ -64,15 +64,52 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Number of value ranges used to spread an ordered computation over the cluster.
+    """Number of value ranges used to spread a large ordered computation over the cluster.
 
-    One for a small input.  Otherwise a power of two near four ranges per shuffle partition, so
-    that the range size falls as the cluster grows; the list of bounds stays below 4096 numbers.
+    A power of two near four ranges per shuffle partition, so that the range size falls as the
+    cluster grows; the list of bounds stays below 4096 numbers.
     """
-    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return 1
     wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     buckets = 32
     while buckets < wanted and buckets < 4096:
         buckets *= 2
     return buckets
+
+
+# Plan nodes that make reading an input again expensive.
+_COSTLY = frozenset(
+    {
+        "Join", "Aggregate", "Window", "Sort", "RepartitionByExpression", "Repartition",
+        "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython",
+        "Expand", "RebalancePartitions",
+    }
+)
+
+
+def _costly(plan) -> bool:
+    if plan.nodeName() in _COSTLY:
+        return True
+    children = plan.children()
+    return any(_costly(children.apply(i)) for i in range(children.size()))
+
+
+def settle(
+    df: DataFrame, buckets: int | None = None, single_if_small: bool = False
+) -> tuple[DataFrame, int]:
+    """Make a narrow input fit for several passes, and choose its number of value ranges.
+
+    A small input is ordered in one task (one range).  A plain scan is read again for each pass.
+    The result of joins or aggregations is written to the shared folder once instead of being
+    recomputed, and its true size is known from then on; ``single_if_small`` says that a small one
+    is read only once anyway.
+    """
+    small = estimated_bytes(df) <= SMALL_INPUT_BYTES
+    if small and single_if_small and buckets is None:
+        return df, 1
+    if not _costly(df._jdf.queryExecution().optimizedPlan()):
+        return df, buckets or (1 if small else default_buckets(df))
+    fixed = cut_lineage(df)
+    if buckets is not None:
+        return fixed, buckets
+    known = fixed.count() * (16 + 8 * len(fixed.columns))
+    return fixed, 1 if known <= SMALL_INPUT_BYTES else default_buckets(df)
