@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curves", "bins")
+MODULES = ("curves", "bins", "pairs", "stats")
 
 
 def all_queries() -> dict[str, tuple]:
