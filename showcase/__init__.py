@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curves", "bins", "pairs", "stats")
+MODULES = ("curves", "bins", "pairs", "stats", "decide", "model")
 
 
 def all_queries() -> dict[str, tuple]:
