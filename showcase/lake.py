@@ -364,15 +364,14 @@ def _manifest(s, d) -> DataFrame:
         "shot_id_start", "shot_id_end", "batch_id", F.lit("dets.b8").alias("dets_path"), "reason",
         F.lit(None).cast("string").alias("message"), F.lit(1).alias("attempts"),
     )
-    K.write_manifest(s, failed, f"{base}/incomplete_shots.json")
-    back = K.read_manifest(s, f"{base}/incomplete_shots.json")
-    return back.groupBy("reason").agg(F.count("*").alias("n"), F.sum("num_shots").alias("num_shots"))
+    K.write_manifest(failed, f"{base}/incomplete_shots")
+    return K.manifest_totals(K.read_manifest(s, f"{base}/incomplete_shots"), ["reason"])
 
 
 add(
     "incomplete_manifest",
     _manifest,
-    f"""WITH {TASKS} SELECT reason, count(*) AS n, CAST(sum(num_shots) AS BIGINT) AS num_shots
+    f"""WITH {TASKS} SELECT reason, count(*) AS n_ranges, CAST(sum(num_shots) AS BIGINT) AS total_incomplete_shots
       FROM tasks WHERE status = 'error' GROUP BY 1""",
 )
 

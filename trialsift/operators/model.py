@@ -16,6 +16,7 @@ from trialsift.functions.exprs import xor_of_components
 from trialsift.operators.decide import few
 from trialsift.operators.idranges import dense_ids
 from trialsift.plans.ranges import attach, cumulative
+from trialsift.session import settle
 
 # Basis by the fourth detector coordinate.
 BASIS_BY_COORDINATE = {0: "X", 1: "X", 2: "X", 3: "Z", 4: "Z", 5: "Z"}
@@ -33,6 +34,8 @@ def _merged(rows: DataFrame, buckets: int | None) -> DataFrame:
         F.max_by("observables", "ord").alias("observables"),
         F.min("ord").alias("first_ord"),
     )
+    # Read twice: to number the sets and to carry them.
+    grouped, _ = settle(grouped, buckets)
     ids = dense_ids(grouped, "first_ord", "error_id", buckets)
     return grouped.join(ids, "first_ord").select(
         "error_id", "detectors", "observables", "prior", "first_ord"

@@ -205,7 +205,7 @@ def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
     """One row: number of finite pairs and the rank correlation, from distinct pairs."""
-    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
+    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets, single_if_small=True)
     bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, buckets)
     ranked = pairs
     for c in ("x", "y"):
@@ -232,6 +232,12 @@ def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
     return s.select("n", rho.alias("rho"))
 
 
+def _settled_scores(df: DataFrame, scores: Sequence[str], buckets: int | None):
+    """The score columns alone, written once if they come out of a costly plan."""
+    settled, _ = settle(df.select(*dict.fromkeys(scores)), buckets)
+    return settled, buckets
+
+
 def spearman_matrix(
     df: DataFrame,
     scores: Sequence[str],
@@ -241,6 +247,7 @@ def spearman_matrix(
 ) -> DataFrame:
     """Rank correlation of every ordered pair of scores, over pairwise finite trials (3 at least)."""
     labels, negated = dict(labels or {}), set(negate)
+    df, buckets = _settled_scores(df, scores, buckets)
 
     def label(c: str) -> str:
         return ("-" if c in negated else "") + labels.get(c, c)
@@ -383,6 +390,7 @@ def rank_correlations(
     df: DataFrame, pairs: Sequence[tuple[str, str]], buckets: int | None = None
 ) -> DataFrame:
     """Spearman and Kendall correlation with two-sided p-values for pairs of scores."""
+    df, buckets = _settled_scores(df, [c for pair in pairs for c in pair], buckets)
     out = None
     for left, right in pairs:
         s = _spearman(df, left, right, buckets).select(F.col("rho").alias("spearman_r"))

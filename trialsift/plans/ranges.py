@@ -460,12 +460,32 @@ def rank_cutoffs(
     return answer(rows)
 
 
-def at_or_before(keys: Sequence[Column], cutoff: Sequence) -> Column:
-    """Lexicographic ``keys <= cutoff`` against a literal cutoff."""
-    last = keys[-1] <= F.lit(cutoff[-1])
-    for key, bound in zip(reversed(keys[:-1]), reversed(cutoff[:-1])):
-        last = (key < F.lit(bound)) | ((key == F.lit(bound)) & last)
-    return last
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_literal(value) -> str:
+    return f"{value!r}D" if isinstance(value, float) else f"{int(value)}L"
+
+
+def level_expression(score: str, order: Sequence[str], cutoffs: Sequence[tuple]) -> Column:
+    """Number of cutoffs at or after a row in the order; one expression of plain comparisons."""
+    s = f"CAST({_quoted(score)} AS DOUBLE)"
+    ok = f"({s} IS NOT NULL AND NOT isnan({s}) AND abs({s}) < double('Infinity'))"
+    keys = [
+        f"IF({ok}, 0, 1)",
+        f"(IF({ok}, -{s}, 0.0D) + 0.0D)",
+        *[_quoted(c) for c in order],
+    ]
+
+    def at_or_before(cutoff: tuple) -> str:
+        text = f"{keys[-1]} <= {_sql_literal(cutoff[-1])}"
+        for key, bound in zip(reversed(keys[:-1]), reversed(cutoff[:-1])):
+            b = _sql_literal(bound)
+            text = f"({key} < {b} OR ({key} = {b} AND {text}))"
+        return f"IF({text}, 1, 0)"
+
+    return F.expr(" + ".join(["0", *[at_or_before(c) for c in cutoffs]]))
 
 
 def summed(cells: Column | str, field: str) -> Column:
@@ -490,11 +510,8 @@ class NestedSets:
     ) -> Column:
         inner = [k for k in self.sizes if k < self.n_total]
         cutoffs = rank_cutoffs(df, score, order, inner, buckets)
-        keys = rank_keys(score, order)
-        level = F.lit(len(self.sizes) - len(inner))
-        for k in inner:
-            level = level + at_or_before(keys, cutoffs[k]).cast("int")
-        return level
+        whole = len(self.sizes) - len(inner)
+        return F.lit(whole) + level_expression(score, order, [cutoffs[k] for k in inner])
 
     def need(self, kept: int) -> int:
         return self.sizes.index(kept) + 1 if kept > 0 else len(self.sizes) + 1

@@ -47,9 +47,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    The table survives the loss of executors, is read column by column, and its size is known to
+    the optimizer.  :func:`clear_scratch` removes what a session has written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables written by :func:`cut_lineage`; results built on them become unreadable."""
+    removed = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 # Inputs the optimizer sizes below this many bytes are ordered in one task; larger ones are cut
@@ -111,5 +130,4 @@ def settle(
     fixed = cut_lineage(df)
     if buckets is not None:
         return fixed, buckets
-    known = fixed.count() * (16 + 8 * len(fixed.columns))
-    return fixed, 1 if known <= SMALL_INPUT_BYTES else default_buckets(df)
+    return fixed, 1 if estimated_bytes(fixed) <= SMALL_INPUT_BYTES else default_buckets(fixed)

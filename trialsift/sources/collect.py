@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import ratio
-from trialsift.sources.files import delete, escape_glob, exists, glob, size_of, write_text
+from trialsift.sources.files import delete, escape_glob, exists, glob, size_of
 
 # Column prefixes of a wide chunk and the names of the detailed statistics.
 METRIC, DETAIL, STAT = "metric_", "detail_stat_", "decoder_stat_"
@@ -264,32 +264,44 @@ MANIFEST_SCHEMA = (
 )
 
 
-def incomplete_manifest(ranges: DataFrame) -> DataFrame:
-    """One row: all incomplete ranges with their lengths, and the total.
+def sized_ranges(ranges: DataFrame) -> DataFrame:
+    """Incomplete ranges with their lengths and the standard columns."""
+    sized = ranges.withColumn("num_shots", F.col("shot_id_end") - F.col("shot_id_start"))
+    fields = [part.split() for part in RANGE_SCHEMA.split(", ")]
+    return sized.select(
+        *[
+            (F.col(name) if name in sized.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in fields
+        ]
+    )
+
+
+def manifest_totals(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of incomplete ranges and of trials in them."""
+    length = F.col("shot_id_end") - F.col("shot_id_start")
+    return ranges.groupBy(*by).agg(
+        F.count("*").alias("n_ranges"),
+        F.coalesce(F.sum(length), F.lit(0)).alias("total_incomplete_shots"),
+    )
 
-    A manifest lists the failed tasks of one run, so it is a short document by nature.
+
+def write_manifest(ranges: DataFrame, path: str) -> None:
+    """Write the incomplete ranges as JSON lines, one range per line, from all tasks."""
+    rows = sized_ranges(ranges).withColumn("schema_version", F.lit(1))
+    rows.write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """Ranges of a manifest, one row per range.
+
+    ``document``: each file is one JSON document with an array ``ranges``, as older runs wrote it.
     """
-    sized = ranges.withColumn("num_shots", F.col("shot_id_end") - F.col("shot_id_start"))
-    fields = [part.split()[0] for part in RANGE_SCHEMA.split(", ")]
-    present = [f for f in fields if f in sized.columns]
-    return sized.agg(
-        F.array_sort(F.collect_list(F.struct(*present))).alias("ranges"),
-        F.coalesce(F.sum("num_shots"), F.lit(0)).alias("total_incomplete_shots"),
-    ).select(F.lit(1).alias("schema_version"), "ranges", "total_incomplete_shots")
-
-
-def write_manifest(spark: SparkSession, ranges: DataFrame, path: str) -> None:
-    """Write the manifest as one JSON document."""
-    row = incomplete_manifest(ranges).select(F.to_json(F.struct("*")).alias("j")).first()
-    write_text(spark, path, json.dumps(json.loads(row.j), indent=2, sort_keys=True) + "\n")
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Ranges of one or many manifests, one row per range."""
-    docs = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
-    return docs.select(F.explode("ranges").alias("r")).select(
-        "r.*"
-    ).withColumn("attempts", F.coalesce("attempts", F.lit(1)))
+    if document:
+        docs = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+        rows = docs.select(F.explode("ranges").alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(RANGE_SCHEMA).json(path)
+    return rows.withColumn("attempts", F.coalesce("attempts", F.lit(1)))
 
 
 def run_summary(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -49,12 +49,3 @@ def delete(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return bool(fs.delete(p, True))
 
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Create a small text file."""
-    p, fs = _fs(spark, path)
-    stream = fs.create(p, True)
-    try:
-        stream.write(bytearray(text.encode("utf-8")))
-    finally:
-        stream.close()
