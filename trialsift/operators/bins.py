@@ -38,22 +38,28 @@ def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(i == bins, hi).otherwise(lo + i.cast("double") * step)
 
 
-def uniform_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Zero-based bin, possibly outside ``0 .. bins - 1`` for values outside the range.
+def with_uniform_bin(
+    df: DataFrame, name: str, x: Column, lo: Column, hi: Column, bins: int
+) -> DataFrame:
+    """Add the zero-based bin, possibly outside ``0 .. bins - 1`` for values outside the range.
 
-    The division can be off by one at an edge, so the guess is corrected against the edges.
+    The division can be off by one at an edge, so the guess is corrected against the edges.  The
+    guess is a column of its own: it is used several times.
     """
     step = (hi - lo) / F.lit(float(bins))
-    guess = F.least(
-        F.greatest(F.floor(F.try_divide(x - lo, step)), F.lit(-1)), F.lit(bins)
-    ).cast("int")
-    guess = F.when(x >= hi, F.lit(bins)).when(x < lo, F.lit(-1)).otherwise(guess)
+    guess = (
+        F.when(x >= hi, F.lit(bins))
+        .when(x < lo, F.lit(-1))
+        .otherwise(F.floor(F.try_divide(x - lo, step)).cast("int"))
+    )
+    g = F.col("__guess")
     fixed = (
-        F.when(x < _edge(guess, lo, hi, bins), guess - 1)
-        .when((guess < bins) & (x >= _edge(guess + 1, lo, hi, bins)), guess + 1)
-        .otherwise(guess)
+        F.when((g == -1) | (g == bins), g)
+        .when(x < _edge(g, lo, hi, bins), g - 1)
+        .when((g < bins) & (x >= _edge(g + 1, lo, hi, bins)), g + 1)
+        .otherwise(g)
     )
-    return F.when(guess == -1, F.lit(-1)).when(guess == bins, F.lit(bins)).otherwise(fixed)
+    return df.withColumn("__guess", guess).withColumn(name, fixed).drop("__guess")
 
 
 def _clamp(i: Column, bins: int) -> Column:
@@ -88,7 +94,8 @@ def binned_sums(
                 "*", F.lit(float(x_range[0])).alias("__lo"), F.lit(float(x_range[1])).alias("__hi")
             )
         lo, hi = F.col("__lo"), F.col("__hi")
-        rows = rows.withColumn("bin", _clamp(uniform_bin(F.col("__x"), lo, hi, n), n))
+        rows = with_uniform_bin(rows, "bin", F.col("__x"), lo, hi, n)
+        rows = rows.withColumn("bin", _clamp(F.col("bin"), n))
         extent = [F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi")]
     else:
         edges = [float(e) for e in bins]
@@ -398,11 +405,12 @@ def histogram2d(
     inside = F.col("__x").between(F.col("__xl"), F.col("__xh")) & F.col("__y").between(
         F.col("__yl"), F.col("__yh")
     )
-    bx = F.least(uniform_bin(F.col("__x"), F.col("__xl"), F.col("__xh"), nx), F.lit(nx - 1))
-    by_ = F.least(uniform_bin(F.col("__y"), F.col("__yl"), F.col("__yh"), ny), F.lit(ny - 1))
+    rows = rows.where(inside)
+    rows = with_uniform_bin(rows, "__bx", F.col("__x"), F.col("__xl"), F.col("__xh"), nx)
+    rows = with_uniform_bin(rows, "__by", F.col("__y"), F.col("__yl"), F.col("__yh"), ny)
+    bx, by_ = F.least("__bx", F.lit(nx - 1)), F.least("__by", F.lit(ny - 1))
     cells = (
-        rows.where(inside)
-        .groupBy(*by, bx.alias("bin_x"), by_.alias("bin_y"))
+        rows.groupBy(*by, bx.alias("bin_x"), by_.alias("bin_y"))
         .agg(
             F.count("*").alias("n"),
             F.sum("err").alias("n_err"),

@@ -492,17 +492,19 @@ def postselect_ranked(
     df, buckets = settle(df.select(*columns), buckets)
     n_total = df.count()
     sets = NestedSets(rates, n_total)
+    named = {f"__level{i}": score for i, score in enumerate(scores)}
+    levels = sets.with_levels(df, named, order, buckets)
     entries = [
         F.struct(
             F.lit(score).alias("score"),
-            F.lit(label).alias("error_source"),
-            sets.level(df, score, order, buckets).alias("level"),
-            flag(label).alias("err"),
+            F.lit(scores[score]).alias("error_source"),
+            F.col(name).alias("level"),
+            flag(scores[score]).alias("err"),
         )
-        for score, label in scores.items()
+        for name, score in named.items()
     ]
     cells = (
-        df.select(F.explode(F.array(*entries)).alias("e"))
+        levels.select(F.explode(F.array(*entries)).alias("e"))
         .select("e.*")
         .groupBy("score", "error_source", "level")
         .agg(F.sum("err").alias("err"))
@@ -565,16 +567,19 @@ def decompose(
     else:
         rates = sorted({min(max(float(r), 0.0), 0.999999) for r in abort_rates})
     sets = NestedSets(rates, n_total)
+    levels = sets.with_levels(
+        df, {"__anchored": anchored, "__reselected": reselected}, order, buckets
+    )
     before, after = flag(y0), flag(y_star)
     views = F.array(
         F.struct(
-            sets.level(df, anchored, order, buckets).alias("level"),
+            F.col("__anchored").alias("level"),
             before.alias("y0_anc"),
             F.lit(0).cast("long").alias("y0_fg"),
             F.lit(0).cast("long").alias("ys_fg"),
         ),
         F.struct(
-            sets.level(df, reselected, order, buckets).alias("level"),
+            F.col("__reselected").alias("level"),
             F.lit(0).cast("long").alias("y0_anc"),
             before.alias("y0_fg"),
             after.alias("ys_fg"),
@@ -582,7 +587,7 @@ def decompose(
     )
     measures = ["y0_anc", "y0_fg", "ys_fg"]
     cells = (
-        df.select(F.explode(views).alias("v"))
+        levels.select(F.explode(views).alias("v"))
         .select("v.*")
         .groupBy("level")
         .agg(*[F.sum(m).alias(m) for m in measures])

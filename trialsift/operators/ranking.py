@@ -60,11 +60,9 @@ def accepted_overlap(
     df, buckets = settle(df.select(*dict.fromkeys([exact, comparison, *order])), buckets)
     n_total = df.count()
     sets = NestedSets(rates, n_total)
-    both_level = F.least(
-        sets.level(df, exact, order, buckets), sets.level(df, comparison, order, buckets)
-    )
+    levels = sets.with_levels(df, {"__le": exact, "__lc": comparison}, order, buckets)
     # Both sets of a rate have the same size, so the size of the intersection says it all.
-    cells = df.groupBy(both_level.alias("level")).agg(F.count("*").alias("both"))
+    cells = levels.groupBy(F.least("__le", "__lc").alias("level")).agg(F.count("*").alias("both"))
     t = sets.totals(cells, ["both"])
     n, kept, both = F.lit(n_total).cast("long"), F.col("kept"), F.col("both")
     only = kept - both
@@ -109,12 +107,7 @@ def _comparison_only(
     )
     rows, buckets = settle(rows, buckets)
     sets = NestedSets(rates, rows.count())
-    pairs = rows.select(
-        *keys,
-        sets.level(rows, exact, order, buckets).alias("__le"),
-        sets.level(rows, comparison, order, buckets).alias("__lc"),
-        *measures,
-    )
+    pairs = sets.with_levels(rows, {"__le": exact, "__lc": comparison}, order, buckets)
     grouped = (
         pairs.where(F.col("__lc") > F.col("__le"))
         .groupBy(*keys, "__le", "__lc")

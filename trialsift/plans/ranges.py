@@ -460,23 +460,12 @@ def rank_cutoffs(
     return answer(rows)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _sql_literal(value) -> str:
     return f"{value!r}D" if isinstance(value, float) else f"{int(value)}L"
 
 
-def level_expression(score: str, order: Sequence[str], cutoffs: Sequence[tuple]) -> Column:
-    """Number of cutoffs at or after a row in the order; one expression of plain comparisons."""
-    s = f"CAST({_quoted(score)} AS DOUBLE)"
-    ok = f"({s} IS NOT NULL AND NOT isnan({s}) AND abs({s}) < double('Infinity'))"
-    keys = [
-        f"IF({ok}, 0, 1)",
-        f"(IF({ok}, -{s}, 0.0D) + 0.0D)",
-        *[_quoted(c) for c in order],
-    ]
+def _level_text(keys: Sequence[str], cutoffs: Sequence[tuple]) -> str:
+    """Number of cutoffs at or after a row in the order, as plain comparisons of columns."""
 
     def at_or_before(cutoff: tuple) -> str:
         text = f"{keys[-1]} <= {_sql_literal(cutoff[-1])}"
@@ -485,7 +474,7 @@ def level_expression(score: str, order: Sequence[str], cutoffs: Sequence[tuple])
             text = f"({key} < {b} OR ({key} = {b} AND {text}))"
         return f"IF({text}, 1, 0)"
 
-    return F.expr(" + ".join(["0", *[at_or_before(c) for c in cutoffs]]))
+    return " + ".join(["0", *[at_or_before(c) for c in cutoffs]])
 
 
 def summed(cells: Column | str, field: str) -> Column:
@@ -505,13 +494,28 @@ class NestedSets:
         self.rates = [(float(r), accepted_count(float(r), n_total)) for r in rates]
         self.sizes = sorted({k for _, k in self.rates if k > 0}, reverse=True)
 
-    def level(
-        self, df: DataFrame, score: str, order: Sequence[str], buckets: int | None = None
-    ) -> Column:
+    def with_levels(
+        self,
+        df: DataFrame,
+        scores: Mapping[str, str],
+        order: Sequence[str],
+        buckets: int | None = None,
+    ) -> DataFrame:
+        """Add one level column per score (name -> score column), in one scan of ``df``.
+
+        The sort keys become columns first, so that the comparisons stay small enough to compile.
+        """
         inner = [k for k in self.sizes if k < self.n_total]
-        cutoffs = rank_cutoffs(df, score, order, inner, buckets)
         whole = len(self.sizes) - len(inner)
-        return F.lit(whole) + level_expression(score, order, [cutoffs[k] for k in inner])
+        columns, levels = [], {}
+        for i, (name, score) in enumerate(scores.items()):
+            cutoffs = rank_cutoffs(df, score, order, inner, buckets)
+            keys = rank_keys(score, order)
+            named = [f"__key{i}_{j}" for j in range(len(keys))]
+            columns += [k.alias(n) for k, n in zip(keys, named)]
+            levels[name] = F.lit(whole) + F.expr(_level_text(named, [cutoffs[k] for k in inner]))
+        keyed = df.select("*", *columns)
+        return keyed.select(*df.columns, *[c.alias(name) for name, c in levels.items()])
 
     def need(self, kept: int) -> int:
         return self.sizes.index(kept) + 1 if kept > 0 else len(self.sizes) + 1
