@@ -239,7 +239,7 @@ def score_distribution(
         ]
     )
     usable = df.where(col(error).isNotNull()) if negative else df
-    long = usable.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.metric", "e.x")
+    long = usable.select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.metric", "__e.x")
     return histogram(long, "x", bins, ["metric", *keys])
 
 
@@ -511,12 +511,12 @@ def case_counts(
             for i, c in enumerate(cases)
         ]
     )
-    return counted.select(*by, "total", F.explode(entries).alias("e")).select(
+    return counted.select(*by, "total", F.explode(entries).alias("__e")).select(
         *by,
-        "e.case",
-        F.coalesce("e.n", F.lit(0)).alias("n"),
+        "__e.case",
+        F.coalesce("__e.n", F.lit(0)).alias("n"),
         "total",
-        F.coalesce(ratio("e.n", "total"), F.lit(0.0)).alias("fraction"),
+        F.coalesce(ratio("__e.n", "total"), F.lit(0.0)).alias("fraction"),
     )
 
 
@@ -599,8 +599,8 @@ def override_probability(
             for g in gaps
         ]
     )
-    usable = df.where(known(split)).select(event.alias("event"), F.explode(entries).alias("e"))
-    rows = usable.select("event", "e.gap", "e.x")
+    usable = df.where(known(split)).select(event.alias("event"), F.explode(entries).alias("__e"))
+    rows = usable.select("event", "__e.gap", "__e.x")
     if bins is None:
         return value_rate(rows, "x", "event", ["gap"], alpha)
     return bin_rate(rows, "x", "event", bins, ["gap"], alpha=alpha)

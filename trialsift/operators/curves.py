@@ -258,15 +258,15 @@ def postselect_separate(
     least = (
         rows.where(known("score"))
         .groupBy(*by, value.alias("v"))
-        .agg(F.count("*").alias("n"), F.sum(flag("error")).alias("e"))
+        .agg(F.count("*").alias("n"), F.sum(flag("error")).alias("__e"))
         .groupBy(*by)
         .agg(
             F.sum("n").alias("n"),
-            F.sum("e").alias("e"),
+            F.sum("e").alias("__e"),
             F.min(F.struct("v", "n", "e")).alias("first"),
         )
     )
-    base = ratio("e", "n") if direction == "high" else ratio("first.e", "first.n")
+    base = ratio("__e", "n") if direction == "high" else ratio("first.e", "first.n")
     lost_any = rows.groupBy(*by).agg(F.max("lost").alias("any_lost"))
     least = attach(least.select(*by, base.alias("base")), lost_any, by)
     least = least.select(*by, F.when(F.col("any_lost"), F.col("base")).alias("baseline_ler"))
@@ -504,8 +504,8 @@ def postselect_ranked(
         for name, score in named.items()
     ]
     cells = (
-        levels.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.*")
+        levels.select(F.explode(F.array(*entries)).alias("__e"))
+        .select("__e.*")
         .groupBy("score", "error_source", "level")
         .agg(F.sum("err").alias("err"))
     )

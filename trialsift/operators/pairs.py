@@ -137,8 +137,8 @@ def over_under(df: DataFrame, a: str, b: str, error: str, by: Sequence[str] = ()
             for name, inside in subsets.items()
         ]
     )
-    long = rows.groupBy(*by).agg(entries.alias("e")).select(*by, F.explode("e").alias("e"))
-    long = long.select(*by, "e.*")
+    long = rows.groupBy(*by).agg(entries.alias("__e")).select(*by, F.explode("__e").alias("__e"))
+    long = long.select(*by, "__e.*")
     return long.select(
         *by,
         "subset",

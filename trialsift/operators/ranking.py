@@ -186,11 +186,11 @@ def false_safe_indicators(
             for i, name in enumerate(indicators)
         ]
     )
-    long = filled.select("abort_rate", "n", F.explode(entries).alias("e"))
+    long = filled.select("abort_rate", "n", F.explode(entries).alias("__e"))
     return long.select(
         "abort_rate",
-        "e.indicator",
-        ratio("e.k", "n").alias("fraction"),
+        "__e.indicator",
+        ratio("__e.k", "n").alias("fraction"),
         F.coalesce("n", F.lit(0).cast("long")).alias("n_forced_only"),
     )
 
@@ -222,7 +222,7 @@ def _rejections(
     cats = {"all": F.lit(True), **categories}
     marks = [F.coalesce(c, F.lit(False)).cast("long").alias(f"c_{name}") for name, c in cats.items()]
     err = flag(error).alias("err") if error else F.lit(0).cast("long").alias("err")
-    rows = df.select(*marks, err, F.explode(events).alias("e")).select("*", "e.v", "e.kind")
+    rows = df.select(*marks, err, F.explode(events).alias("__e")).select("*", "__e.v", "__e.kind")
     sums: dict[str, Column] = {}
     for kind in ("exact", "forced", "both"):
         here = (F.col("kind") == kind).cast("long")
@@ -273,19 +273,19 @@ def threshold_sets(
         ]
     )
     long = t.select(
-        "threshold", "n_total", "forced_all", "exact_all", F.explode(entries).alias("e")
+        "threshold", "n_total", "forced_all", "exact_all", F.explode(entries).alias("__e")
     )
     return long.select(
         "threshold",
-        "e.set_name",
-        "e.set_label",
-        "e.n",
+        "__e.set_name",
+        "__e.set_label",
+        "__e.n",
         "n_total",
         F.col("forced_all").alias("forced_reject_total"),
         F.col("exact_all").alias("logical_reject_total"),
         F.lit(error_filter).cast("boolean").alias("error_filter"),
-        ratio("e.n", "forced_all").alias("fraction_of_forced_reject"),
-        ratio("e.n", "n_total").alias("fraction_of_all"),
+        ratio("__e.n", "forced_all").alias("fraction_of_forced_reject"),
+        ratio("__e.n", "n_total").alias("fraction_of_all"),
     )
 
 
@@ -325,13 +325,13 @@ def threshold_set_cases(
                     errors[s].alias("n_err"),
                 )
             )
-    long = t.select("threshold", F.explode(F.array(*entries)).alias("e"))
+    long = t.select("threshold", F.explode(F.array(*entries)).alias("__e"))
     return long.select(
         "threshold",
-        "e.set_name",
-        "e.category",
-        "e.n",
-        "e.n_set",
-        ratio("e.n", "e.n_set").alias("fraction_within_set"),
-        ratio("e.n_err", "e.n").alias("error_rate"),
+        "__e.set_name",
+        "__e.category",
+        "__e.n",
+        "__e.n_set",
+        ratio("__e.n", "__e.n_set").alias("fraction_within_set"),
+        ratio("__e.n_err", "__e.n").alias("error_rate"),
     )

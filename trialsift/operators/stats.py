@@ -264,9 +264,9 @@ def spearman_matrix(
                 F.struct(F.lit(label(b)).alias("left"), F.lit(label(a)).alias("right")),
             )
             row = _spearman(df, a, b, buckets).select(
-                F.explode(both).alias("e"), value.alias("rho")
+                F.explode(both).alias("__e"), value.alias("rho")
             )
-            out = out.unionByName(row.select("e.left", "e.right", "rho"))
+            out = out.unionByName(row.select("__e.left", "__e.right", "rho"))
     return out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -131,3 +133,32 @@ def settle(
     if buckets is not None:
         return fixed, buckets
     return fixed, 1 if estimated_bytes(fixed) <= SMALL_INPUT_BYTES else default_buckets(fixed)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Send package folders to the Python workers, once per application.
+
+    Functions that run in tasks refer to these packages by name.
+    """
+    for folder in packages:
+        key = (spark.sparkContext.applicationId, folder)
+        if key in _SHIPPED:
+            continue
+        name = os.path.basename(folder.rstrip("/"))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for base, _, files in os.walk(folder):
+                for file in sorted(files):
+                    if file.endswith(".py"):
+                        path = os.path.join(base, file)
+                        out.write(path, os.path.join(name, os.path.relpath(path, folder)))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(key)
+
+
+def ship_self(spark: SparkSession) -> None:
+    """Send this package to the workers."""
+    ship(spark, os.path.dirname(os.path.abspath(__file__)))
