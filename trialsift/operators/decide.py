@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import clip_prior, col, prior_weight
+from trialsift.plans.ranges import attach
+from trialsift.session import settle_table
 
 INF, NAN = float("inf"), float("nan")
 
@@ -238,16 +240,11 @@ def reweight_priors(
     )
 
 
-def few(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """Broadcast a table that a count shows to be small; leave a larger one to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def solution_weights(
     items: DataFrame, priors: DataFrame, keys: Sequence[str] = ("shot_id",), item: str = "error_id"
 ) -> DataFrame:
     """Sum of ln((1-p)/p) over the chosen items of each solution."""
-    table = few(priors.select(item, prior_weight("prior").alias("__w")))
+    table = settle_table(priors.select(item, prior_weight("prior").alias("__w")))
     joined = items.select(*keys, item).join(table, item)
     return joined.groupBy(*keys).agg(F.sum("__w").alias("weight"))
 
@@ -267,7 +264,7 @@ def logical_class(
     keys = list(keys)
     counts = (
         items.select(*keys, item)
-        .join(few(obs_edges.select(item, "observable_id")), item, "left")
+        .join(settle_table(obs_edges.select(item, "observable_id")), item, "left")
         .groupBy(*keys, "observable_id")
         .agg((F.count("*") % 2).alias("parity"))
     )
@@ -410,7 +407,7 @@ def cluster_norm(
     final = F.col("active") & (F.coalesce("absorbed_by", F.lit(-1)) == -1)
     bits = clusters.where(final).select(*keys, "cluster_id", F.explode("bits").alias("error_id"))
     sums = (
-        bits.join(few(weights), "error_id")
+        bits.join(settle_table(weights), "error_id")
         .groupBy(*keys, "cluster_id")
         .agg(F.sum("weight").alias("s"))
         .where(~F.isnan("s") & (F.abs("s") < F.lit(INF)))
@@ -421,8 +418,6 @@ def cluster_norm(
         norm = F.pow(F.sum(F.pow("s", F.lit(float(alpha)))), F.lit(1.0 / alpha))
     per_trial = sums.groupBy(*keys).agg(norm.alias("norm"))
     trials = clusters.select(*keys).distinct().join(per_trial, keys, "left")
-    from trialsift.plans.ranges import attach
-
     value = F.when(F.col("__total") == 0, F.lit(0.0)).otherwise(
         F.coalesce(F.col("norm") / F.col("__total"), F.lit(0.0))
     )

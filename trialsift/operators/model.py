@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import xor_of_components
-from trialsift.operators.decide import few
 from trialsift.operators.idranges import dense_ids
 from trialsift.plans.ranges import attach, cumulative
-from trialsift.session import settle
+from trialsift.session import settle, settle_table
 
 # Basis by the fourth detector coordinate.
 BASIS_BY_COORDINATE = {0: "X", 1: "X", 2: "X", 3: "Z", 4: "Z", 5: "Z"}
@@ -124,7 +123,7 @@ def drop_basis(
     parts = parts.select("ord", "prob", "part", "c.detectors", "c.observables")
     slots = parts.select("ord", "part", F.posexplode("detectors").alias("place", "detector_id"))
     renamed = (
-        slots.join(few(mapping), "detector_id")
+        slots.join(settle_table(mapping), "detector_id")
         .groupBy("ord", "part")
         .agg(F.array_sort(F.collect_list(F.struct("place", "new_detector_id"))).alias("d"))
         .select("ord", "part", F.col("d.new_detector_id").cast("array<int>").alias("new_detectors"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import (
@@ -21,6 +21,7 @@ from trialsift.functions.exprs import (
     wilson_high,
     wilson_low,
 )
+from trialsift.plans.ranges import attach, neighbours
 
 # Parameters that identify a trial besides its id, used where both sides have them.
 TRIAL_KEYS = ("batch", "code", "d", "p", "rounds", "noisemodel", "xyz")
@@ -310,16 +311,7 @@ def _group_totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _share(counts, totals, keys, rest, name) -> DataFrame:
     """Shares by joining group totals, so that one group is never gathered in a single window."""
-    from trialsift.plans.ranges import attach
-
-    if keys:
-        named = totals.select(
-            *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], "__total"
-        )
-        same = [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
-        joined = counts.join(named, reduce(lambda a, b: a & b, same))
-    else:
-        joined = attach(counts, totals, [])
+    joined = attach(counts, totals, keys)
     return joined.select(*keys, *rest, "n", ratio("n", "__total").alias(name))
 
 
@@ -344,11 +336,12 @@ def density_matrix(cond: DataFrame, x: str, y: str, values: Sequence[float]) ->
     )
 
 
-def value_edges(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_edges(
+    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
     """Cell edges of sorted distinct values: midpoints, extrapolated at both ends."""
-    distinct = df.where(known(value)).select(*by, value).distinct()
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value)
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
+    distinct = neighbours(df, value, by, buckets)
+    before, after = F.col("previous"), F.col("next")
     v = F.col(value)
     lower = F.when(before.isNotNull(), (before + v) / 2.0)
     upper = F.when(after.isNotNull(), (v + after) / 2.0)

@@ -17,6 +17,7 @@ from trialsift.plans.ranges import (
     cumulative,
     hot_values,
     is_hot,
+    join_groups,
     order_statistics,
     sketch_bounds,
     with_ranges,
@@ -60,7 +61,7 @@ def describe(
         F.max("value").alias("max"),
     )
     marks = _quantile_columns(long, keys, quantiles, method, buckets)
-    return moments.join(marks, keys, "left").select(
+    return join_groups(moments, marks, keys, "left").select(
         *keys, "count", "mean", "std", "min", *[c for c in marks.columns if c not in keys], "max"
     )
 
@@ -106,7 +107,7 @@ def summarize_stats(
         long, "value", [0.5], by=keys, method="linear", buckets=buckets
     ).select(*keys, F.col("value").alias("median"))
     quartiles = _quantile_columns(long, keys, [0.25, 0.75], "nearest", buckets)
-    joined = base.join(quartiles, keys, "left").join(points, keys, "left")
+    joined = join_groups(join_groups(base, quartiles, keys, "left"), points, keys, "left")
     return joined.select(
         *keys, "rows", "null_count", "finite_count", "mean", "std", "min", "q25", "median", "q75",
         "max",
@@ -157,7 +158,7 @@ def index_frequency(
         .agg(F.count("*").alias("count"))
     )
     grid = rows.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n_indices - 1))))
-    joined = grid.join(hits, [*keys, "idx"], "left")
+    joined = join_groups(grid, hits, [*keys, "idx"], "left")
     return joined.select(
         *keys,
         "idx",
@@ -370,7 +371,7 @@ def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFr
     """
     pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
     # The grid has at most (2 * ranges)^2 cells and is counted in one task.
-    bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, min(buckets, 512))
+    bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, min(buckets, 1024))
     row = pairs.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
     for table in (
         _kendall_excess(pairs, bounds),

@@ -22,7 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import col, finite, known
-from trialsift.session import default_buckets, settle
+from trialsift.session import (
+    SMALL_INPUT_BYTES,
+    cut_lineage,
+    default_buckets,
+    estimated_bytes,
+    settle,
+)
 
 BUCKET = "__range"
 
@@ -157,34 +163,39 @@ def cumulative(
         offsets = offsets.withColumn("__wanted", F.array_distinct(covered))
         offsets = offsets.where(F.size("__wanted") > 0)
     offsets = offsets.drop("__n_range")
-    if not by:
-        # At most one row per range, and the number of ranges is fixed: safe to broadcast.
-        offsets = F.broadcast(offsets)
-        if positions is not None:
-            rows = rows.join(offsets.select(BUCKET), [BUCKET], "left_semi")
-
-    collapsed = rows.groupBy(*by, BUCKET, x).agg(*totals)
-    inside = (
-        Window.partitionBy(*by, BUCKET)
-        .orderBy(order(x))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = collapsed.select(
+    if not by and positions is not None:
+        # At most one range per requested position, so a list short enough to broadcast.
+        rows = rows.join(F.broadcast(offsets.select(BUCKET)), [BUCKET], "left_semi")
+
+    # The offset of a range enters its own partition as a first row, so that one window adds it to
+    # the running sums inside the range: no join is needed, and NULL groups need no special care.
+    head = offsets.select(
         *by,
         BUCKET,
-        x,
-        *measures,
-        *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"__{m}_loc") for m in measures],
-    )
-    joined = local.join(offsets, [*by, BUCKET])
-    result = joined.select(
-        *by,
-        x,
-        *measures,
-        *[(F.col(f"__{m}_off") + F.col(f"__{m}_loc")).alias(f"{m}_before") for m in measures],
+        F.lit(0).alias("__row"),
+        F.lit(None).cast(df.schema[x].dataType).alias(x),
+        *[F.col(f"__{m}_off").alias(m) for m in measures],
         *[f"{m}_total" for m in measures],
         *(["__wanted"] if positions is not None else []),
     )
+    body = rows.groupBy(*by, BUCKET, x).agg(*totals).withColumn("__row", F.lit(1))
+    inside = Window.partitionBy(*by, BUCKET).orderBy("__row", order(x))
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    carried = [f"{m}_total" for m in measures] + (["__wanted"] if positions is not None else [])
+    result = (
+        head.unionByName(body, allowMissingColumns=True)
+        .select(
+            *by,
+            x,
+            "__row",
+            *measures,
+            *[F.sum(m).over(before).alias(f"{m}_before") for m in measures],
+            *[F.first(c).over(so_far).alias(c) for c in carried],
+        )
+        .where(F.col("__row") == 1)
+        .drop("__row")
+    )
     if positions is not None:
         here = F.filter(
             F.col("__wanted"),
@@ -551,19 +562,61 @@ class NestedSets:
         )
 
 
-def attach(df: DataFrame, table: DataFrame, by: Sequence[str], limit: int = 100_000) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
+    """Equi-join on group keys where NULL is a group like any other."""
+    keys = list(keys)
+    rest = [c for c in right.columns if c not in keys]
+    named = right.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], *rest)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        equal = F.col(k).eqNullSafe(F.col(f"__g{i}"))
+        same = equal if i == 0 else same & equal
+    return left.join(named, same, how).drop(*[f"__g{i}" for i in range(len(keys))])
+
+
+def attach(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join one row per group of ``by`` onto ``df``.
 
-    Without grouping the table has a single row.  With grouping it is broadcast only if a count
-    shows at most ``limit`` groups; otherwise it is a shuffle join, with skewed groups split by
-    adaptive execution.
+    Without grouping the table has a single row, which is broadcast.  With grouping, a table that
+    may be large is written once: the optimizer then knows its true size and broadcasts it only
+    below its own limit, and otherwise takes a shuffle join whose skewed groups are split.
     """
     if not by:
         one = F.lit(1).alias("__one")
         return (
             df.select("*", one).join(F.broadcast(table.select("*", one)), "__one").drop("__one")
         )
-    keys = list(by)
-    if table.select(*keys).limit(limit + 1).count() <= limit:
-        table = F.broadcast(table)
-    return df.join(table, keys)
+    if estimated_bytes(table) > SMALL_INPUT_BYTES:
+        table = cut_lineage(table)
+    return join_groups(df, table, by)
+
+
+def neighbours(
+    df: DataFrame, x: str, by: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """Distinct values of ``x`` per group with the ``previous`` and the ``next`` one.
+
+    Inside a value range a window looks one row back and ahead; at its ends the nearest values come
+    from a table of one row per range.
+    """
+    by = list(by)
+    rows, buckets = settle(df.where(known(x)).select(*by, x).distinct(), buckets)
+    bounds = sketch_bounds(rows, {"x": x}, buckets)["x"]
+    rows = with_ranges(rows, {BUCKET: (x, bounds)})
+    group = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(BUCKET)
+    ends = rows.groupBy(*by, BUCKET).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    ends = ends.select(
+        *by, BUCKET, F.lag("hi").over(group).alias("__before"), F.lead("lo").over(group).alias("__after")
+    )
+    inside = Window.partitionBy(*by, BUCKET).orderBy(x)
+    local = rows.select(
+        *by, BUCKET, x, F.lag(x).over(inside).alias("__p"), F.lead(x).over(inside).alias("__n")
+    )
+    if not by:
+        ends = F.broadcast(ends)  # one row per range
+    return join_groups(local, ends, [*by, BUCKET]).select(
+        *by,
+        x,
+        F.coalesce("__p", "__before").alias("previous"),
+        F.coalesce("__n", "__after").alias("next"),
+    )

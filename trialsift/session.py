@@ -135,6 +135,15 @@ def settle(
     return fixed, 1 if estimated_bytes(fixed) <= SMALL_INPUT_BYTES else default_buckets(fixed)
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """Side table of a join with its size known, so that Spark broadcasts it only if it is small.
+
+    A table that comes out of a costly plan and may be large is written once.
+    """
+    large = estimated_bytes(df) > SMALL_INPUT_BYTES
+    return cut_lineage(df) if large and _costly(df._jdf.queryExecution().optimizedPlan()) else df
+
+
 _SHIPPED: set[tuple[str, str]] = set()
 
 
