@@ -167,3 +167,37 @@ def test_spearman_with_ties(frame, buckets):
     got = {(r.left, r.right): r.rho for r in rows}
     assert got["score", "-other"] == pytest.approx(-want)
     assert got["score", "score"] == 1.0
+
+
+@pytest.mark.parametrize("buckets", [1, 32])
+def test_null_groups_are_kept(frame, buckets):
+    df, pdf = frame
+    holed = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    got = C.postselect_unique(holed, "score", "err", "low", ["g"], buckets=buckets)
+    totals = {r.g: r.n for r in got.groupBy("g").agg(F.max("n_total").alias("n")).collect()}
+    sizes = pdf.g.value_counts().to_dict()
+    assert totals == {None: sizes[0], 1: sizes[1], 2: sizes[2]}
+    from trialsift.operators import bins as B
+
+    rates = B.bin_rate(holed.where("abs(score) < 5"), "score", "err", 4, ["g"])
+    assert rates.select("g").distinct().count() == 3
+
+
+@pytest.mark.parametrize("buckets", [1, 32])
+def test_neighbours(frame, buckets):
+    df, pdf = frame
+    got = R.neighbours(df.where("abs(score) < 5"), "score", ["g"], buckets=buckets).collect()
+    for g, part in pdf[np.abs(pdf.score) < 5].groupby("g"):
+        values = np.unique(part.score)
+        rows = sorted((r.score, r.previous, r.next) for r in got if r.g == g)
+        assert [r[0] for r in rows] == list(values)
+        assert [r[1] for r in rows][1:] == list(values[:-1]) and rows[0][1] is None
+        assert [r[2] for r in rows][:-1] == list(values[1:]) and rows[-1][2] is None
+
+
+def test_plans_stay_distributed(frame):
+    """Large inputs: no window without a partition over rows, and filters reach the scan."""
+    df, _ = frame
+    plan = R.cumulative(df, "score", by=["g"], buckets=32)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "SinglePartition" not in plan

@@ -246,6 +246,7 @@ def postselect_separate(
         col(error).alias("error"),
         F.coalesce(lost, F.lit(False)).alias("lost"),
     )
+    rows, _ = settle(rows, buckets)
     if mode == "unique":
         curve = postselect_unique(
             rows, "score", "error", direction, by, alpha, digits, buckets
@@ -257,19 +258,19 @@ def postselect_separate(
     value = half_even(F.col("score"), digits)
     least = (
         rows.where(known("score"))
-        .groupBy(*by, value.alias("v"))
-        .agg(F.count("*").alias("n"), F.sum(flag("error")).alias("__e"))
+        .groupBy(*by, value.alias("__v"))
+        .agg(F.count("*").alias("__n"), F.sum(flag("error")).alias("__k"))
         .groupBy(*by)
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("e").alias("__e"),
-            F.min(F.struct("v", "n", "e")).alias("first"),
+            F.sum("__n").alias("__n"),
+            F.sum("__k").alias("__k"),
+            F.min(F.struct("__v", "__n", "__k")).alias("__first"),
         )
     )
-    base = ratio("__e", "n") if direction == "high" else ratio("first.e", "first.n")
-    lost_any = rows.groupBy(*by).agg(F.max("lost").alias("any_lost"))
-    least = attach(least.select(*by, base.alias("base")), lost_any, by)
-    least = least.select(*by, F.when(F.col("any_lost"), F.col("base")).alias("baseline_ler"))
+    base = ratio("__k", "__n") if direction == "high" else ratio("__first.__k", "__first.__n")
+    lost_any = rows.groupBy(*by).agg(F.max("lost").alias("__lost"))
+    least = attach(least.select(*by, base.alias("__base")), lost_any, by)
+    least = least.select(*by, F.when(F.col("__lost"), F.col("__base")).alias("baseline_ler"))
     return attach(curve, least, by)
 
 

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import col, finite, known
 from trialsift.session import (
-    SMALL_INPUT_BYTES,
     cut_lineage,
     default_buckets,
-    estimated_bytes,
+    is_small,
     settle,
 )
 
@@ -586,7 +585,7 @@ def attach(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
         return (
             df.select("*", one).join(F.broadcast(table.select("*", one)), "__one").drop("__one")
         )
-    if estimated_bytes(table) > SMALL_INPUT_BYTES:
+    if not is_small(table):
         table = cut_lineage(table)
     return join_groups(df, table, by)
 

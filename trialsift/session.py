@@ -77,6 +77,13 @@ def clear_scratch(spark: SparkSession) -> int:
 # into value ranges.  The size of scans, filters and aggregations is an upper bound; an input of
 # unknown size counts as large.
 SMALL_INPUT_BYTES = 32 * 1024 * 1024
+SMALL_INPUT_SETTING = "spark.trialsift.smallInputBytes"
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer bounds the size of a result below the setting's limit."""
+    limit = df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_BYTES))
+    return estimated_bytes(df) <= int(limit)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -124,7 +131,7 @@ def settle(
     recomputed, and its true size is known from then on; ``single_if_small`` says that a small one
     is read only once anyway.
     """
-    small = estimated_bytes(df) <= SMALL_INPUT_BYTES
+    small = is_small(df)
     if small and single_if_small and buckets is None:
         return df, 1
     if not _costly(df._jdf.queryExecution().optimizedPlan()):
@@ -132,7 +139,7 @@ def settle(
     fixed = cut_lineage(df)
     if buckets is not None:
         return fixed, buckets
-    return fixed, 1 if estimated_bytes(fixed) <= SMALL_INPUT_BYTES else default_buckets(fixed)
+    return fixed, 1 if is_small(fixed) else default_buckets(fixed)
 
 
 def settle_table(df: DataFrame) -> DataFrame:
@@ -140,8 +147,7 @@ def settle_table(df: DataFrame) -> DataFrame:
 
     A table that comes out of a costly plan and may be large is written once.
     """
-    large = estimated_bytes(df) > SMALL_INPUT_BYTES
-    return cut_lineage(df) if large and _costly(df._jdf.queryExecution().optimizedPlan()) else df
+    return cut_lineage(df) if not is_small(df) and _costly(df._jdf.queryExecution().optimizedPlan()) else df
 
 
 _SHIPPED: set[tuple[str, str]] = set()
