@@ -329,3 +329,36 @@ def test_batches():
     assert I.batch_sizes(10, 4) == [3, 3, 2, 2]
     with pytest.raises(ValueError):
         I.batch_sizes(2, 3)
+
+
+def test_older_detail_layout(spark, tmp_path):
+    run = f"{tmp_path}/{CIRCUIT}/decoding_result/decoder=X,metric=forced_gap_ml,get_detail_stat=True"
+    label = "shot_id long, is_logical_error boolean"
+    for batch in (1, 2):
+        put(spark, run, "metric=forced_gap_ml", batch, [(0, 0.5), (1, 1.5)], "shot_id long, forced_gap_ml double")
+        put(spark, run, "logicalerror", batch, [(0, False), (1, True)], label)
+    put(spark, run, "metric=stage1_weight", 1, [(0, 1.0), (1, 2.0)], "shot_id long, stage1_weight double")
+    put(spark, run, "metric=stage1_obs_flip", 1, [(0, True), (1, False)], "shot_id long, stage1_obs_flip boolean")
+    put(spark, run, "metric=stage2_weight", 1, [(0, 3.0), (1, 4.0)], "shot_id long, stage2_weight double")
+    put(spark, run, "metric=stage2_obs_flip", 1, [(0, True), (1, True)], "shot_id long, stage2_obs_flip boolean")
+    put(spark, run, "detailed_stats", 2, [(0, False, 5.0, True, 6.0), (1, True, 7.0, False, 8.0)],
+        "shot_id long, baseline_logical_error boolean, baseline_correction_weight double, "
+        "forced_logical_error boolean, forced_correction_weight double")
+    df = L.read_detail(spark, C.scan_catalog(spark, str(tmp_path)), "forced_gap_ml", "forced")
+    got = {(r.batch, r.shot_id): (r.forced_stage1_weight, r.forced_stage2_weight, r.forced_stage1_obs_flip)
+           for r in df.collect()}
+    assert got == {(1, 0): (1.0, 3.0, True), (1, 1): (2.0, 4.0, False),
+                   (2, 0): (5.0, 6.0, False), (2, 1): (7.0, 8.0, True)}
+
+
+def test_summaries(spark, tmp_path):
+    rows = [(10, "ok", 2.0, None), (5, "skipped", 0.0, None), (7, "boom", 1.0, "timeout")]
+    tasks = spark.createDataFrame(rows, "num_shots long, status string, duration_s double, reason string")
+    r = K.run_summary(tasks).first()
+    assert (r.executed_shots, r.skipped_shots, r.error_shots, r.timeouts, r.total_shots) == (10, 5, 7, 1, 22)
+    assert r.avg_time_per_shot_s == 0.2
+    K.write_summary(K.run_summary(tasks), K.summary_path(str(tmp_path), 3), {"filters": {"d": 5}})
+    back = spark.read.json(K.summary_path(str(tmp_path), 3)).first()
+    assert back.executed_shots == 10 and json.loads(back.filters) == {"d": 5}
+    K.write_partitioned(spark.range(4).withColumn("d", F.col("id") % 2), f"{tmp_path}/p", ["d"])
+    assert spark.read.parquet(f"{tmp_path}/p").where("d = 1").count() == 2

@@ -185,3 +185,9 @@ def xor_of_components(components: str | Column) -> Column:
             lambda d: F.size(F.filter(flat, lambda e: e == d)) % 2 == 1,
         )
     )
+
+
+def label_of(code: str | Column, labels: dict) -> Column:
+    """Text of a code, NULL for an unknown one."""
+    entries = [F.lit(part) for pair in labels.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), col(code))

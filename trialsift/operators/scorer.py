@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from trialsift.session import ship_self
+
 _MODELS: dict[str, Any] = {}  # one per worker process
 
 
@@ -79,6 +81,7 @@ def score_batches(
     if the model accepts ``true_obs``.  ``schema`` is the Spark schema of the wide result.
     """
     keep = list(id_columns)
+    ship_self(trials.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if model_key not in _MODELS:

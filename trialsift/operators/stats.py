@@ -22,7 +22,7 @@ from trialsift.plans.ranges import (
     sketch_bounds,
     with_ranges,
 )
-from trialsift.session import settle
+from trialsift.session import settle, ship_self
 
 
 
@@ -369,6 +369,7 @@ def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFr
 
     Memory per task is one strip: about 1 / buckets of the distinct pairs.
     """
+    ship_self(df.sparkSession)
     pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
     # The grid has at most (2 * ranges)^2 cells and is counted in one task.
     bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, min(buckets, 1024))

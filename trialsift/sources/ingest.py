@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialsift.plans.ranges import cumulative
+from trialsift.session import ship_self
 from trialsift.sources.files import escape_glob, glob
 
 _BATCH = r"_batch=(\d+)\.bin$"
@@ -44,6 +45,7 @@ def decode_flip_blob(data: bytes) -> list[np.ndarray]:
 
 def read_flip_sets(spark: SparkSession, path: str) -> DataFrame:
     """``(batch, pos, flips)`` of all flip-index files below a path, one file per row of work."""
+    ship_self(spark)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
