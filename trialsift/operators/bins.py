@@ -31,6 +31,7 @@ from trialsift.functions.exprs import (
     wilson_low,
 )
 from trialsift.plans.ranges import attach, cumulative, with_ranges
+from trialsift.session import settle
 
 
 def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -87,6 +88,7 @@ def binned_sums(
     if isinstance(bins, int):
         n = bins
         if x_range is None:
+            rows, _ = settle(rows)
             span = rows.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
             rows = attach(rows, span, by)
         else:
@@ -384,6 +386,7 @@ def histogram2d(
         flag(error).alias("err"),
     )
     if x_range is None or y_range is None:
+        rows, _ = settle(rows)
         span = rows.groupBy(*by).agg(
             F.min("__x").alias("__xl"), F.max("__x").alias("__xh"),
             F.min("__y").alias("__yl"), F.max("__y").alias("__yh"),

@@ -22,6 +22,7 @@ from trialsift.functions.exprs import (
     wilson_low,
 )
 from trialsift.plans.ranges import attach, neighbours
+from trialsift.session import settle
 
 # Parameters that identify a trial besides its id, used where both sides have them.
 TRIAL_KEYS = ("batch", "code", "d", "p", "rounds", "noisemodel", "xyz")
@@ -290,29 +291,25 @@ def flip_rates_by_override(
 
 def distribution(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Count per value and its share within the group."""
-    keys = list(by)
-    counts = df.groupBy(*keys, x).agg(F.count("*").alias("n"))
-    total = _group_totals(df, keys)
-    return _share(counts, total, keys, [x], "fraction")
+    return _shares(df, list(by), x, "fraction")
 
 
 def conditional_distribution(
     df: DataFrame, x: str, y: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """P(y | x): count per pair and its share among rows of the same ``x``."""
-    keys = [*by, x]
-    counts = df.groupBy(*keys, y).agg(F.count("*").alias("n"))
-    return _share(counts, _group_totals(df, keys), keys, [y], "conditional_probability")
+    return _shares(df, [*by, x], y, "conditional_probability")
 
 
-def _group_totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("__total"))
+def _shares(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Shares by joining group totals, so that one group is never gathered in a single window.
 
-
-def _share(counts, totals, keys, rest, name) -> DataFrame:
-    """Shares by joining group totals, so that one group is never gathered in a single window."""
+    The counts serve twice, so they are written once if they may be large.
+    """
+    counts, _ = settle(df.groupBy(*keys, value).agg(F.count("*").alias("n")), single_if_small=True)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
     joined = attach(counts, totals, keys)
-    return joined.select(*keys, *rest, "n", ratio("n", "__total").alias(name))
+    return joined.select(*keys, value, "n", ratio("n", "__total").alias(name))
 
 
 def stage1_distribution(

@@ -148,7 +148,7 @@ def false_safe(
         F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures]
     )
     # One row per requested rate.
-    totals = F.broadcast(spread.groupBy("abort_rate").agg(F.sum("n").alias("n_forced_only")))
+    totals = F.broadcast(groups.groupBy("abort_rate").agg(F.sum("n").alias("n_forced_only")))
     return groups.join(totals, "abort_rate").select(
         "abort_rate",
         *group_by,
