@@ -315,3 +315,53 @@ def test_option_checks():
     assert G.bin_count(True) is None and G.bin_count(4.0) == 4
     with pytest.raises(ValueError):
         G.whole_number(0, "per_round", 1)
+
+
+def test_solver_without_convergence(spark):
+    lone = cands(spark, (0, 0, 1.0, [0], True))
+    assert math.isnan(D.anchored_gap(lone, convergence_aware=False).first().gap)
+    assert math.isnan(D.reweighted_gap(lone, convergence_aware=False).first().gap)
+    assert math.isnan(D.reselect_gap(lone, convergence_aware=False).first().gap)
+
+
+def test_empty_inputs(spark):
+    df = spark.createDataFrame([], "s double, e boolean, a boolean, g int")
+    assert C.error_rate(df, "e").first().ler == 0.0
+    assert B.accept_rate(df, "a").first().rate == 0.0
+    assert C.postselect_unique(df, "s", "e").count() == 0
+    assert C.postselect_quantiles(df, "s", "e", buckets=8).count() == 0
+    assert C.postselect_at(df, "s", "e", 0.0).first().abort_rate is None
+    assert B.bin_rate(df, "s", "e", 5).count() == 0
+    assert C.postselect_ranked(df.withColumn("i", F.lit(1)), {"s": "e"}, [0.0, 0.5], ["i"]).where(
+        "n_accepted > 0").count() == 0
+
+
+def test_curve_read_off_and_improvement(spark):
+    rows = [(float(i), i < 3) for i in range(10)]
+    df = spark.createDataFrame(rows, "s double, e boolean")
+    curve = C.postselect_unique(df, "s", "e", "high")
+    got = {r.target: (r.abort_rate, r.errors) for r in C.read_at(curve, [0.0, 0.25, 0.9]).collect()}
+    # 0.25 lies between 0.2 and 0.3; the lower rate wins the tie.
+    assert got[0.0] == (0.0, 3) and got[0.25][1] == 1 and got[0.9] == (pytest.approx(0.9), 0)
+    same = C.relative_improvement(curve, curve).collect()
+    assert same and all(abs(r.log_eta) < 1e-12 for r in same)
+
+
+def test_logit_line(spark):
+    df = spark.createDataFrame(
+        [(g, 1.0 / (1.0 + math.exp(2.0 * g - 1.0))) for g in (-1.0, 0.0, 0.5, 2.0)], "bin_center double, rate double"
+    ).withColumns({"ci_low": F.col("rate") / 2, "ci_high": (F.col("rate") + 1) / 2})
+    fit = B.logit_fit(df).first()
+    assert fit.slope == pytest.approx(2.0) and fit.intercept == pytest.approx(-1.0)
+    assert (fit.g_low, fit.g_high) == (-1.0, 3.0)
+    assert B.fit_line(B.logit_fit(df), 5).count() == 5
+
+
+def test_join_guards(spark):
+    left = spark.createDataFrame([(1, 1, 0.5, True), (1, 1, 0.7, True)], "shot_id int, batch int, a double, is_logical_error boolean")
+    right = spark.createDataFrame([(1, 1, 0.1, False)], "shot_id int, batch int, b double, is_logical_error boolean")
+    with pytest.raises(ValueError, match="repeat"):
+        P.join_scores(left, right)
+    assert P.join_scores(left, right, allow_fanout=True).count() == 2
+    with pytest.raises(ValueError, match="no trials"):
+        P.rerank(left, right.where("false"), "a", "b")

@@ -276,13 +276,13 @@ def unique_values(
 def accept_rate(
     df: DataFrame, accepted: str, by: Sequence[str] = (), alpha: float = 0.05
 ) -> DataFrame:
-    """Accept rate of a boolean flag (or of a number above one half) per group."""
+    """Accept rate of a boolean flag (or of a number above one half) per group; 0 for no rows."""
     boolean = dict(df.dtypes)[accepted] == "boolean"
     table = df.groupBy(*by).agg(
         F.coalesce(F.sum(flag(accept(accepted, boolean))), F.lit(0)).alias("k"),
         F.count("*").alias("n"),
     )
-    return _rates(table, list(by), "k", "n", alpha)
+    return _rates(table, list(by), "k", "n", alpha).fillna(0.0, ["rate", "ci_low", "ci_high"])
 
 
 def conditional_rate(

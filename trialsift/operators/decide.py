@@ -109,20 +109,22 @@ def anchored_gap(
     cands: DataFrame,
     keys: Sequence[str] = ("shot_id",),
     unconverged: str | None = None,
+    convergence_aware: bool = True,
 ) -> DataFrame:
     """Lightest converged forced candidate minus the baseline; the baseline's decision stays.
 
     Baseline not converged: -inf, forced error.  No converged alternative: +inf for ``positive``,
-    else -inf.
+    else -inf; NaN for a solver without a notion of convergence.
     """
     keys = list(keys)
+    nothing = _sentinel(unconverged, -INF) if convergence_aware else F.lit(NAN)
     eligible = (F.col("stage") == 1) & F.col("converged") & (F.col("weight") < F.lit(INF))
     best = F.min(F.when(eligible, F.struct("weight", "obs_idx", "logical"))).alias("best")
     t = _baseline(cands, keys, best)
     ok, found = F.col("base.converged"), F.col("best").isNotNull()
     gap = (
         F.when(~ok, F.lit(-INF))
-        .when(~found, _sentinel(unconverged, -INF))
+        .when(~found, nothing)
         .otherwise(F.col("best.weight") - F.col("base.weight"))
     )
     flips = F.when(ok & found, flip_indices("base.logical", "best.logical")).otherwise(_none())
@@ -143,6 +145,7 @@ def reweighted_gap(
     cands: DataFrame,
     keys: Sequence[str] = ("shot_id",),
     unconverged: str | None = None,
+    convergence_aware: bool = True,
 ) -> DataFrame:
     """Anchored gap with one more, unconstrained candidate from reweighted priors (stage 2).
 
@@ -150,6 +153,7 @@ def reweighted_gap(
     joins the alternatives.
     """
     keys = list(keys)
+    nothing = _sentinel(unconverged, -INF) if convergence_aware else F.lit(NAN)
     eligible = (F.col("stage") == 1) & F.col("converged")
     best = F.min(F.when(eligible, F.struct("weight", "obs_idx", "logical"))).alias("best")
     extra = F.max(
@@ -166,7 +170,7 @@ def reweighted_gap(
     second = F.when(other, F.least(constrained, wr)).otherwise(constrained)
     gap = (
         F.when(~ok, F.lit(-INF))
-        .when(~have & ~other, _sentinel(unconverged, -INF))
+        .when(~have & ~other, nothing)
         .otherwise(second - reference)
     )
     flips = (

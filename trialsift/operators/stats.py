@@ -58,7 +58,7 @@ def describe(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        F.max(F.when(known("value"), F.col("value"))).alias("max"),
     )
     marks = _quantile_columns(long, keys, quantiles, method, buckets)
     return join_groups(moments, marks, keys, "left").select(
