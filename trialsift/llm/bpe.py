@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -372,9 +373,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
     vocabulary = load_vocabulary(docs.sparkSession, tokenizer_path)
 
     @F.pandas_udf("struct<ids: binary, decoded: string>")
-    def encode(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(vocabulary)
         for texts in batches:
             ids, decoded = [], []
