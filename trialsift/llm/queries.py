@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
+from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.tokenizer_files import WORD_BPE
 
 
@@ -23,7 +24,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 #: name: (query, equivalent SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op6_bpe": (op6_bpe, None),
+    "op9_minhash": (op9_minhash, None),
 }
