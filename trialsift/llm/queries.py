@@ -10,7 +10,20 @@ from pyspark.sql import functions as F
 from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
 from trialsift.llm.minhash import near_duplicates
+from trialsift.llm.quality import fit, judge, measure
 from trialsift.llm.tokenizer_files import WORD_BPE
+from trialsift.session import cut_lineage
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and verdict of every document; texts are read once here."""
+    docs = table(spark, sf_dir, "documents")
+    measured = cut_lineage(measure(docs).select("doc_id", "lang", "source", "stats"))
+    judged = judge(measured, fit(measured))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(
+        "doc_id", *[F.col(f"stats.{c}").alias(c) for c in counts], "base_failed", "kept", "distance"
+    )
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +44,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name: (query, equivalent SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_quality": (op2_quality, None),
     "op6_bpe": (op6_bpe, None),
     "op9_minhash": (op9_minhash, None),
 }
