@@ -10,11 +10,28 @@ from pyspark.sql import functions as F
 from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
 from trialsift.llm.minhash import near_duplicates
+from trialsift.llm.mixing import plan_mix
 from trialsift.llm.quality import fit, judge, measure
+from trialsift.llm.sharding import assign_shards
 from trialsift.llm.tokenizer_files import WORD_BPE
 from trialsift.session import cut_lineage
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards; digests are those of the texts that the shards hold."""
+    placed = assign_shards(table(spark, sf_dir, "documents"), 40)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rules and verdict of every document; texts are read once here."""
     docs = table(spark, sf_dir, "documents")
@@ -42,9 +59,58 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    planned = plan_mix(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Sources are capped one after another by weight per word; the first that is not capped tells the
+# share of a unit of weight for itself and all after it.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u,
+    coalesce(greatest(0.1e0, length(regexp_replace(text, '[#*$%&|<>@=_~^{}\[\]\\\x00-\x1F]', '', 'g'))
+      / CAST(greatest(length(text), 1) AS DOUBLE)), 0.1e0) AS w
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words,
+    CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, CASE WHEN words > 0 THEN weight ELSE 0e0 END AS real,
+    CAST(sum(words) OVER () AS DOUBLE) AS total,
+    row_number() OVER (ORDER BY CASE WHEN words > 0 THEN weight / words END DESC NULLS LAST, source NULLS LAST) AS k
+  FROM s),
+o AS (
+  SELECT *, sum(real) OVER () - coalesce(sum(real) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS open,
+    total - 3 * coalesce(sum(words) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
+  FROM r),
+v AS (SELECT *, open > 0 AND real > 0 AND remaining / nullif(open, 0) * real > 3 * words AS over FROM o),
+f AS (SELECT remaining / open AS unit FROM v WHERE NOT over AND real > 0 ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, words AS source_size,
+    CASE WHEN real = 0 THEN 0e0 WHEN over THEN CAST(3 * words AS DOUBLE) ELSE (SELECT unit FROM f) * real END AS target
+  FROM v),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS epochs FROM t),
+p AS (
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / w, doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE
+    WHEN epochs < 3 AND before + size / 2e0 < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM p
+"""
+
+
 #: name: (query, equivalent SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_shards": (op1_shards, None),
     "op2_quality": (op2_quality, None),
     "op6_bpe": (op6_bpe, None),
     "op9_minhash": (op9_minhash, None),
+    "op10_mix": (op10_mix, OP10_SQL),
 }
