@@ -11,6 +11,7 @@ from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
 from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.mixing import plan_mix
+from trialsift.llm.pii import BASE, KINDS, find_pii, fit_detector, spans_text
 from trialsift.llm.quality import fit, judge, measure
 from trialsift.llm.sharding import assign_shards
 from trialsift.llm.tokenizer_files import WORD_BPE
@@ -43,6 +44,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, fit_detector(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+
+    def count(kind: str):
+        own = F.filter(kinds, lambda k: k == KINDS.index(kind))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document."""
     coded = bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE())
@@ -110,6 +130,7 @@ FROM p
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_shards": (op1_shards, None),
     "op2_quality": (op2_quality, None),
+    "op3_pii": (op3_pii, None),
     "op6_bpe": (op6_bpe, None),
     "op9_minhash": (op9_minhash, None),
     "op10_mix": (op10_mix, OP10_SQL),
