@@ -12,9 +12,11 @@ from trialsift.llm.common import table
 from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.mixing import plan_mix
 from trialsift.llm.pii import BASE, KINDS, find_pii, fit_detector, spans_text
+from trialsift.llm.pivots import top_k
 from trialsift.llm.quality import fit, judge, measure
 from trialsift.llm.sharding import assign_shards
 from trialsift.llm.tokenizer_files import WORD_BPE
+from trialsift.llm.urls import judge_urls
 from trialsift.session import cut_lineage
 
 
@@ -74,6 +76,79 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+# A vector takes no part if a component is NULL, NaN or infinite.
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page, by the rules or by its aliases."""
+    judged = judge_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# Components by reachability over the canonical and refresh links between alias classes.
+OP8_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS tail FROM pages),
+p AS (
+  SELECT page_id, url, html,
+    coalesce(translate(regexp_extract(tail, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+rules(verdict, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fit AS (
+  SELECT page_id, url, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM (SELECT DISTINCT page_id, url, host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+  GROUP BY page_id, url),
+links AS (
+  SELECT url AS a, unnest([
+    CASE WHEN regexp_matches(html, '(?i)canonical|http-equiv') THEN regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel\s*=\s*["'']?canonical[^>]*>', 0), '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1) END,
+    CASE WHEN regexp_matches(html, '(?i)canonical|http-equiv') THEN regexp_extract(regexp_extract(html, '(?i)<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*>', 0), '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) END]) AS x
+  FROM p),
+ends AS (
+  SELECT a, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN 'http:' || x
+    WHEN starts_with(x, '/') THEN regexp_extract(a, '^(.*?://[^/?#]*)', 1) || x
+    ELSE coalesce(nullif(regexp_extract(a, '^(.*?://[^/?#]*(?:/[^/?#]*)*/)', 1), ''), regexp_extract(a, '^(.*?://[^/?#]*)', 1) || '/') || x END AS b
+  FROM links WHERE x IS NOT NULL AND x <> ''),
+urls AS (SELECT url FROM p UNION SELECT b FROM ends),
+keyed AS (
+  SELECT url, CASE WHEN host <> '' THEN host || regexp_replace(coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), ''), '/(index\.html?)?$', '') || '?'
+    || array_to_string(list_filter(string_split(regexp_extract(tail, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)')), '&') END AS key
+  FROM (SELECT url, substr(url, instr(url, '://') + 3) AS tail,
+      regexp_replace(translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', '') AS host
+    FROM urls WHERE instr(url, '://') > 0)),
+edges AS (
+  SELECT DISTINCT k.key AS a, l.key AS b FROM ends JOIN keyed k ON k.url = a JOIN keyed l ON l.url = b WHERE k.key <> l.key),
+sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+part AS (SELECT a AS key, min(b) AS component FROM reach GROUP BY a),
+own AS (
+  SELECT p.page_id, p.url, p.host, p.path, fit.rule, fit.verdict, coalesce(part.component, keyed.key) AS c
+  FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND fit.url = p.url
+    LEFT JOIN keyed ON keyed.url = p.url LEFT JOIN part ON part.key = keyed.key),
+classes AS (SELECT c, bool_or(verdict = 'allow') AS allowed FROM own WHERE verdict IS NOT NULL AND c IS NOT NULL GROUP BY c)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN allowed = false THEN 'block' ELSE 'allow' END) AS verdict
+FROM own LEFT JOIN classes ON own.c = classes.c
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near copies of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
@@ -132,6 +207,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_quality": (op2_quality, None),
     "op3_pii": (op3_pii, None),
     "op6_bpe": (op6_bpe, None),
+    "op7_pivots": (op7_pivots, OP7_SQL),
+    "op8_urls": (op8_urls, OP8_SQL),
     "op9_minhash": (op9_minhash, None),
     "op10_mix": (op10_mix, OP10_SQL),
 }
