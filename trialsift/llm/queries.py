@@ -15,9 +15,10 @@ from trialsift.llm.pii import BASE, KINDS, find_pii, fit_detector, spans_text
 from trialsift.llm.pivots import top_k
 from trialsift.llm.quality import fit, judge, measure
 from trialsift.llm.sharding import assign_shards
+from trialsift.llm.token_files import read_token_files, write_token_files
 from trialsift.llm.tokenizer_files import WORD_BPE
 from trialsift.llm.urls import judge_urls
-from trialsift.session import cut_lineage
+from trialsift.session import cut_lineage, scratch_path
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from the token files."""
+    path = scratch_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, WORD_BPE(), end=2)
+    return read_token_files(spark, path).select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document."""
     coded = bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE())
@@ -206,6 +219,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_shards": (op1_shards, None),
     "op2_quality": (op2_quality, None),
     "op3_pii": (op3_pii, None),
+    "op5_tokens": (op5_tokens, None),
     "op6_bpe": (op6_bpe, None),
     "op7_pivots": (op7_pivots, OP7_SQL),
     "op8_urls": (op8_urls, OP8_SQL),
