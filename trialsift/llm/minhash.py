@@ -7,9 +7,9 @@ that agree in all rows of a band meet in a bucket.
 
 Work is on distinct shingle sets; copies only carry a class number.  In a bucket every member is
 paired with its smallest and its largest document and the pairs are verified on full sets.  Where
-a bucket still holds several components, all pairs across components are compared by their
-sketches, block by block, and those that may reach the threshold are verified as well.  So no group
-is expanded into all its pairs, and no link between components is lost to the pairing.
+a bucket still holds several components, the members outside the largest one are compared with all
+others, again on full sets, in blocks of bounded size; a block gives back only the links that join
+components, never all pairs.  So no link between components is lost to the pairing.
 """
 
 from __future__ import annotations
@@ -31,9 +31,7 @@ from trialsift.session import cut_lineage
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
 BLOCK = 512  # members of a bucket compared in one block
-# Share of equal coordinates below which a pair is not verified: more than six standard deviations
-# of a 96-coordinate sketch below a similarity of 0.85.
-LIKELY = 0.62
+PAIRED = 3  # in a bucket of so many members the pairs with the ends are all pairs
 
 
 def fill_bins(values: np.ndarray, owner: np.ndarray, count: int, bins: int = BINS) -> np.ndarray:
@@ -90,13 +88,11 @@ def _sketches(words: int):
                     raw = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     digest[i] = np.frombuffer(raw, dtype=np.int64)
                 bands: list = [None] * len(sets)
-                coarse: list = [None] * len(sets)
                 if len(filled):
                     owner = np.repeat(np.arange(len(filled)), sizes[filled])
                     sketch = fill_bins(np.concatenate([sets[i] for i in filled]), owner, len(filled))
-                    keys, low = band_keys(sketch), (mix(sketch) & np.uint64(255)).astype(np.uint8)
-                    for row, i in enumerate(filled.tolist()):
-                        bands[i], coarse[i] = keys[row], low[row].tobytes()
+                    for i, keys in zip(filled.tolist(), band_keys(sketch)):
+                        bands[i] = keys
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -104,9 +100,8 @@ def _sketches(words: int):
                         pa.array(digest[:, 0]),
                         pa.array(digest[:, 1]),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(coarse, pa.binary()),
                     ],
-                    ["id", "n_shingles", "set_a", "set_b", "bands", "coarse"],
+                    ["id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -142,9 +137,7 @@ def _verified(words: int, percent: int):
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``x``, ``y`` that reach the similarity, by the documents' whole texts."""
     pairs = cut_lineage(pairs)
-    needed = pairs.select(F.col("x").alias("n")).union(pairs.select("y")).distinct()
-    wanted = texts.join(needed, texts["id"] == needed["n"], "left_semi")
-    wanted = wanted.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
+    wanted = _texts_of(texts, pairs.select("x").union(pairs.select("y")))
     left = pairs.join(wanted.select(F.col("id").alias("x"), F.col("text").alias("a")), "x")
     both = left.join(wanted.select(F.col("id").alias("y"), F.col("text").alias("b")), "y")
     kept = both.select("x", "y", "a", "b").mapInArrow(
@@ -153,25 +146,50 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return cut_lineage(kept.distinct())
 
 
-def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's strays (``side`` 0) and members whose sketches may reach the threshold."""
-    out: list[tuple] = []
-    strays, members = group[group.side == 0], group[group.side == 1]
-    if len(strays) and len(members):
-        own = np.stack([np.frombuffer(b, dtype=np.uint8) for b in members.coarse])
-        ids, comps = members.node.to_numpy(), members.component.to_numpy()
-        for node, component, coarse in zip(strays.node, strays.component, strays.coarse):
-            equal = (own == np.frombuffer(coarse, dtype=np.uint8)).mean(axis=1)
-            hits = np.flatnonzero((equal >= LIKELY) & (comps != component))
-            out += [(min(node, o), max(node, o)) for o in ids[hits].tolist()]
-    return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+def _joining(words: int, percent: int):
+    """Links that join components, of a block's strays (``side`` 0) to its members."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        strays, members = group[group.side == 0], group[group.side == 1]
+        out: list[tuple[int, int]] = []
+        if len(strays) and len(members):
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            sets = list(shingle_sets(members.text.tolist(), words))
+            sizes = np.array([len(s) for s in sets])
+            all_shingles, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            ids, components = members.node.tolist(), members.component.to_numpy()
+            marked = np.zeros(len(all_shingles), dtype=np.int32)
+            own_sets = shingle_sets(strays.text.tolist(), words)
+            for node, component, own in zip(strays.node.tolist(), strays.component.tolist(), own_sets):
+                at = np.searchsorted(all_shingles, own)
+                at = at[at < len(all_shingles)]
+                at = at[np.isin(all_shingles[at], own)]
+                marked[at] = 1
+                shared = np.add.reduceat(marked[numbers], starts)
+                marked[at] = 0
+                linked = 100 * shared >= percent * (sizes + len(own) - shared)
+                for i in np.flatnonzero(linked & (components != component)).tolist():
+                    x, y = find(component), find(int(components[i]))
+                    if x != y:
+                        root[x] = y
+                        out.append((min(node, ids[i]), max(node, ids[i])))
+        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+
+    return run
 
 
-def across_components(buckets: DataFrame) -> DataFrame:
-    """Likely pairs across components within buckets (``key``, ``node``, ``component``, ``coarse``).
+def across_components(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links across components within buckets (``key``, ``node``, ``component``).
 
-    In each bucket the members outside its largest component are compared with all members of other
-    components; both sides are cut into blocks, so a group of the comparison is of bounded size.
+    In each bucket the members outside its largest component are compared with all members;
+    both sides are cut into blocks, so a group of the comparison is of bounded size.
     """
     sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = (
@@ -181,7 +199,7 @@ def across_components(buckets: DataFrame) -> DataFrame:
             F.max(F.struct("n", "component")).alias("top"),
             F.count("*").alias("parts"),
         )
-        .where(F.col("parts") > 1)
+        .where((F.col("parts") > 1) & (F.col("members") > PAIRED))
     )
     split = split.select(
         F.col("key"),
@@ -190,22 +208,30 @@ def across_components(buckets: DataFrame) -> DataFrame:
         F.ceil((F.col("members") - F.col("top.n")) / BLOCK).alias("rows"),
     )
     rows = buckets.join(split, "key")
-    spot = F.xxhash64("node")
+    spot, none = F.xxhash64("node"), F.lit(0).cast("long")
     strays = rows.where(F.col("component") != F.col("main")).select(
         "key",
         F.pmod(spot, F.col("rows")).alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("j"),
-        F.lit(0).alias("side"), "node", "component", "coarse",
+        F.explode(F.sequence(none, F.col("cols") - 1)).alias("j"),
+        F.lit(0).alias("side"), "node", "component",
     )
     members = rows.select(
         "key",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"),
+        F.explode(F.sequence(none, F.col("rows") - 1)).alias("i"),
         F.pmod(spot, F.col("cols")).alias("j"),
-        F.lit(1).alias("side"), "node", "component", "coarse",
+        F.lit(1).alias("side"), "node", "component",
     )
-    blocks = strays.unionByName(members)
-    found = blocks.groupBy("key", "i", "j").applyInPandas(_compared, "x long, y long")
-    return found.distinct()
+    blocks = cut_lineage(strays.unionByName(members))
+    full = blocks.join(_texts_of(texts, blocks.select("node")), F.col("node") == F.col("id"))
+    found = full.select("key", "i", "j", "side", "node", "component", "text").groupBy("key", "i", "j")
+    return cut_lineage(found.applyInPandas(_joining(words, percent), "x long, y long").distinct())
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct texts (``id``, ``text``) of some documents."""
+    needed = nodes.toDF("n").distinct()
+    wanted = texts.join(needed, texts["id"] == needed["n"], "left_semi")
+    return wanted.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
 
 
 def near_duplicates(
@@ -224,7 +250,7 @@ def near_duplicates(
     sketches = cut_lineage(
         plain.mapInArrow(
             _sketches(words),
-            "id long, n_shingles long, set_a long, set_b long, bands array<long>, coarse binary",
+            "id long, n_shingles long, set_a long, set_b long, bands array<long>",
         )
     )
     counted = sketches.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
@@ -232,7 +258,6 @@ def near_duplicates(
         counted.groupBy("set_a", "set_b").agg(
             F.min("id").alias("node"),
             F.first("bands").alias("bands"),
-            F.first("coarse").alias("coarse"),
         )
     )
     banded = classes.select(F.explode("bands").alias("key"), "node")
@@ -259,9 +284,7 @@ def near_duplicates(
     labelled = members.join(found, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
-    coarse = classes.select("node", "coarse").dropDuplicates(["node"])
-    second = across_components(labelled.distinct().join(coarse, "node"))
-    more = verify(second.join(first, ["x", "y"], "left_anti"), plain, words, percent)
+    more = across_components(labelled.distinct(), plain, words, percent)
     if not more.isEmpty():
         found = connected_components(
             links.unionByName(more).unionByName(_repeated(counted, own)), "x", "y"

@@ -11,6 +11,7 @@ from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
 from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.mixing import plan_mix
+from trialsift.llm.passages import repeated_passages
 from trialsift.llm.pii import BASE, KINDS, find_pii, fit_detector, spans_text
 from trialsift.llm.pivots import top_k
 from trialsift.llm.quality import fit, judge, measure
@@ -66,6 +67,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that documents share."""
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the token files."""
     path = scratch_path(spark, "tokens")
@@ -219,6 +225,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_shards": (op1_shards, None),
     "op2_quality": (op2_quality, None),
     "op3_pii": (op3_pii, None),
+    "op4_passages": (op4_passages, None),
     "op5_tokens": (op5_tokens, None),
     "op6_bpe": (op6_bpe, None),
     "op7_pivots": (op7_pivots, OP7_SQL),
