@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import quoted
+from trialsift.llm.common import fresh, quoted
 from trialsift.llm.components import connected_components
 from trialsift.llm.shingles import mix, seed, shingle_sets
 from trialsift.session import cut_lineage
@@ -302,6 +302,27 @@ def near_duplicates(
     )
 
 
+def keep_one(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85
+) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document of its smallest id.
+
+    Of rows that repeat an id one stays, that with the smallest hash of its text.  Rows without an
+    id all stay.  Columns are those of ``docs``.
+    """
+    found = near_duplicates(docs, id, text, words, percent)
+    (wanted,) = fresh(docs, "wanted")
+    kept = cut_lineage(
+        found.where("kept").where(quoted(id).isNotNull()).select(quoted(id).alias(wanted)).distinct()
+    )
+    rows = docs.join(kept, quoted(id).cast("long") == quoted(wanted), "left_semi")
+    (spot,) = fresh(docs, "spot")
+    # The join has brought the rows of an id together, so the window needs no further exchange.
+    first = Window.partitionBy(quoted(id)).orderBy(F.xxhash64(quoted(text)))
+    one = rows.withColumn(spot, F.row_number().over(first)).where(quoted(spot) == 1).drop(spot)
+    return one.unionByName(docs.where(quoted(id).isNull()))
+
+
 def _repeated(counted: DataFrame, own: DataFrame) -> DataFrame:
     """Links of ids that stand in several rows with different sets to the nodes of those sets."""
     ids = counted.groupBy("id").agg(F.min(F.struct("set_a", "set_b")).alias("a"), F.max(F.struct("set_a", "set_b")).alias("b"))
