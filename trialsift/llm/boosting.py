@@ -14,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
 @dataclass
 class Node:
     value: float = 0.0
@@ -70,7 +74,7 @@ class Boosted:
         return self.base + sum((t.score(x) for t in self.trees), np.zeros(len(x)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
+        return _logistic(self.slope * self.raw(x) + self.shift)
 
     def expression(self, x: Sequence[Column]) -> Column:
         total = F.lit(self.base)
@@ -89,7 +93,7 @@ def fit_boosted(
     model = Boosted(base=float(np.log(share / (1 - share))))
     score = np.full(len(x), model.base)
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
+        p = _logistic(score)
         tree = _grow(x, weight * (label - p), weight * p * (1 - p), depth, shrink, ridge)
         model.trees.append(tree)
         score += tree.score(x)
@@ -105,7 +109,7 @@ def calibrate(model: Boosted, x: np.ndarray, label: np.ndarray, count: np.ndarra
     target = np.where(label > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * raw + b)))
+        p = _logistic(a * raw + b)
         d, h = weight * (target - p), weight * p * (1 - p)
         g = np.array([(d * raw).sum(), d.sum()])
         m = np.array([[(h * raw * raw).sum() + 1e-3, (h * raw).sum()], [(h * raw).sum(), h.sum() + 1e-3]])
