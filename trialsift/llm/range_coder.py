@@ -4,13 +4,15 @@ Every block starts from an empty model.  For each id the model predicts:
 
 * order 2: what followed the last two ids the last time, with a confidence;
 * order 1: what followed the last id the last time, with a confidence;
-* order 0: counts of the ids' upper bytes so far in the block, lower bytes alike.
+* order 0: counts so far in the block, of the ids' uppermost and of their next four bits; the
+  lower byte is taken as even.
 
 How much of the probability the two predictions get is itself learned: the share of right guesses at
 each confidence, per block.  The interval of the coder is laid out as ``[order 2 | order 1 | order 0]``,
 and the arithmetic is on whole numbers, so encoder and decoder agree on every machine.
 
-Blocks are the rows of NumPy arrays and one step codes the next id of each of them.
+Blocks are the rows of NumPy arrays and one step codes the next id of each of them.  Counts are kept
+as running sums, so that an interval is two look-ups.
 """
 
 from __future__ import annotations
@@ -19,75 +21,95 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024  # ids of a block; with it the counts stay below the room that order 0 always keeps
+BLOCK = 1024  # ids of a block; with it no interval of order 0 falls below 10 units
 LANES = 4096  # blocks coded together
 _SLOTS = 1024  # entries of the context tables
-_GAIN = 8  # count of one id in order 0
+_TOTAL = 28  # bits of the scale of intervals
+_FIRST = ((512, 32), (64, 4))  # order 0: what every symbol starts with, and what one adds
 _MASK48 = np.uint64((1 << 48) - 1)
 _LOW = np.uint64(1 << 32)
+_HASH = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
+#: Row ``g`` adds to the running sums behind symbol ``g``; row 16 adds nothing.
+_ADDED = [
+    np.vstack([gain * (np.arange(17)[None, :] > np.arange(16)[:, None]), np.zeros((1, 17))]).astype(np.int32)
+    for _, gain in _FIRST
+]
 
 
 class _Model:
-    """State of the first ``n`` blocks of a batch (blocks are sorted by falling length)."""
+    """State of the blocks of a batch, which are sorted by falling length: ``n`` of them go on."""
 
     def __init__(self, n: int):
-        self.row = np.arange(n)
+        row = np.arange(n)
+        self.slots, self.cells, self.sums = row * _SLOTS, row * 4, row * 17
         self.table = [np.zeros(n * _SLOTS, dtype=np.int32) for _ in range(2)]  # id << 2 | confidence
-        self.share = [np.full(n * 4, 2048, dtype=np.int64) for _ in range(2)]  # of 4096
-        self.fine = np.ones((n, 16, 16), dtype=np.int32)
-        self.coarse = np.full((n, 16), 16, dtype=np.int32)
-        self.total = np.full(n, 256, dtype=np.int64)
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
+        start = np.tile(np.array([0, 2048, 2048, 2048], dtype=np.int32), n)  # of 4096
+        self.share = [start.copy(), start]
+        self.counts = [np.tile(np.arange(17, dtype=np.int32) * first, (n, 1)) for first, _ in _FIRST]
+        self.last = np.zeros(n, dtype=np.uint32)
+        self.before = np.zeros(n, dtype=np.uint32)
 
     def predict(self, n: int) -> None:
-        row, last = self.row[:n], self.last[:n]
-        one = (last * 40503 >> 6) & (_SLOTS - 1)
-        two = ((last * 40503 + self.before[:n] * 30011) >> 7) & (_SLOTS - 1)
-        self.at = [row * _SLOTS + two, row * _SLOTS + one]
-        entries = [t[a] for t, a in zip(self.table, self.at)]
-        self.guess = [(e >> 2).astype(np.int64) for e in entries]
-        self.sure = [(e & 3).astype(np.int64) for e in entries]
-        self.cell = [row * 4 + s for s in self.sure]
-        right = [np.where(s > 0, p[c], 0) for s, p, c in zip(self.sure, self.share, self.cell)]
-        f2 = np.minimum(right[0] << 4, 40000)
-        f1 = np.minimum((65536 - f2) * right[1] >> 12, (65536 - f2) >> 1)
-        same = (self.guess[0] == self.guess[1]) & (self.sure[0] > 0)
-        self.f2 = np.where(same, np.minimum(f2 + f1, 50000), f2)
-        self.f1 = np.where(same, 0, f1)
-        self.base = self.f2 + self.f1
-        self.room = 65536 - self.base
+        last = self.last[:n] * _HASH[0]
+        keys = ((last + self.before[:n]) * _HASH[1] >> np.uint32(22), last * _HASH[2] >> np.uint32(22))
+        self.at = [self.slots[:n] + k for k in keys]
+        self.entry = [t.take(a) for t, a in zip(self.table, self.at)]
+        self.guess = [e >> 2 for e in self.entry]
+        self.sure = [e & 3 for e in self.entry]
+        self.cell = [self.cells[:n] + s for s in self.sure]
+        self.right = [p.take(c) for p, c in zip(self.share, self.cell)]
+        two = self.right[0] * 14
+        one = (65536 - two) * self.right[1] >> 13
+        joint = one * (self.guess[0] == self.guess[1])
+        self.two, self.one = two + joint, one - joint
+        self.base = self.two + self.one
+        self.room = (65536 - self.base).astype(np.int64) << (_TOTAL - 16)
+
+    def order0(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Interval of ids within the room of order 0."""
+        start, width = np.zeros(len(rows), dtype=np.int64), self.room[rows]
+        for counts, symbol in zip(self.counts, (ids >> 12, ids >> 8 & 15)):
+            flat, at = counts.ravel(), self.sums[rows] + symbol
+            total = flat.take(self.sums[rows] + 16)
+            low = flat.take(at) * width // total
+            width = flat.take(at + 1) * width // total - low
+            start += low
+        part = width >> 8
+        return start + part * (ids & 255), part
+
+    def find0(self, rows: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids whose intervals within the room of order 0 hold ``want``, and these intervals."""
+        start, width = np.zeros(len(rows), dtype=np.int64), self.room[rows]
+        found = np.zeros(len(rows), dtype=np.int64)
+        for counts in self.counts:
+            flat, first = counts.ravel(), self.sums[rows]
+            total = flat.take(first + 16)
+            goal = ((want - start + 1) * total - 1) // width
+            at = first
+            for step in (8, 4, 2, 1):
+                at = at + step * (flat.take(at + step) <= goal)
+            low = flat.take(at) * width // total
+            width = flat.take(at + 1) * width // total - low
+            start += low
+            found = found << 4 | (at - first)
+        part = width >> 8
+        low8 = np.minimum((want - start) // part, 255)
+        return found << 8 | low8, start + part * low8, part
 
     def update(self, n: int, ids: np.ndarray, missed: np.ndarray) -> None:
+        """``missed`` is true where order 0 had to code the id."""
         for k in range(2):
-            hit, known = self.guess[k] == ids, self.sure[k] > 0
-            p = self.share[k][self.cell[k]]
-            self.share[k][self.cell[k]] = p + np.where(known, np.where(hit, 4095 - p, -p) >> 4, 0)
-            sure = np.where(hit & known, np.minimum(self.sure[k] + 1, 3), self.sure[k] - 1)
-            fresh = sure < 1
-            guess = np.where(fresh, ids, self.guess[k])
-            self.table[k][self.at[k]] = (guess << 2 | np.where(fresh, 1, sure)).astype(np.int32)
-        rows, top = self.row[:n][missed], ids[missed] >> 8
-        self.fine[rows, top >> 4, top & 15] += _GAIN
-        self.coarse[rows, top >> 4] += _GAIN
-        self.total[rows] += _GAIN
+            sure, p = self.sure[k], self.right[k]
+            hit = ((self.guess[k] == ids) & (sure > 0)).astype(np.int32)
+            self.share[k][self.cell[k]] = p + (hit * 4095 - p >> 4)
+            sure = np.where(hit, sure + (sure < 3), sure - 1)
+            self.table[k][self.at[k]] = np.where(sure < 1, ids << 2 | 1, self.guess[k] << 2 | sure)
+        for counts, added, symbol in zip(self.counts, _ADDED, (ids >> 12, ids >> 8 & 15)):
+            counts[:n] += added.take(np.where(missed, symbol, 16), axis=0)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-_STEPS = np.arange(16)
-
-
-def _order0(model: _Model, rows: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interval of upper bytes within the room of order 0, in counts scaled to the room."""
-    coarse, fine = model.coarse[rows], model.fine[rows, top >> 4]
-    low = (coarse * (_STEPS < (top >> 4)[:, None])).sum(axis=1) + (fine * (_STEPS < (top & 15)[:, None])).sum(axis=1)
-    high = low + fine[np.arange(len(rows)), top & 15]
-    room, total = model.room[rows], model.total[rows]
-    start = low * room // total
-    return start, high * room // total - start
-
-
 def _batches(lengths: np.ndarray):
     """Blocks in groups that are coded together, each sorted by falling length."""
     order = np.argsort(-lengths, kind="stable")
@@ -110,17 +132,17 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
         used = np.zeros(n_all, dtype=np.int64)
         for t in range(int(size.max(initial=0))):
             n = int(np.searchsorted(-size, -t, side="left"))
-            symbol = ids[first[:n] + t].astype(np.int64)
+            symbol = ids[first[:n] + t].astype(np.int32)
             model.predict(n)
-            hit2 = (model.f2 > 0) & (symbol == model.guess[0])
-            hit1 = ~hit2 & (model.f1 > 0) & (symbol == model.guess[1])
-            start = np.where(hit1, model.f2, 0) << 8
-            freq = np.where(hit2, model.f2, model.f1) << 8
-            missed = np.flatnonzero(~(hit2 | hit1))
-            s16, w16 = _order0(model, missed, symbol[missed] >> 8)
-            start[missed] = ((model.base[missed] + s16) << 8) + w16 * (symbol[missed] & 255)
-            freq[missed] = w16
-            unit = width[:n] >> np.uint64(24)
+            hit2 = (model.two > 0) & (symbol == model.guess[0])
+            hit1 = ~hit2 & (model.one > 0) & (symbol == model.guess[1])
+            start = (model.two * hit1).astype(np.int64) << (_TOTAL - 16)
+            freq = np.where(hit2, model.two, model.one).astype(np.int64) << (_TOTAL - 16)
+            missed = ~(hit2 | hit1)
+            rows = np.flatnonzero(missed)
+            begin, freq[rows] = model.order0(rows, symbol[rows].astype(np.int64))
+            start[rows] = (model.base[rows].astype(np.int64) << (_TOTAL - 16)) + begin
+            unit = width[:n] >> np.uint64(_TOTAL)
             low[:n] += unit * start.astype(np.uint64)
             width[:n] = unit * freq.astype(np.uint64)
             carry = np.flatnonzero(low[:n] > _MASK48)
@@ -163,29 +185,18 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray, checks: list[int])
         for t in range(out.shape[1]):
             n = int(np.searchsorted(-size, -t, side="left"))
             model.predict(n)
-            unit = width[:n] >> np.uint64(24)
-            slot = np.minimum((code[:n] // unit).astype(np.int64), (1 << 24) - 1)
-            s16 = slot >> 8
-            hit2 = s16 < model.f2
-            hit1 = ~hit2 & (s16 < model.base)
+            unit = width[:n] >> np.uint64(_TOTAL)
+            slot = np.minimum((code[:n] // unit).astype(np.int64), (1 << _TOTAL) - 1)
+            coarse = (slot >> (_TOTAL - 16)).astype(np.int32)
+            hit2 = coarse < model.two
+            missed = coarse >= model.base
             symbol = np.where(hit2, model.guess[0], model.guess[1])
-            start = np.where(hit1, model.f2, 0) << 8
-            freq = np.where(hit2, model.f2, model.f1) << 8
-            missed = np.flatnonzero(s16 >= model.base)
-            if len(missed):
-                room, total = model.room[missed], model.total[missed]
-                want = ((s16[missed] - model.base[missed] + 1) * total - 1) // room
-                coarse = np.cumsum(model.coarse[missed], axis=1)
-                g = (coarse <= want[:, None]).sum(axis=1)
-                want -= np.where(g > 0, coarse[np.arange(len(g)), g - 1], 0)
-                f = (np.cumsum(model.fine[missed, g], axis=1) <= want[:, None]).sum(axis=1)
-                top = g << 4 | f
-                begin, w16 = _order0(model, missed, top)
-                begin = (model.base[missed] + begin) << 8
-                low8 = np.minimum((slot[missed] - begin) // w16, 255)
-                symbol[missed] = top << 8 | low8
-                start[missed] = begin + w16 * low8
-                freq[missed] = w16
+            start = (model.two * ~hit2).astype(np.int64) << (_TOTAL - 16)
+            freq = np.where(hit2, model.two, model.one).astype(np.int64) << (_TOTAL - 16)
+            rows = np.flatnonzero(missed)
+            base = model.base[rows].astype(np.int64) << (_TOTAL - 16)
+            symbol[rows], begin, freq[rows] = model.find0(rows, slot[rows] - base)
+            start[rows] = base + begin
             code[:n] -= unit * start.astype(np.uint64)
             width[:n] = unit * freq.astype(np.uint64)
             narrow = np.flatnonzero(width[:n] < _LOW)
