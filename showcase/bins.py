@@ -258,14 +258,15 @@ CHANGE = """CASE WHEN forced_stage1_obs_flip AND NOT forced_is_logical_error THE
   WHEN forced_stage1_obs_flip THEN 'both_wrong' ELSE 'both_correct' END"""
 
 
-def transition_sql(axis: str) -> str:
+def transition_sql(axis: str, source: str = PAIRS) -> str:
+    """``source`` may leave scores NULL: such trials count in the denominator and come last."""
     x = (
         "forced_gap_ml"
         if axis == "gap_value"
-        else "CAST(count(*) OVER (ORDER BY forced_gap_ml) AS DOUBLE) / count(*) OVER ()"
+        else "CAST(count(*) OVER (ORDER BY forced_gap_ml NULLS LAST) AS DOUBLE) / count(*) OVER ()"
     )
     inner = (
-        PAIRS
+        source
         + f""", ax AS (SELECT {x} AS x, {CHANGE} AS category,
             forced_stage2_weight < forced_stage1_weight AS chosen FROM pairs),
           sub AS (SELECT x, category FROM ax WHERE chosen)"""
@@ -301,6 +302,21 @@ add(
     lambda s, d: _transitions(s, d, "abort_rate"),
     transition_sql("abort_rate"),
 )
+# Some trials have no forced gap (NaN where there is no rival class, NULL where it was not recorded).
+MISSING = PAIRS.replace("pairs AS (", "whole AS (") + """, pairs AS (SELECT * EXCLUDE (forced_gap_ml),
+  CASE WHEN shot_id % 5 < 2 THEN NULL ELSE forced_gap_ml END AS forced_gap_ml FROM whole)"""
+
+
+def _transitions_missing(s, d):
+    gap = F.when(F.col("shot_id") % 5 == 0, F.lit(float("nan"))).when(F.col("shot_id") % 5 > 1, F.col("forced_gap_ml"))
+    p = pairs(s, d).withColumn("forced_gap_ml", gap)
+    p = p.withColumn("anc", F.col("forced_stage2_weight") - F.col("forced_stage1_weight"))
+    return B.transitions(
+        p, "forced_gap_ml", "anc", "forced_stage1_obs_flip", "forced_is_logical_error", 8, "abort_rate"
+    )
+
+
+add("transitions_with_missing_scores", _transitions_missing, transition_sql("abort_rate", MISSING))
 CASES = "cs(\"case\") AS (VALUES (-1), (0), (1), (2), (3))"
 add(
     "case_counts",

@@ -287,6 +287,37 @@ def rates_cte(rates) -> str:
 
 
 KEPT = f"k AS (SELECT abort_rate, n, {kept_sql('abort_rate', 'n')} AS kept FROM rates, nn)"
+# Ties ordered by a decimal that is sometimes NULL, a date and a text.
+TYPED = f"""{PAIRS}, typed AS (SELECT pairs.*, CASE WHEN shot_id % 9 = 0 THEN NULL
+    ELSE CAST(o_totalprice AS DECIMAL(12, 2)) END AS price, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS word
+  FROM pairs JOIN orders ON o_orderkey = shot_id)"""
+
+
+def _typed(s, d):
+    o = table(s, d, "orders").select(
+        F.col("o_orderkey").alias("shot_id"),
+        F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice").cast("decimal(12,2)")).alias("price"),
+        F.to_date("o_orderdate").alias("day"),
+        F.col("o_orderpriority").alias("word"),
+    )
+    return pairs(s, d).join(o, "shot_id")
+
+
+add(
+    "postselect_ranked_typed_keys",
+    lambda s, d: C.postselect_ranked(
+        _typed(s, d), {"logical_gap": "logical_is_logical_error"}, RATES, ["word", "price", "day", "shot_id"]
+    ),
+    f"""WITH {TYPED}, {rates_cte(RATES)},
+      r AS (SELECT logical_is_logical_error AS e, count(*) OVER () AS n, row_number() OVER (
+        ORDER BY logical_gap DESC, word, price NULLS LAST, day NULLS LAST, shot_id) AS rk FROM typed),
+      k AS (SELECT DISTINCT abort_rate, n, {kept_sql('abort_rate', 'n')} AS kept FROM r, rates),
+      c AS (SELECT abort_rate, k.n, kept, coalesce(sum((rk <= kept AND e)::INT), 0) AS err FROM r, k GROUP BY ALL)
+      SELECT 'logical_gap' AS score, 'logical_is_logical_error' AS error_source, abort_rate,
+        {div('kept', 'n')} AS acceptance_rate, kept AS n_accepted, CAST(err AS BIGINT) AS n_error,
+        {div('err', 'kept')} AS post_ler, {wilson('err', 'kept', False)} AS ci_low,
+        {wilson('err', 'kept', True)} AS ci_high FROM c""",
+)
 add(
     "postselect_ranked",
     lambda s, d: C.postselect_ranked(

@@ -204,52 +204,53 @@ def wide(s, d) -> DataFrame:
 def write_chunks(s, df: DataFrame, path: str, parts: int = 6) -> None:
     for i in range(parts):
         rows = df.where(F.pmod(F.xxhash64("shot_id"), F.lit(parts)) == i)
-        rows.coalesce(1).write.parquet(f"{path}/chunk_{i:04d}.parquet")
+        rows.write.parquet(f"{path}/chunk_{i:04d}.parquet")
 
 
 def _collected(s, d) -> DataFrame:
-    base = scratch_path(s, "collect")
-    write_chunks(s, wide(s, d).where("batch = 1"), f"{base}/chunks/batch=1", 4)
-    K.compact(s, f"{base}/chunks/batch=1", max_files=2, group=2)
-    K.collect_chunks(s, f"{base}/chunks/batch=1", f"{base}/out", 1, "forced_gap_ml")
-    read = [
-        s.read.parquet(f"{base}/out/{stem}_batch=1.parquet")
-        for stem in ("logicalerror", "metric=forced_gap_ml", "metric=forced_gap_ml_case",
-                     "detailed_stats", "decoder_stat")
-    ]
-    out = read[0]
-    for r in read[1:]:
-        out = out.join(r, "shot_id")
-    return out
+    base, rows, found = scratch_path(s, "collect"), wide(s, d), []
+    for lot in BATCHES:
+        chunks, to = f"{base}/chunks/batch={lot}", f"{base}/out"
+        write_chunks(s, rows.where(F.col("batch") == lot), chunks, 4)
+        K.compact(s, chunks, max_files=2, group=2)
+        K.collect_chunks(s, chunks, to, lot, "forced_gap_ml")
+        out = s.read.parquet(f"{to}/logicalerror_batch={lot}.parquet")
+        for stem in ("metric=forced_gap_ml", "metric=forced_gap_ml_case", "detailed_stats", "decoder_stat"):
+            out = out.join(s.read.parquet(f"{to}/{stem}_batch={lot}.parquet"), "shot_id")
+        found.append(out.withColumn("batch", F.lit(lot)))
+    return found[0].unionByName(found[1])
 
 
 add(
     "collect_chunks",
     _collected,
-    f"""WITH {TRIALS} SELECT shot_id, forced_is_logical_error AS is_logical_error, forced_gap_ml,
+    f"""WITH {TRIALS} SELECT lot AS batch, shot_id, forced_is_logical_error AS is_logical_error, forced_gap_ml,
       case_label AS forced_gap_ml_case, forced_stage1_weight AS baseline_correction_weight,
       forced_stage1_obs_flip AS baseline_logical_error, forced_stage2_weight AS forced_correction_weight,
       forced_stage2_obs_flip AS forced_logical_error, forced_stage1_weight AS baseline_iteration
-      FROM trials WHERE lot = 1""",
+      FROM trials""",
 )
 
 
 def _legacy(s, d) -> DataFrame:
-    base = scratch_path(s, "legacy")
-    rows = trials(s, d).where("lot = 2")
-    for name, c in (("stage1_weight", "forced_stage1_weight"), ("stage1_obs_flip", "forced_stage1_obs_flip"),
-                    ("stage2_weight", "forced_stage2_weight")):
-        rows.select("shot_id", F.col(c).alias(name)).write.parquet(f"{base}/metric={name}_batch=2.parquet")
+    base, found = scratch_path(s, "legacy"), []
+    for lot in BATCHES:
+        rows = trials(s, d).where(F.col("lot") == lot)
+        for name, c in (("stage1_weight", "forced_stage1_weight"), ("stage1_obs_flip", "forced_stage1_obs_flip"),
+                        ("stage2_weight", "forced_stage2_weight")):
+            rows.select("shot_id", F.col(c).alias(name)).write.parquet(f"{base}/metric={name}_batch={lot}.parquet")
     K.convert_legacy(s, base)
-    return s.read.parquet(f"{base}/detailed_stats_batch=2.parquet")
+    for lot in BATCHES:
+        found.append(s.read.parquet(f"{base}/detailed_stats_batch={lot}.parquet").withColumn("batch", F.lit(lot)))
+    return found[0].unionByName(found[1])
 
 
 add(
     "convert_legacy_statistics",
     _legacy,
-    f"""WITH {TRIALS} SELECT shot_id, forced_stage1_weight AS baseline_correction_weight,
+    f"""WITH {TRIALS} SELECT lot AS batch, shot_id, forced_stage1_weight AS baseline_correction_weight,
       forced_stage1_obs_flip AS baseline_logical_error, forced_stage2_weight AS forced_correction_weight
-      FROM trials WHERE lot = 2""",
+      FROM trials""",
 )
 
 
@@ -279,7 +280,7 @@ def _streamed(s, d) -> DataFrame:
     rows = wide(s, d)
     write_chunks(s, rows, f"{base}/chunks", 4)
     # A resubmitted task delivers some trials a second time.
-    rows.where("shot_id % 5 = 0").coalesce(1).write.parquet(f"{base}/chunks/chunk_9999.parquet")
+    rows.where("shot_id % 5 = 0").write.parquet(f"{base}/chunks/chunk_9999.parquet")
     schema = s.read.parquet(f"{base}/chunks/chunk_9999.parquet").schema
     stream = T.read_chunk_stream(s, f"{base}/chunks", schema, max_files=2)
     T.stream_collect(stream, f"{base}/out", f"{base}/checkpoint", "forced_gap_ml").awaitTermination()

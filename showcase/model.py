@@ -280,8 +280,10 @@ add(
 )
 add(
     "uncovered_ranges",
-    lambda s, d: I.uncovered_ranges(I.covered_ranges(_ids(s, d), "i", block=500), 10, 200_000, block=700),
-    f"""WITH {IDS}, {islands('')}, q AS (SELECT range_start, range_end FROM r UNION ALL SELECT 200010, 200010),
+    lambda s, d: I.uncovered_ranges(
+        I.covered_ranges(_ids(s, d), "i", block=500), 10, _ids(s, d).agg(F.max("i")).first()[0] + 40, block=700
+    ),
+    f"""WITH {IDS}, {islands('')}, q AS (SELECT range_start, range_end FROM r UNION ALL SELECT max(i) + 50, max(i) + 50 FROM ids),
       p AS (SELECT greatest(10, coalesce(max(range_end) OVER (ORDER BY range_start, range_end
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 10)) AS gap_start, range_start AS gap_end FROM q
         WHERE range_end > 10)

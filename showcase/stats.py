@@ -17,7 +17,7 @@ def add(name: str, run, sql: str | None = None) -> None:
 
 def nearest(x: str, q: float, by: str) -> str:
     """Value at the half-even rounded position."""
-    return f"max(CASE WHEN i = round_even({q}e0 * (n - 1), 0) THEN {x} END)"
+    return f"max(CASE WHEN i = round({q}e0 * (n - 1)) THEN {x} END)"
 
 
 def long_sql(columns: list[str], source: str, by: str, name: str) -> str:
@@ -58,7 +58,33 @@ add(
     lambda s, d: S.value_frequency(lines(s, d), ["l_discount", "score"], ["l_linenumber"], 1),
     f"""WITH {LINES}, u AS ({long_sql(['l_discount', 'score'], 'lines', 'l_linenumber', 'stat_column')})
       SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, stat_column,
-        round_even(value, 1) AS value, count(*) AS frequency FROM u GROUP BY ALL""",
+        round(value * 10e0) / 10e0 AS value, count(*) AS frequency FROM u GROUP BY ALL""",
+)
+# Prices cut so that many values lie half way between two roundings in decimal, but not in binary.
+add(
+    "value_frequency_half_way",
+    lambda s, d: S.value_frequency(
+        table(s, d, "lineitem").select(
+            (F.floor(F.col("l_extendedprice") / 10) % 2000 / 200.0).alias("price"), "l_linenumber"
+        ), ["price"], ["l_linenumber"], 2,
+    ),
+    """WITH u AS (SELECT l_linenumber, floor(l_extendedprice / 10) % 2000 / 200e0 AS price FROM lineitem)
+      SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, 'price' AS stat_column,
+        round(price * 100e0) / 100e0 AS value, count(*) AS frequency FROM u GROUP BY ALL""",
+)
+# Groups of any size: with an even number of rows the median's position lies half way.
+add(
+    "describe_half_way",
+    lambda s, d: rounded(
+        S.describe(table(s, d, "customer"), ["c_acctbal"], ["c_nationkey"], (0.1, 0.25, 0.5)), 6, "mean", "std"
+    ),
+    f"""WITH r AS (SELECT c_nationkey, c_acctbal AS value,
+        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1 AS i,
+        count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+      SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, 'c_acctbal' AS "column", count(*) AS count, round(avg(value), 6) AS mean,
+        round(stddev_samp(value), 6) AS std, min(value) AS min, {nearest('value', 0.1, '')} AS q10,
+        {nearest('value', 0.25, '')} AS q25, {nearest('value', 0.5, '')} AS q50, max(value) AS max
+      FROM r GROUP BY 1, 2""",
 )
 add(
     "finite_values",

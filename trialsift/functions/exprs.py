@@ -57,11 +57,27 @@ def to_db(score: str | Column) -> Column:
 
 
 def half_even(score: str | Column, digits: int | None) -> Column:
-    """Round half to even, NaN and infinities unchanged; no rounding if ``digits`` is None."""
+    """Round as NumPy does: scale, round half to even, scale back; no rounding if ``digits`` is None.
+
+    The rule works on the binary number, so 0.575 becomes 0.57.  NaN, infinities and numbers too
+    large to scale stay as they are.
+    """
+    c = col(score)
+    if digits is None:
+        return c
+    scale = F.lit(10.0**digits)
+    scaled = c.cast("double") * scale
+    return F.when(finite(c) & finite(scaled), F.rint(scaled) / scale).otherwise(c.cast("double"))
+
+
+def half_away(score: str | Column, digits: int | None) -> Column:
+    """Scale, round half away from zero, scale back: the rule of the value frequencies."""
     c = col(score)
     if digits is None:
         return c
-    return F.when(finite(c), F.bround(c, digits)).otherwise(c)
+    scale = F.lit(10.0**digits)
+    scaled = c.cast("double") * scale
+    return F.when(finite(c) & finite(scaled), F.round(scaled) / scale).otherwise(c.cast("double"))
 
 
 def denoise(score: str | Column, digits: int | None = None) -> Column:

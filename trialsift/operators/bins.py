@@ -464,7 +464,9 @@ def transitions(
     change = outcome(y0, y_star)
     sums = {c: (chosen & (change == c)).cast("long") for c in TRANSITIONS}
     if scale == "abort_rate":
-        table = cumulative(df, score, sums, by, buckets=buckets)
+        # Trials without a score stay in the denominator, with the largest rate of all.
+        scored = df.withColumn(score, F.coalesce(col(score).cast("double"), F.lit(float("nan"))))
+        table = cumulative(scored, score, sums, by, buckets=buckets, nan_last=True)
         rank = (F.col("n_before") + F.col("n")) / F.col("n_total")
         rows = table.withColumn("__axis", rank)
     else:

@@ -306,7 +306,7 @@ def _shares(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFr
 
     The counts serve twice, so they are written once if they may be large.
     """
-    counts, _ = settle(df.groupBy(*keys, value).agg(F.count("*").alias("n")), single_if_small=True)
+    counts, _ = settle(df.groupBy(*keys, value).agg(F.count("*").alias("n")))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
     joined = attach(counts, totals, keys)
     return joined.select(*keys, value, "n", ratio("n", "__total").alias(name))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialsift.functions.exprs import col, finite, flag, half_even, known, ratio
+from trialsift.functions.exprs import col, finite, flag, half_away, known, ratio
 from trialsift.functions.registry import stage_values, stat_columns
 from trialsift.functions.tails import kendall_p, spearman_p
 from trialsift.plans.ranges import (
@@ -127,7 +127,7 @@ def value_frequency(
     long = unpivot(df, columns, by, "stat_column")
     if finite_only:
         long = long.where(finite("value"))
-    value = half_even("value", digits)
+    value = half_away("value", digits)
     return long.groupBy(*by, "stat_column", value.alias("value")).agg(
         F.count("*").alias("frequency")
     )
@@ -206,7 +206,7 @@ def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
     """One row: number of finite pairs and the rank correlation, from distinct pairs."""
-    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets, single_if_small=True)
+    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
     bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, buckets)
     ranked = pairs
     for c in ("x", "y"):

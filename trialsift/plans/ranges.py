@@ -16,18 +16,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import col, finite, known
-from trialsift.session import (
-    cut_lineage,
-    default_buckets,
-    is_small,
-    settle,
-)
+from trialsift.session import default_buckets, settle, settle_table
 
 BUCKET = "__range"
 
@@ -130,7 +126,7 @@ def cumulative(
         *by, value.alias(x), *[c.alias(name) for name, c in measures.items()]
     )
     if bounds is None:
-        rows, buckets = settle(rows, buckets, single_if_small=True)
+        rows, buckets = settle(rows, buckets)
         bounds = sketch_bounds(rows, {"x": x}, buckets)["x"]
     ranged = bool(bounds)
     if ranged:
@@ -238,7 +234,7 @@ def order_statistics(
     """Exact quantiles of ``x`` per group, with the running totals on both sides of each.
 
     ``linear`` interpolates between the two neighbouring values, ``nearest`` takes the value at
-    ``round(q * (n - 1))``.  Columns: ``by``, ``slot`` (index into ``probabilities``), ``q``,
+    ``q * (n - 1)`` rounded half up.  Columns: ``by``, ``slot`` (index into ``probabilities``), ``q``,
     ``value``, ``n_total``, ``<sum>_total`` (these count NaN rows too if ``nan_last``), and ``n_below`` / ``<sum>_below`` (rows strictly
     below the quantile) with ``n_upto`` / ``<sum>_upto`` (rows not above it).
     """
@@ -250,7 +246,8 @@ def order_statistics(
 
     def rank(q: Column) -> Column:
         exact = q * last.cast("double")
-        return exact if method == "linear" else F.bround(exact, 0)
+        # Positions half way between two rows go to the later one.
+        return exact if method == "linear" else F.round(exact)
 
     wanted = F.array_distinct(
         F.flatten(
@@ -334,12 +331,33 @@ _LEVELS = 4  # ordering columns that take part in splitting
 _LEVEL_SIZE = 8192  # twice the largest number of ranges
 
 
-def rank_keys(score: str, order: Sequence[str]) -> list[Column]:
-    """Ascending sort keys of "score descending, ties by ``order``"; non-finite scores go last."""
+def _order_key(df: DataFrame, name: str) -> Column:
+    """Ordering column as a number, or as text, with the order of its values."""
+    kind, c = df.select(col(name)).schema[0].dataType.simpleString(), col(name)
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "string") or kind.startswith("decimal"):
+        return c
+    if kind == "date":
+        return F.unix_date(c)
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp"))
+    if kind == "boolean":
+        return c.cast("int")
+    raise TypeError(f"ties cannot be ordered by {name}, which is {kind}")
+
+
+def rank_keys(df: DataFrame, score: str, order: Sequence[str]) -> list[Column]:
+    """Ascending sort keys, NULL last: score descending, non-finite scores last, ties by ``order``."""
     ok = finite(score)
     # + 0.0 folds a negative zero into zero.
     falling = F.when(ok, -col(score).cast("double")).otherwise(F.lit(0.0)) + F.lit(0.0)
-    return [F.when(ok, F.lit(0)).otherwise(F.lit(1)), falling, *[col(c) for c in order]]
+    return [F.when(ok, F.lit(0)).otherwise(F.lit(1)), falling, *[_order_key(df, c) for c in order]]
+
+
+def _split_key(df: DataFrame, key: Column) -> Column:
+    """A key as a number that rises with it, for cutting ranges; texts have none."""
+    if df.select(key).schema[0].dataType.simpleString() == "string":
+        return F.lit(0.0)
+    return F.coalesce(key.cast("double"), F.lit(math.inf))
 
 
 class RankPlan:
@@ -354,8 +372,9 @@ class RankPlan:
     ):
         if not order:
             raise ValueError("at least one ordering column is needed to break ties")
-        self.keys = rank_keys(score, order)
-        split = {f"__k{i}": k for i, k in enumerate(self.keys[1 : 1 + _LEVELS])}
+        self.keys = rank_keys(df, score, order)
+        self.split = [_split_key(df, k) for k in self.keys[1 : 1 + _LEVELS]]
+        split = {f"__k{i}": k for i, k in enumerate(self.split)}
         self.bounds = sketch_bounds(df, split, buckets)
         self.small = not any(self.bounds.values())
 
@@ -366,11 +385,11 @@ class RankPlan:
             if not hot_values(self.bounds[f"__k{i}"]):
                 break
         ranged = with_ranges(
-            df, {f"__r{i}": (self.keys[1 + i], self.bounds[f"__k{i}"]) for i in levels}
+            df, {f"__r{i}": (self.split[i], self.bounds[f"__k{i}"]) for i in levels}
         )
         cell, open_ = self.keys[0].cast("long"), F.lit(True)
         for i in levels:
-            hot = open_ & is_hot(self.keys[1 + i], self.bounds[f"__k{i}"])
+            hot = open_ & is_hot(self.split[i], self.bounds[f"__k{i}"])
             # A range is [bound, next bound): its hot value, the bound itself, comes first.
             inside = F.col(f"__r{i}") * 2 + F.when(hot, F.lit(0)).otherwise(F.lit(1))
             cell = cell * F.lit(_LEVEL_SIZE) + F.when(open_, inside).otherwise(F.lit(0))
@@ -383,6 +402,9 @@ class RankPlan:
     def sort_names(self) -> list[str]:
         return [f"__s{i}" for i in range(len(self.keys))]
 
+    def sort_order(self) -> list[Column]:
+        return [F.asc_nulls_last(n) for n in self.sort_names()]
+
 
 def _cell_offsets(cells: DataFrame) -> DataFrame:
     """Rows in all cells before a cell; one row per non-empty cell, so a short table."""
@@ -404,16 +426,17 @@ def accept_rank(
 ) -> DataFrame:
     """Exact global row number by score descending, ties broken by ``order``; one shuffle of rows.
 
-    ``order`` columns must be numeric and make the order total.
+    ``order`` columns may be numbers, dates, times, booleans or texts (NULL last) and must make the
+    order total.
     """
-    df, buckets = settle(df, buckets, single_if_small=True)
+    df, buckets = settle(df, buckets)
     plan = RankPlan(df, score, order, buckets)
     if plan.small:
-        whole = Window.partitionBy(F.lit(0)).orderBy(*plan.keys)
+        whole = Window.partitionBy(F.lit(0)).orderBy(*[k.asc_nulls_last() for k in plan.keys])
         return df.withColumn(rank, F.row_number().over(whole).cast("long"))
     celled = plan.with_cell(df)
     offsets = _cell_offsets(celled.select(CELL))
-    inside = Window.partitionBy(CELL).orderBy(*plan.sort_names())
+    inside = Window.partitionBy(CELL).orderBy(*plan.sort_order())
     rows = celled.select("*", *plan.named_keys()).withColumn(
         "__local", F.row_number().over(inside)
     )
@@ -451,7 +474,7 @@ def rank_cutoffs(
         return {int(r["rank"]): tuple(r[n] for n in names) for r in found}
 
     if plan.small:
-        whole = Window.partitionBy(F.lit(0)).orderBy(*names)
+        whole = Window.partitionBy(F.lit(0)).orderBy(*plan.sort_order())
         ranked = df.select(*plan.named_keys()).withColumn("rank", F.row_number().over(whole))
         return answer(ranked.where(F.col("rank").isin(wanted)))
     celled = plan.with_cell(df.select(*dict.fromkeys([score, *order])))
@@ -464,24 +487,42 @@ def rank_cutoffs(
     # One row per requested rank at most, so safe to broadcast.
     cells = F.broadcast(cells.where(F.size("held") > 0).select(CELL, "cell_before", "held"))
     rows = celled.select(CELL, *plan.named_keys()).join(cells, CELL)
-    inside = Window.partitionBy(CELL).orderBy(*names)
+    inside = Window.partitionBy(CELL).orderBy(*plan.sort_order())
     position = (F.col("cell_before") + F.row_number().over(inside)).cast("long")
     rows = rows.withColumn("rank", position).where(F.array_contains("held", F.col("rank")))
     return answer(rows)
 
 
 def _sql_literal(value) -> str:
-    return f"{value!r}D" if isinstance(value, float) else f"{int(value)}L"
+    """A key's value as a literal of its own type."""
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
+    if isinstance(value, Decimal):
+        digits = max(0, -int(value.as_tuple().exponent))
+        return f"CAST('{value:f}' AS DECIMAL(38, {digits}))"
+    if isinstance(value, str):
+        # Spelled by its bytes, so that no character needs an escape.
+        return f"decode(X'{value.encode().hex()}', 'UTF-8')"
+    return f"{int(value)}L"
 
 
 def _level_text(keys: Sequence[str], cutoffs: Sequence[tuple]) -> str:
-    """Number of cutoffs at or after a row in the order, as plain comparisons of columns."""
+    """Number of cutoffs at or after a row in the order, as plain comparisons of columns.
+
+    NULL keys come last: they equal each other and follow every value.
+    """
+
+    def upto(key: str, bound) -> str:
+        return "true" if bound is None else f"{key} <= {_sql_literal(bound)}"
 
     def at_or_before(cutoff: tuple) -> str:
-        text = f"{keys[-1]} <= {_sql_literal(cutoff[-1])}"
+        text = upto(keys[-1], cutoff[-1])
         for key, bound in zip(reversed(keys[:-1]), reversed(cutoff[:-1])):
-            b = _sql_literal(bound)
-            text = f"({key} < {b} OR ({key} = {b} AND {text}))"
+            if bound is None:
+                text = f"({key} IS NOT NULL OR {text})"
+            else:
+                b = _sql_literal(bound)
+                text = f"({key} < {b} OR ({key} = {b} AND {text}))"
         return f"IF({text}, 1, 0)"
 
     return " + ".join(["0", *[at_or_before(c) for c in cutoffs]])
@@ -520,7 +561,7 @@ class NestedSets:
         columns, levels = [], {}
         for i, (name, score) in enumerate(scores.items()):
             cutoffs = rank_cutoffs(df, score, order, inner, buckets)
-            keys = rank_keys(score, order)
+            keys = rank_keys(df, score, order)
             named = [f"__key{i}_{j}" for j in range(len(keys))]
             columns += [k.alias(n) for k, n in zip(keys, named)]
             levels[name] = F.lit(whole) + F.expr(_level_text(named, [cutoffs[k] for k in inner]))
@@ -576,8 +617,8 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def attach(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join one row per group of ``by`` onto ``df``.
 
-    Without grouping the table has a single row, which is broadcast.  With grouping, a table that
-    may be large is written once: the optimizer then knows its true size and broadcasts it only
+    Without grouping the table has a single row, which is broadcast.  With grouping, a table made by
+    joins or aggregations is written once: the optimizer then knows its true size and broadcasts it only
     below its own limit, and otherwise takes a shuffle join whose skewed groups are split.
     """
     if not by:
@@ -585,9 +626,7 @@ def attach(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
         return (
             df.select("*", one).join(F.broadcast(table.select("*", one)), "__one").drop("__one")
         )
-    if not is_small(table):
-        table = cut_lineage(table)
-    return join_groups(df, table, by)
+    return join_groups(df, settle_table(table), by)
 
 
 def neighbours(

@@ -27,7 +27,10 @@ def get_spark(app: str = "trialsift", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster (``spark.checkpoint.dir``), made up only where it is unset."""
+    """Shared folder of the cluster (``spark.checkpoint.dir``).
+
+    Only a local session, where driver and executors are one process, may go without the setting.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -39,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -73,24 +78,6 @@ def clear_scratch(spark: SparkSession) -> int:
     return removed
 
 
-# Inputs the optimizer sizes below this many bytes are ordered in one task; larger ones are cut
-# into value ranges.  The size of scans, filters and aggregations is an upper bound; an input of
-# unknown size counts as large.
-SMALL_INPUT_BYTES = 32 * 1024 * 1024
-SMALL_INPUT_SETTING = "spark.trialsift.smallInputBytes"
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the optimizer bounds the size of a result below the setting's limit."""
-    limit = df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_BYTES))
-    return estimated_bytes(df) <= int(limit)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a query's result as the optimizer estimates it (no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def default_buckets(df: DataFrame) -> int:
     """Number of value ranges used to spread a large ordered computation over the cluster.
 
@@ -121,33 +108,25 @@ def _costly(plan) -> bool:
     return any(_costly(children.apply(i)) for i in range(children.size()))
 
 
-def settle(
-    df: DataFrame, buckets: int | None = None, single_if_small: bool = False
-) -> tuple[DataFrame, int]:
+def is_costly(df: DataFrame) -> bool:
+    """Whether reading ``df`` again would repeat joins, aggregations or Python work (no job runs)."""
+    return _costly(df._jdf.queryExecution().optimizedPlan())
+
+
+def settle(df: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Make a narrow input fit for several passes, and choose its number of value ranges.
 
-    A small input is ordered in one task (one range).  A plain scan is read again for each pass.
-    The result of joins or aggregations is written to the shared folder once instead of being
-    recomputed, and its true size is known from then on; ``single_if_small`` says that a small one
-    is read only once anyway.
+    A plain scan is read again for each pass; the result of joins or aggregations is written to the
+    shared folder once.  No estimate of a size decides anything: every input is cut into ranges, and
+    Spark merges the partitions of a small one.
     """
-    small = is_small(df)
-    if small and single_if_small and buckets is None:
-        return df, 1
-    if not _costly(df._jdf.queryExecution().optimizedPlan()):
-        return df, buckets or (1 if small else default_buckets(df))
-    fixed = cut_lineage(df)
-    if buckets is not None:
-        return fixed, buckets
-    return fixed, 1 if is_small(fixed) else default_buckets(fixed)
+    fixed = cut_lineage(df) if is_costly(df) else df
+    return fixed, buckets or default_buckets(df)
 
 
 def settle_table(df: DataFrame) -> DataFrame:
-    """Side table of a join with its size known, so that Spark broadcasts it only if it is small.
-
-    A table that comes out of a costly plan and may be large is written once.
-    """
-    return cut_lineage(df) if not is_small(df) and _costly(df._jdf.queryExecution().optimizedPlan()) else df
+    """Side table of a join with its size known, so that Spark broadcasts it only if it is small."""
+    return cut_lineage(df) if is_costly(df) else df
 
 
 _SHIPPED: set[tuple[str, str]] = set()
