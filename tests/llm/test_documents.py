@@ -290,6 +290,17 @@ def test_near_copies_of_edge_cases(spark):
     assert minhash.near_duplicates(no_docs(spark)).count() == 0 == minhash.keep_one(no_docs(spark)).count()
 
 
+def test_marked_rows_miss_no_member(spark):
+    from trialsift.llm.idsets import marked
+
+    ids = spark.range(0, 3000, 7)
+    df = spark.range(3000).select(F.col("id"), F.lit(1).alias("place")).union(spark.createDataFrame([(None, 1)], "id long, place int"))
+    rows = marked(df, F.col("id"), ids, "m").collect()
+    hits = {r.id for r in rows if r.m}
+    assert len(rows) == 3001 and hits >= set(range(0, 3000, 7)) and len(hits) < 440
+    assert not any(r.m for r in marked(df, F.col("id"), ids.limit(0), "m").collect())
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
