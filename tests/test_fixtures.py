@@ -360,8 +360,7 @@ def test_logit_line(spark):
 def test_join_guards(spark):
     left = spark.createDataFrame([(1, 1, 0.5, True), (1, 1, 0.7, True)], "shot_id int, batch int, a double, is_logical_error boolean")
     right = spark.createDataFrame([(1, 1, 0.1, False)], "shot_id int, batch int, b double, is_logical_error boolean")
-    with pytest.raises(ValueError, match="repeat"):
-        P.join_scores(left, right)
+    with pytest.raises(Exception, match="repeat"):
+        P.join_scores(left, right).collect()
     assert P.join_scores(left, right, allow_fanout=True).count() == 2
-    with pytest.raises(ValueError, match="no trials"):
-        P.rerank(left, right.where("false"), "a", "b")
+    assert P.rerank(left, right.where("false"), "a", "b").count() == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import (
@@ -26,10 +26,13 @@ from trialsift.functions.exprs import (
 )
 from trialsift.functions.registry import check_direction, check_rates, whole_number
 from trialsift.plans.ranges import (
+    BUCKET,
     NestedSets,
     attach,
     cumulative,
+    join_groups,
     order_statistics,
+    sketch_bounds,
     summed,
     with_ranges,
 )
@@ -310,29 +313,53 @@ def interpolate(
 ) -> DataFrame:
     """Linear interpolation of ``ys`` over ``x`` at ``at[at_x]``, clamped at both ends.
 
-    ``points`` is a curve of few points per group (a grid or a sweep); each group becomes one
-    sorted array that is joined onto the rows of ``at`` and searched there.
+    Points and rows are laid on one axis and cut into value ranges; inside a range a window carries the
+    last and the next point to every row, and at its ends they come from a table of one row per
+    range.  So a curve may have any number of points.
     """
-    curve = (
-        points.where(F.col(x).isNotNull())
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), *ys))).alias("__pts"))
+    by, row = list(by), [c for c in at.columns if c not in by]
+    point = F.struct(F.col(x).cast("double").alias("x"), *[F.col(y).alias(f"y{i}") for i, y in enumerate(ys)])
+    curve = points.where(F.col(x).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("__x"), F.lit(0).alias("__side"), point.alias("__point")
+    )
+    asked = at.select(
+        *by, F.col(at_x).cast("double").alias("__x"), F.lit(1).alias("__side"), F.struct(*row).alias("__row")
+    )
+    axis, buckets = settle(curve.unionByName(asked, allowMissingColumns=True))
+    bounds = sketch_bounds(axis, {"x": "__x"}, buckets)["x"]
+    axis = with_ranges(axis, {BUCKET: ("__x", bounds)})
+    axis = axis.withColumn(BUCKET, F.when(F.col("__x").isNull(), -1).otherwise(F.coalesce(BUCKET, F.lit(0))))
+    group = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(BUCKET)
+    ends = axis.groupBy(*by, BUCKET).agg(F.min("__point").alias("lo"), F.max("__point").alias("hi"))
+    ends = ends.select(
+        *by,
+        BUCKET,
+        F.last("hi", True).over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("lo", True).over(group.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
     )
-    joined = attach(at, curve, by)
-    here = F.col(at_x)
-    upto = F.size(F.filter("__pts", lambda p: p["x"] <= here))
-    joined = joined.withColumn("__j", upto).where(F.size("__pts") > 0)
-    j, size = F.col("__j"), F.size("__pts")
-    a = F.element_at("__pts", F.greatest(j, F.lit(1)))
-    b = F.element_at("__pts", F.least(j + 1, size))
+    # A point at the place of a row comes before the row.
+    inside = Window.partitionBy(*by, BUCKET).orderBy("__x", "__side")
+    local = axis.select(
+        "*",
+        F.last("__point", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__last"),
+        F.first("__point", True).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
+    ).where(F.col("__side") == 1)
+    joined = join_groups(local, ends if by else F.broadcast(ends), [*by, BUCKET])
+    joined = joined.select(
+        *by,
+        *[F.col("__row")[c].alias(c) for c in row],
+        F.col("__x"),
+        F.coalesce("__last", "__before").alias("__a"),
+        F.coalesce("__next", "__after").alias("__b"),
+    ).where(F.col("__a").isNotNull() | F.col("__b").isNotNull())
+    a, b, here = F.col("__a"), F.col("__b"), F.col("__x")
     values = []
-    for y in ys:
-        slope = F.try_divide(b[y] - a[y], b["x"] - a["x"])
-        inside = slope * (here - a["x"]) + a[y]
-        values.append(
-            F.when((j == 0) | (j == size) | (a["x"] == here), a[y]).otherwise(inside).alias(f"{y}_at")
-        )
-    return joined.select("*", *values).drop("__pts", "__j")
+    for i, y in enumerate(ys):
+        slope = F.try_divide(b[f"y{i}"] - a[f"y{i}"], b["x"] - a["x"])
+        between = slope * (here - a["x"]) + a[f"y{i}"]
+        value = F.when(a.isNull(), b[f"y{i}"]).when(b.isNull() | (a["x"] == here), a[f"y{i}"])
+        values.append(value.otherwise(between).alias(f"{y}_at"))
+    return joined.select(*at.columns, *values)
 
 
 def relative_improvement(

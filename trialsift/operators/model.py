@@ -296,11 +296,16 @@ def split_cycles(
             F.array_sort(F.collect_list("n")).alias("block_sizes"),
         )
     )
-    found = (
-        overlaps(checks, blocks, ["seed", "block"])
-        .groupBy("observable_id", "seed")
-        .agg(F.sum(_pairs("overlap")).alias("cycles"))
+    # Checks meet each observable edge once, with the blocks of all seeds; the seeds are spread after.
+    packed = blocks.groupBy("observable_id", "error_id").agg(
+        F.collect_list(F.struct("seed", "block")).alias("__blocks")
+    )
+    c = checks.select("detector_id", "error_id").distinct()
+    spread = packed.join(c, "error_id").select("observable_id", "detector_id", F.explode("__blocks").alias("b"))
+    overlap = spread.groupBy("observable_id", "detector_id", "b.seed", "b.block").agg(
+        F.count("*").alias("overlap")
     )
+    found = overlap.groupBy("observable_id", "seed").agg(F.sum(_pairs("overlap")).alias("cycles"))
     joined = sizes.join(found, ["observable_id", "seed"], "left")
     return joined.withColumn("cycles", F.coalesce("cycles", F.lit(0)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import (
@@ -34,11 +34,16 @@ def shared_keys(left: DataFrame, right: DataFrame, id_column: str = "shot_id") -
     return [id_column, *[k for k in TRIAL_KEYS if k in both]]
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
-    """Raise if the keys repeat: a join on them would multiply rows."""
-    repeated = df.groupBy(*keys).count().where(F.col("count") > 1)
-    if not repeated.isEmpty():
-        raise ValueError(f"{side} rows repeat for keys {list(keys)}; pass allow_fanout=True")
+def checked_unique(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """The same rows; the query fails if the keys repeat, since a join on them would multiply rows.
+
+    The count uses the partitioning by key that the join needs anyway.
+    """
+    message = f"{side} rows repeat for keys {list(keys)}; pass allow_fanout=True"
+    times = F.count("*").over(Window.partitionBy(*keys))
+    counted = df.withColumn("__times", times)
+    single = F.when(F.col("__times") > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+    return counted.where(single).drop("__times")
 
 
 def join_scores(
@@ -51,8 +56,7 @@ def join_scores(
     """Inner join of two trial tables; their label columns get the suffixes ``_x`` and ``_y``."""
     keys = list(keys) if keys is not None else shared_keys(left, right)
     if not allow_fanout:
-        assert_unique(left, keys, "left")
-        assert_unique(right, keys, "right")
+        left, right = checked_unique(left, keys, "left"), checked_unique(right, keys, "right")
     lhs = left.withColumnRenamed(error, f"{error}_x")
     rhs = right.withColumnRenamed(error, f"{error}_y")
     extra = [c for c in rhs.columns if c not in keys and c not in lhs.columns]
@@ -73,13 +77,11 @@ def rerank(
 ) -> DataFrame:
     """Replace a score by another table's score of the same trial; labels stay.
 
-    An empty result is an error, raised when the query runs to its end.
+    Trials that the other table lacks are left out, so the result may be empty.
     """
     keys = list(keys) if keys is not None else shared_keys(df, ranking)
     other = ranking.select(*keys, col(ranking_score).alias("__ranking"))
     joined = df.drop(score).join(other, keys).withColumnRenamed("__ranking", score)
-    if joined.isEmpty():
-        raise ValueError("no trials remain after joining the ranking score")
     return joined.select(*df.columns)
 
 

@@ -9,15 +9,15 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import ratio
-from trialsift.sources.files import delete, escape_glob, exists, glob, size_of
+from trialsift.sources.files import delete, escape_glob, exists, glob, rename, size_of
 
 # Column prefixes of a wide chunk and the names of the detailed statistics.
 METRIC, DETAIL, STAT = "metric_", "detail_stat_", "decoder_stat_"
@@ -36,11 +36,28 @@ _BATCH = re.compile(r"_batch=(\d+)\.parquet$")
 
 
 def chunk_paths(spark: SparkSession, chunk_dir: str) -> list[str]:
+    """Chunks and parts to read; a chunk that a committed part holds is left out."""
     base = escape_glob(chunk_dir.rstrip("/"))
-    found = glob(spark, f"{base}/chunk_*.parquet") + glob(spark, f"{base}/parts/part_*.parquet")
-    if not found:
+    parts = [p for p, _ in glob(spark, f"{base}/parts/part_*.parquet")]
+    held = merged_chunks(spark, chunk_dir, parts)
+    chunks = [p for p, _ in glob(spark, f"{base}/chunk_*.parquet") if _name(p) not in held]
+    if not chunks and not parts:
         raise FileNotFoundError(f"no chunks below {chunk_dir}")
-    return [path for path, _ in found]
+    return chunks + parts
+
+
+def _name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[1]
+
+
+def merged_chunks(spark: SparkSession, chunk_dir: str, parts: Sequence[str]) -> set[str]:
+    """Names of the chunks that committed parts hold, from the lists written before the parts."""
+    base = chunk_dir.rstrip("/")
+    lists = [f"{base}/parts/{_name(p).removesuffix('.parquet')}.members" for p in parts]
+    lists = [path for path in lists if exists(spark, path)]
+    if not lists:
+        return set()
+    return {r.value for r in spark.read.text([escape_glob(p) for p in lists]).collect()}
 
 
 def read_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -102,17 +119,12 @@ def collect_chunks(
 ) -> list[str]:
     """Publish one batch: labels, every metric, detailed and decoder statistics, flip sets.
 
-    Returns the metric names.  The chunks are read once; blocks lost with an executor are read
-    again from the files.
+    Returns the metric names.  Each table is a scan of its own columns of the chunks.
     """
     chunks = read_chunks(spark, chunk_dir)
     tables = narrow_tables(chunks, metric)
-    chunks.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for stem, table in tables.items():
-            _write(table, f"{out_dir.rstrip('/')}/{stem}_batch={batch}.parquet")
-    finally:
-        chunks.unpersist()
+    for stem, table in tables.items():
+        _write(table, f"{out_dir.rstrip('/')}/{stem}_batch={batch}.parquet")
     convert_legacy(spark, out_dir)
     return metrics_of(chunks.columns)
 
@@ -209,12 +221,15 @@ def compact(
 ) -> list[str]:
     """Merge groups of chunks into parts of few, large files; returns the new parts.
 
-    Only full groups are merged, and only once more than ``max_files`` chunks exist.  Chunks are
-    removed after their part is committed.
+    Only full groups are merged, and only once more than ``max_files`` chunks exist.  A list of its
+    members is written before each part, and the chunks are removed after the part is committed; if
+    the run ends in between, readers leave the listed chunks out, so no trial counts twice.
     """
     size = merge_group_size(max_files, group)
     base = chunk_dir.rstrip("/")
-    chunks = [p for p, _ in glob(spark, f"{escape_glob(base)}/chunk_*.parquet")]
+    parts = [p for p, _ in glob(spark, f"{escape_glob(base)}/parts/part_*.parquet")]
+    held = merged_chunks(spark, base, parts)
+    chunks = [p for p, _ in glob(spark, f"{escape_glob(base)}/chunk_*.parquet") if _name(p) not in held]
     if size is None or len(chunks) <= max_files:
         return []
     made = []
@@ -223,6 +238,8 @@ def compact(
         total = sum(size_of(spark, p) for p in members)
         target = f"{base}/parts/part_{next_part_index(spark, base):06d}.parquet"
         files = max(1, math.ceil(total / file_bytes))
+        names = spark.createDataFrame([(_name(p),) for p in members], "value string")
+        names.coalesce(1).write.mode("overwrite").text(target.removesuffix(".parquet") + ".members")
         _write(read_paths(spark, members).coalesce(files), target, mode="error")
         made.append(target)
         if remove:
@@ -350,13 +367,22 @@ def export_batches(
     batches: Sequence[int],
     batch_column: str = "batch",
 ) -> None:
-    """Write a table under the per-batch file names of the lake.
+    """Write a table under the per-batch file names of the lake, in one pass over it.
 
     For new data prefer :func:`write_partitioned`, whose parameters are real partition columns.
     """
+    base, spark = out_dir.rstrip("/"), df.sparkSession
+    staged = f"{base}/.{stem}-{uuid.uuid4().hex}"
+    rows = df.where(F.col(batch_column).isin(list(batches)))
+    rows.write.option("compression", "zstd").partitionBy(batch_column).parquet(staged)
     for b in batches:
-        rows = df.where(F.col(batch_column) == b).drop(batch_column)
-        _write(rows, f"{out_dir.rstrip('/')}/{stem}_batch={b}.parquet")
+        target = f"{base}/{stem}_batch={b}.parquet"
+        if exists(spark, f"{staged}/{batch_column}={b}"):
+            delete(spark, target)
+            rename(spark, f"{staged}/{batch_column}={b}", target)
+        else:
+            _write(rows.where("false").drop(batch_column), target)
+    delete(spark, staged)
 
 
 def write_partitioned(df: DataFrame, path: str, params: Sequence[str], files: int | None = None):

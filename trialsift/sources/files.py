@@ -49,3 +49,9 @@ def delete(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return bool(fs.delete(p, True))
 
+
+
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    p, fs = _fs(spark, path)
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {path} to {target}")

@@ -1,12 +1,13 @@
 """Reading trial tables from a result lake.
 
 A read turns the pruned catalog into explicit file lists, one multi-file scan per file stem, and
-joins the stems on ``(dir_id, batch, shot_id)``.  ``dir_id`` and ``batch`` come from a small table
-of file names; directory parameters are attached at the end as typed columns.
+joins the stems on ``(dir_id, batch, shot_id)``.  ``dir_id`` and ``batch`` come from the path of each
+file and a small table of directories; directory parameters are attached at the end as typed columns.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialsift.functions.registry import metric_names
-from trialsift.sources.catalog import common_type, literal, prune, typed, with_detail
+from trialsift.sources.catalog import RESULT_FOLDER, common_type, literal, prune, typed, with_detail
 from trialsift.sources.files import encoded, escape_glob
 
 KEYS = ("dir_id", "batch", "shot_id")
-_FILE_LIMIT = 100_000  # file tables up to this many rows are broadcast
+_BROADCAST_ROWS = 100_000  # directories, not files
 
 # Columns of the detailed statistics and their names after reading.
 DETAIL_NAMES = {
@@ -59,28 +60,40 @@ class Directories:
             + [T.StructField(k, T._parse_datatype_string(self.types[k])) for k in keys]
         )
         table = df.sparkSession.createDataFrame(data, schema)
-        if len(data) <= _FILE_LIMIT:
-            table = F.broadcast(table)
-        return df.join(table, "dir_id")
+        return df.join(_small(table, len(data)), "dir_id")
+
+
+# Directory pair and batch of a data file, from its path: a batch is a file or a folder of files.
+_FILE = re.compile(rf"/([^/]+/{RESULT_FOLDER}/[^/]+)/[^/]+_batch=(\d+)\.(?:parquet|bin)(?:/|$)")
 
 
 def read_files(
     spark: SparkSession, rows: Sequence[Row], ids: Mapping[tuple[str, str], int],
     columns: Sequence[str | Column] | None = None,
 ) -> DataFrame:
-    """Scan data files with their directory id and batch as columns."""
+    """Scan data files with their directory id and batch as columns.
+
+    Directory and batch are parsed from the path of each file; only a table of the directories is
+    joined, so the plan is the same for any number of files.
+    """
     # A label file may serve several directories, but is read once.
     paths = list(dict.fromkeys(r.path for r in rows))
     df = spark.read.option("recursiveFileLookup", "true").parquet(*[escape_glob(p) for p in paths])
     chosen = df.columns if columns is None else columns
-    table = spark.createDataFrame(
-        [(encoded(r.path), ids[r.circuit_dir, r.decoder_dir], int(r.batch)) for r in rows],
-        "__file string, dir_id int, batch int",
+    serves = {(encoded(_FILE.search(r.path).group(1)), ids[r.circuit_dir, r.decoder_dir]) for r in rows}
+    table = spark.createDataFrame(sorted(serves), "__folder string, dir_id int")
+    file = F.col("_metadata.file_path")
+    scanned = df.select(
+        *chosen,
+        F.regexp_extract(file, _FILE.pattern, 1).alias("__folder"),
+        F.regexp_extract(file, _FILE.pattern, 2).cast("int").alias("batch"),
     )
-    if len(rows) <= _FILE_LIMIT:
-        table = F.broadcast(table)
-    scanned = df.select(*chosen, F.col("_metadata.file_path").alias("__file"))
-    return scanned.join(table, "__file").drop("__file")
+    return scanned.join(_small(table, len(serves)), "__folder").drop("__folder")
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of directories, broadcast while it is short; a plain join is right for any length."""
+    return F.broadcast(table) if rows <= _BROADCAST_ROWS else table
 
 
 def _collect(catalog: DataFrame) -> list[Row]:
@@ -175,9 +188,14 @@ def _sibling_labels(catalog, values, metric, circuit) -> list[Row]:
     def name(r: Row) -> str:
         return (r.decoder.get("decoder") or "").strip("'\"")
 
-    for circuit_dir, decoder_dir in sorted({(r.circuit_dir, r.decoder_dir) for r in values}):
-        own = [r for r in values if (r.circuit_dir, r.decoder_dir) == (circuit_dir, decoder_dir)]
-        files = [r for r in siblings if r.circuit_dir == circuit_dir and name(r) == name(own[0])]
+    served: dict[tuple[str, str], list[Row]] = {}
+    for r in values:
+        served.setdefault((r.circuit_dir, r.decoder_dir), []).append(r)
+    offered: dict[tuple[str, str], list[Row]] = {}
+    for r in siblings:
+        offered.setdefault((r.circuit_dir, name(r)), []).append(r)
+    for (circuit_dir, decoder_dir), own in sorted(served.items()):
+        files = offered.get((circuit_dir, name(own[0])), [])
         dirs = {r.decoder_dir for r in files}
         if len(dirs) != 1:
             state = "no" if not dirs else "more than one"
@@ -308,8 +326,6 @@ def read_detail_pair(
     a_ = a.withColumn("__c", F.to_json(F.struct(*names)))
     b_ = b.withColumn("__c", F.to_json(F.struct(*names))).drop(*names)
     joined = a_.join(b_, ["__c", "batch", "shot_id"]).drop("__c")
-    if joined.isEmpty():
-        raise FileNotFoundError("no trials are present on both sides")
     return joined
 
 
