@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curves", "bins", "pairs", "stats", "decide", "model", "lake")
+MODULES = ("curves", "bins", "pairs", "stats", "decide", "model", "lake", "layouts")
 
 
 def all_queries() -> dict[str, tuple]:
