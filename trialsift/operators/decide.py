@@ -48,21 +48,26 @@ def _baseline(cands: DataFrame, keys: Sequence[str], *extra: Column) -> DataFram
     )
 
 
-def _two_classes(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Winner (lightest; earlier stage, then lower index on ties) and the rival class's weight."""
-    per_class = (
-        cands.where("converged")
-        .groupBy(*keys, "logical")
-        .agg(F.min(F.struct("weight", "stage", "obs_idx")).alias("best"))
-    )
-    place = Window.partitionBy(*keys).orderBy("best")
-    two = per_class.withColumn("place", F.row_number().over(place)).where(F.col("place") <= 2)
-    first = F.col("place") == 1
-    return two.groupBy(*keys).agg(
-        F.max(F.when(first, F.col("best.weight"))).alias("win_weight"),
-        F.max(F.when(first, F.col("logical"))).alias("win_logical"),
-        F.max(F.when(~first, F.col("best.weight"))).alias("rival_weight"),
-    )
+def _with_winner(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates with the winner of their trial: lightest converged, then earlier stage and index.
+
+    A trial has few candidates.  The aggregation that follows uses the partitioning of this window,
+    so a decision takes one exchange and no join.
+    """
+    order = F.struct("weight", "stage", "obs_idx", "logical")
+    winner = F.min(F.when(F.col("converged"), order)).over(Window.partitionBy(*keys))
+    return cands.withColumn("__win", winner)
+
+
+def _two_classes() -> list[Column]:
+    """Winner and the lightest converged weight of another class, over :func:`_with_winner`."""
+    win = F.max("__win")
+    rival = F.col("converged") & (F.col("logical") != F.col("__win.logical"))
+    return [
+        win["weight"].alias("win_weight"),
+        win["logical"].alias("win_logical"),
+        F.min(F.when(rival, F.col("weight"))).alias("rival_weight"),
+    ]
 
 
 def reselect_gap(
@@ -78,7 +83,7 @@ def reselect_gap(
     else 0 (only if ``convergence_aware``).  No candidate of another class: ``rival_missing``.
     """
     keys = list(keys)
-    t = _baseline(cands, keys).join(_two_classes(cands, keys), keys, "left")
+    t = _baseline(_with_winner(cands, keys), keys, *_two_classes())
     ok = F.col("base.converged")
     alone = F.lit(convergence_aware) & (F.col("n_forced_converged") == 0)
     gap = (

@@ -212,25 +212,46 @@ def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
     for c in ("x", "y"):
         table = average_ranks(pairs, c, "w", bounds=bounds[c])
         ranked = _lookup(ranked, table, c, hot_values(bounds[c]))
-    # Exact integer sums of twice the ranks keep the result independent of row order.
-    rx = (F.col("rank_x") * 2).cast("decimal(20,0)")
-    ry = (F.col("rank_y") * 2).cast("decimal(20,0)")
-    w = F.col("w").cast("decimal(20,0)")
-    wide = "decimal(38,0)"
-    s = ranked.agg(
-        F.sum("w").alias("n"),
-        F.sum((w * rx).cast(wide)).cast("double").alias("sx"),
-        F.sum((w * ry).cast(wide)).cast("double").alias("sy"),
-        F.sum(((w * rx).cast(wide) * ry).cast(wide)).cast("double").alias("sxy"),
-        F.sum(((w * rx).cast(wide) * rx).cast(wide)).cast("double").alias("sxx"),
-        F.sum(((w * ry).cast(wide) * ry).cast(wide)).cast("double").alias("syy"),
-    )
-    n = F.col("n").cast("double")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy))
-    return s.select("n", rho.alias("rho"))
+    sums = ranked.agg(*_rank_sums("rank_x", "rank_y", F.col("w"), "r"))
+    return sums.select(F.col("r_n").alias("n"), _rho("r").alias("rho"))
+
+
+def _rank_sums(x: str, y: str, weight: Column, name: str) -> list[Column]:
+    """Exact integer sums over twice the ranks, so that the order of rows does not matter."""
+    rx, ry = ((F.col(c) * 2).cast("decimal(20,0)") for c in (x, y))
+    w, wide = weight.cast("decimal(20,0)"), "decimal(38,0)"
+    wx, wy = (w * rx).cast(wide), (w * ry).cast(wide)
+    parts = {"sx": wx, "sy": wy, "sxy": (wx * ry).cast(wide), "sxx": (wx * rx).cast(wide), "syy": (wy * ry).cast(wide)}
+    return [
+        F.sum(weight).alias(f"{name}_n"),
+        *[F.sum(c).cast("double").alias(f"{name}_{part}") for part, c in parts.items()],
+    ]
+
+
+def _rho(name: str) -> Column:
+    n, sx, sy, sxy, sxx, syy = (F.col(f"{name}_{p}").cast("double") for p in ("n", "sx", "sy", "sxy", "sxx", "syy"))
+    cov, vx, vy = sxy - sx * sy / n, sxx - sx * sx / n, syy - sy * sy / n
+    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy))
+
+
+def _all_spearman(df: DataFrame, scores: Sequence[str], buckets: int | None) -> DataFrame:
+    """One row with ``<i>_<j>_*`` sums of all pairs of scores that are finite in every trial.
+
+    Each score is ranked once; all pairs come from one aggregation.
+    """
+    zero = F.lit(0.0)
+    rows = df.select(*[(col(c).cast("double") + zero).alias(f"__v{i}") for i, c in enumerate(scores)])
+    names = [f"__v{i}" for i in range(len(scores))]
+    bounds = sketch_bounds(rows, {n: n for n in names}, buckets)
+    ranked = rows
+    for n in names:
+        table = average_ranks(rows.withColumn("w", F.lit(1)), n, "w", bounds=bounds[n])
+        ranked = _lookup(ranked, table, n, hot_values(bounds[n]))
+    sums = []
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores)):
+            sums += _rank_sums(f"rank___v{i}", f"rank___v{j}", F.lit(1), f"p{i}_{j}")
+    return ranked.agg(*sums)
 
 
 def _settled_scores(df: DataFrame, scores: Sequence[str], buckets: int | None):
@@ -256,18 +277,29 @@ def spearman_matrix(
     out = df.sparkSession.createDataFrame(
         [(label(c), label(c), 1.0) for c in scores], "left string, right string, rho double"
     )
-    for i, a in enumerate(scores):
-        for b in scores[i + 1 :]:
-            sign = -1.0 if (a in negated) != (b in negated) else 1.0
-            value = F.when(F.col("n") >= 3, F.lit(sign) * F.col("rho"))
-            both = F.array(
-                F.struct(F.lit(label(a)).alias("left"), F.lit(label(b)).alias("right")),
-                F.struct(F.lit(label(b)).alias("left"), F.lit(label(a)).alias("right")),
-            )
-            row = _spearman(df, a, b, buckets).select(
-                F.explode(both).alias("__e"), value.alias("rho")
-            )
-            out = out.unionByName(row.select("__e.left", "__e.right", "rho"))
+    places = [(i, j) for i in range(len(scores)) for j in range(i + 1, len(scores))]
+    if not places:
+        return out
+
+    def both(i: int, j: int, n: Column, rho: Column) -> Column:
+        a, b = scores[i], scores[j]
+        sign = -1.0 if (a in negated) != (b in negated) else 1.0
+        value = F.when(n >= 3, F.lit(sign) * rho).alias("rho")
+        return F.array(
+            F.struct(F.lit(label(a)).alias("left"), F.lit(label(b)).alias("right"), value),
+            F.struct(F.lit(label(b)).alias("left"), F.lit(label(a)).alias("right"), value),
+        )
+
+    # Pairwise finite trials are all trials unless some score has gaps.
+    gaps = df.agg(*[F.max((~finite(c)).cast("int")).alias(f"g{i}") for i, c in enumerate(scores)]).first()
+    if not any(gaps):
+        sums = _all_spearman(df, scores, buckets)
+        cells = F.concat(*[both(i, j, F.col(f"p{i}_{j}_n"), _rho(f"p{i}_{j}")) for i, j in places])
+        return out.unionByName(sums.select(F.explode(cells).alias("e")).select("e.*"))
+    for i, j in places:
+        row = _spearman(df, scores[i], scores[j], buckets)
+        cells = row.select(F.explode(both(i, j, F.col("n"), F.col("rho"))).alias("e"))
+        out = out.unionByName(cells.select("e.*"))
     return out
 
 
