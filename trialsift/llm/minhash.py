@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from trialsift.llm.common import fresh, quoted
 from trialsift.llm.components import connected_components
+from trialsift.llm.idsets import marked
 from trialsift.llm.shingles import mix, seed, shingle_sets
 from trialsift.session import cut_lineage
 
@@ -228,9 +229,10 @@ def across_components(buckets: DataFrame, texts: DataFrame, words: int, percent:
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct texts (``id``, ``text``) of some documents."""
+    """Distinct texts (``id``, ``text``) of some documents; other texts stay where they are."""
     needed = nodes.toDF("n").distinct()
-    wanted = texts.join(needed, texts["id"] == needed["n"], "left_semi")
+    likely = marked(texts, F.col("id"), needed, "likely").where("likely").drop("likely")
+    wanted = likely.join(needed, F.col("id") == F.col("n"), "left_semi")
     return wanted.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
 
 
@@ -310,17 +312,20 @@ def keep_one(
     Of rows that repeat an id one stays, that with the smallest hash of its text.  Rows without an
     id all stay.  Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, id, text, words, percent)
-    (wanted,) = fresh(docs, "wanted")
-    kept = cut_lineage(
-        found.where("kept").where(quoted(id).isNotNull()).select(quoted(id).alias(wanted)).distinct()
-    )
-    rows = docs.join(kept, quoted(id).cast("long") == quoted(wanted), "left_semi")
-    (spot,) = fresh(docs, "spot")
+    found = near_duplicates(docs, id, text, words, percent).where(quoted(id).isNotNull())
+    several = found.groupBy(quoted(id)).count().where("count > 1").select(quoted(id))
+    gone, held, spot = fresh(docs, "gone", "held", "spot")
+    # Only rows whose id may be dropped or repeated are brought together by id.
+    unsure = cut_lineage(found.where(~F.col("kept")).select(quoted(id)).union(several).toDF(gone).distinct())
+    both = marked(docs, quoted(id), unsure, held)
+    plain = both.where(~quoted(held)).drop(held)
+    dropped = cut_lineage(found.where(~F.col("kept")).select(quoted(id).alias(gone)).distinct())
+    rows = both.where(quoted(held)).drop(held)
+    rows = rows.join(dropped, quoted(id).cast("long") == quoted(gone), "left_anti")
     # The join has brought the rows of an id together, so the window needs no further exchange.
     first = Window.partitionBy(quoted(id)).orderBy(F.xxhash64(quoted(text)))
     one = rows.withColumn(spot, F.row_number().over(first)).where(quoted(spot) == 1).drop(spot)
-    return one.unionByName(docs.where(quoted(id).isNull()))
+    return plain.unionByName(one)
 
 
 def _repeated(counted: DataFrame, own: DataFrame) -> DataFrame:
