@@ -145,21 +145,26 @@ def test_chains_are_best_and_collinear():
         n = rng.randint(1, 40)
         xs, ys = [rng.randrange(60) for _ in range(n)], [rng.randrange(60) for _ in range(n)]
         found = passages.chains(xs, ys)
-        assert all(a <= b and c <= d for a, b, c, d in found)
+        assert sum(map(len, found)) == n and all(
+            a < b and c < d for path in found for (a, c), (b, d) in zip(path, path[1:])
+        )
         tree = passages.Fenwick(60)
         assert tree.upto(60)[1] == -1
-        # The first chain ends in the best anchor: its span earns the best score.
-        a, b, c, d = found[0]
-        inside = [(x, y) for x, y in zip(xs, ys) if a <= x <= b and c <= y <= d]
-        assert abs(best_chain(*zip(*inside)) - best_chain(xs, ys)) < 1e-9
+        assert abs(best_chain(*zip(*found[0])) - best_chain(xs, ys)) < 1e-9
 
 
 def test_alignment_finds_the_common_stretch():
     x, y = np.arange(100, 200, dtype=np.uint64), np.arange(130, 260, dtype=np.uint64)
-    assert passages.align(x, y) == (70, 30, 100, 0, 70)
+    # x[30:] equals y[:70]; the slices begin at words 1000 and 2000 of their texts.
+    assert passages.align(x, y, 1000, 2000, ([1050], [1056], [970])) == [(1030, 1100, 2000, 2070)]
+    # A word of y is missing: the diagonal changes by one, wherever the change is seen.
     z = np.delete(y, 20)
-    score, a, b, c, d = passages.align(x, z)
-    assert (a, b, c, d) == (30, 100, 0, 69) and score == 68
+    runs = ([1035, 1070], [1041, 1076], [970, 969])
+    assert passages.align(x, z, 1000, 2000, runs) == [(1030, 1100, 2000, 2069)]
+    # Two stretches with unlike words between them are two results.
+    w = np.concatenate([x[:40], np.arange(900, 960, dtype=np.uint64), x[40:]])
+    v = np.concatenate([x[:40], np.arange(700, 760, dtype=np.uint64), x[40:]])
+    assert sorted(passages.align(w, v, 0, 0, ([0], [6], [0]))) == [(0, 40, 0, 40), (100, 160, 100, 160)]
 
 
 def test_shared_passages(spark):
