@@ -19,18 +19,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trialsift.llm.common import fresh, others, quoted
+from trialsift.llm.common import others
 
 NONE = np.int64(1) << 62
+SLICE = 512  # rows encoded between two outputs
 LANE = 64  # symbols up to which pre-tokens share an array
-KEPT_PIECES = 400_000  # pieces remembered by a worker before it starts anew
+KEPT_PIECES = 250_000  # pieces remembered by a worker before it starts anew
 
 # White space that the pre-tokenizer drops, and its pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -239,6 +238,19 @@ def merge_all(pretokens: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray,
     return merged[kept], np.add.reduceat(kept, starts, dtype=np.int64) if len(raws) else lengths
 
 
+class _Numbers(dict):
+    """Numbers of pieces in the order of their first appearance."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
 class PieceTable:
     """Numbered pieces of text with their ids as ragged arrays, filled as new pieces turn up."""
 
@@ -247,35 +259,36 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.extra: list = []
         self.flat = np.empty(1 << 16, dtype=np.uint16)
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.used = 0
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self.number]
+    def number_run(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Numbers of the pieces of each text of a run, all of them known afterwards."""
+        if len(self.number) > self.limit:
+            self.clear()
+        number = self.number.__getitem__
+        rows = [np.fromiter(map(number, raw.split()), dtype=np.int64) for raw in texts]
+        self._learn()
+        return rows
+
+    def _learn(self) -> None:
+        new, self.number.new = self.number.new, []
         if not new:
             return
-        if len(self.number) + len(new) > self.limit and self.number:
-            self.clear()
-            new = list(pieces)
         ids, lengths, extra = self.encode_new([p.decode("utf-8", "replace") for p in new])
-        first, total = len(self.number), len(ids)
-        self.number.update(zip(new, range(first, first + len(new))))
+        first, total = len(self.number) - len(new), len(ids)
         self.extra += extra
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + len(new) + 1 > len(self.start):
+        while len(self.number) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.used : self.used + total] = ids
-        self.start[first + 1 : first + len(new) + 1] = self.used + np.cumsum(lengths)
+        self.start[first + 1 : len(self.number) + 1] = self.used + np.cumsum(lengths)
         self.used += total
 
-    def numbers(self, pieces: list[bytes]) -> list[int]:
-        number = self.number
-        return [number[p] for p in pieces]
-
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """Ids of a sequence of pieces."""
         starts = self.start[numbers]
@@ -331,13 +344,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids and decoded text of each text."""
         for run in runs(texts):
-            split = [raw.split() for raw in run]
-            self.table.learn({p for row in split for p in row})
+            rows = self.table.number_run(run)
             extra = self.table.extra
-            for row in split:
-                numbers = self.table.numbers(row)
-                ids = self.table.gather(np.array(numbers, dtype=np.int64))
-                yield ids, " ".join([s for k in numbers if (s := extra[k])])
+            for numbers in rows:
+                decoded = " ".join([s for k in numbers.tolist() if (s := extra[k])])
+                yield self.table.gather(numbers), decoded
 
     def decode(self, ids: np.ndarray) -> str:
         names = self.vocabulary.names
@@ -371,24 +382,26 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
     encoded each by itself.  Columns called ``ids`` or ``decoded`` are replaced.  No shuffle.
     """
     vocabulary = load_vocabulary(docs.sparkSession, tokenizer_path)
+    plain = docs.select(*others(docs, ("ids", "decoded")))
+    at = [c.lower() for c in plain.columns].index(text.lower())
 
-    @F.pandas_udf("struct<ids: binary, decoded: string>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for texts in batches:
-            ids, decoded = [], []
-            for found, back in encoder.encode(texts.tolist()):
-                ids.append(found.astype("<u4").tobytes())
-                decoded.append(back)
-            yield pd.DataFrame({"ids": ids, "decoded": decoded})
-
-    (coded,) = fresh(docs, "coded")
-    out = docs.withColumn(coded, encode(quoted(text)))
-    return out.select(
-        *others(docs, ("ids", "decoded")),
-        quoted(coded)["ids"].alias("ids"),
-        quoted(coded)["decoded"].alias("decoded"),
-    )
+        for batch in batches:
+            # Small slices, since ids and decoded text are larger than the text itself.
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                ids, decoded = [], []
+                for found, back in encoder.encode(part.column(at).to_pylist()):
+                    ids.append(found.astype("<u4").tobytes())
+                    decoded.append(back)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                    [*part.schema.names, "ids", "decoded"],
+                )
+
+    schema = type(plain.schema)(list(plain.schema.fields)).add("ids", "binary").add("decoded", "string")
+    return plain.mapInArrow(encode, schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:

@@ -86,7 +86,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document."""
-    coded = bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE())
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE())
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

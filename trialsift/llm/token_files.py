@@ -46,19 +46,39 @@ class LibraryEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit two bytes")
         self.table = PieceTable(self._encode_pieces)
+        self.mark, self.mark_id = "", -1
+        for mark in "×°©®":  # a sign of a single id, which no other text can give
+            found = self._ids(f"a {mark} a")
+            if len(found) == 3 and len(self._ids(mark)) == 1:
+                self.mark, self.mark_id = mark, int(found[1])
+                break
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total = int(lengths.sum())
-        return np.fromiter((x for row in found for x in row), np.int64, total), lengths, []
+        """Ids of the pieces one after another, and how many each has.
+
+        Many pieces go to the library as one text, parted by a sign between spaces.
+        """
+        if not self.mark or any(self.mark in p for p in pieces):
+            rows = [self._ids(p) for p in pieces]
+            lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            return np.concatenate(rows) if rows else lengths, lengths, []
+        flat, lengths = [], []
+        for start in range(0, len(pieces), 4096):
+            some = pieces[start : start + 4096]
+            ids = self._ids(f" {self.mark} ".join(some))
+            marks = np.flatnonzero(ids == self.mark_id)
+            bounds = np.concatenate([[-1], marks, [len(ids)]])
+            lengths.append(np.diff(bounds) - 1)
+            flat.append(np.delete(ids, marks))
+        return np.concatenate(flat), np.concatenate(lengths), []
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for run in runs(texts):
-            split = [raw.split() for raw in run]
-            self.table.learn({p for row in split for p in row})
-            for row in split:
-                yield self.table.gather(np.array(self.table.numbers(row), dtype=np.int64))
+            for numbers in self.table.number_run(run):
+                yield self.table.gather(numbers)
 
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
