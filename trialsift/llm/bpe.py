@@ -399,6 +399,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
                     [*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     [*part.schema.names, "ids", "decoded"],
                 )
+        # A worker may wait for other work for long; it keeps the vocabulary, not the pieces.
+        encoder.table.clear()
 
     schema = type(plain.schema)(list(plain.schema.fields)).add("ids", "binary").add("decoded", "string")
     return plain.mapInArrow(encode, schema)

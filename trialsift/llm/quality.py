@@ -113,7 +113,7 @@ def _all_stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     kinds = _kinds()
     names = [part.split()[0] for part in STATS.split(",")]
     for texts in batches:
-        rows = [_text_stats(t, kinds) for t in texts.tolist()]
+        rows = [_text_stats(t, kinds) for t in texts]
         yield pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(names)), columns=names)
 
 

@@ -101,6 +101,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int, id: str, text: str)
         encoder = _encoder(vocabulary)
         for texts in batches:
             yield pd.Series([ids.astype("<u2").tobytes() + tail for ids in encoder.encode(texts.tolist())])
+        # A worker may wait for other work for long; it keeps the vocabulary, not the pieces.
+        encoder.table.clear()
 
     encode = F.pandas_udf(run, "binary")
     return docs.select(quoted(id).cast("long").alias("id"), encode(quoted(text).cast("string")).alias("ids"))
