@@ -167,6 +167,26 @@ def test_alignment_finds_the_common_stretch():
     assert sorted(passages.align(w, v, 0, 0, ([0], [6], [0]))) == [(0, 40, 0, 40), (100, 160, 100, 160)]
 
 
+def test_alignments_part_where_words_differ():
+    rng = np.random.default_rng(8)
+
+    def parted(*lengths):
+        """Texts that agree in every other length, from the first on."""
+        x = rng.integers(0, 2**63, sum(lengths), dtype=np.uint64)
+        y, ends = x.copy(), np.cumsum(lengths)
+        for k in range(1, len(lengths), 2):
+            y[ends[k - 1] : ends[k]] += np.uint64(1)
+        alike = [(int(ends[k] - lengths[k]), int(ends[k])) for k in range(0, len(lengths), 2)]
+        return x, y, alike
+
+    gaps = [(100, 80, 100), (60, 40, 60), (200, *[80, 200] * 5), (200, 80, 60, 80, 200), (50, 30, 50, 400, 50, 30, 50)]
+    for lengths in gaps:
+        x, y, alike = parted(*lengths)
+        found = passages.align(x, y, 0, 0, ([0], [len(x)], [0]))
+        assert all(any(c <= a and b <= d for c, d, _, _ in found) for a, b in alike), (lengths, found)
+        assert all((c, d) == (e, f) and (x[c:d] == y[c:d]).mean() >= 0.8 for c, d, e, f in found), (lengths, found)
+
+
 def test_shared_passages(spark):
     exact, fuzzy = prose(900, 60), prose(901, 90)
     rows = [(i, prose(i, 150)) for i in range(30)]
