@@ -187,6 +187,33 @@ def test_alignments_part_where_words_differ():
         assert all((c, d) == (e, f) and (x[c:d] == y[c:d]).mean() >= 0.8 for c, d, e, f in found), (lengths, found)
 
 
+def passage_docs(spark, rng, passages_of, first=0):
+    """Documents of numbered words with a passage between 70 unlike words on both sides."""
+    def text(middle):
+        around = [f"u{n}" for n in rng.integers(0, 2**62, 140)]
+        return " ".join([*around[:70], *middle, *around[70:]])
+
+    rows = [(first + i, text(middle)) for i, middle in enumerate(passages_of)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def covered(docs):
+    """Documents whose passage is found but for a few words at its ends."""
+    rows = passages.repeated_passages(docs).collect()
+    return {r.doc_id for r in rows if r.start_word <= 76 and r.end_word >= 124}
+
+
+def test_passages_with_every_fifth_word_changed(spark):
+    rng = np.random.default_rng(5)
+    found = []
+    for k, every in enumerate((12, 10, 8, 6, 5)):
+        for i in range(6):
+            shared = [f"p{k}.{i}.{j}" for j in range(60)]
+            found += [shared, [f"q{k}.{i}.{j}" if j % every == every - 1 else w for j, w in enumerate(shared)]]
+    docs = passage_docs(spark, rng, found)
+    assert covered(docs) == set(range(len(found)))
+
+
 def test_shared_passages(spark):
     exact, fuzzy = prose(900, 60), prose(901, 90)
     rows = [(i, prose(i, 150)) for i in range(30)]
