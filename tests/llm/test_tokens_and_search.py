@@ -203,6 +203,16 @@ def covered(docs):
     return {r.doc_id for r in rows if r.start_word <= 76 and r.end_word >= 124}
 
 
+def test_passages_shared_by_middle_documents(spark):
+    """Each seed of the passage stands alone in a lower and in a higher document too."""
+    rng = np.random.default_rng(4)
+    shared = [f"w{i}" for i in range(60)]
+    strays = [shared[i : i + 9] for i in range(0, 52, 2)]
+    around = [[f"s{n}" for n in rng.integers(0, 2**62, 30)] + s for s in strays]
+    docs = passage_docs(spark, rng, [*around, shared, shared, *around])
+    assert {len(strays), len(strays) + 1} <= covered(docs)
+
+
 def test_passages_with_every_fifth_word_changed(spark):
     rng = np.random.default_rng(5)
     found = []
