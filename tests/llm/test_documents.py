@@ -125,6 +125,28 @@ def test_outliers_match_local_estimates_and_junk_goes(spark):
     assert np.allclose([got[i].distance for i in ids], want, rtol=1e-6, atol=1e-9)
 
 
+def test_repeated_lines_or_windows_alone_reject(spark):
+    def lines(seed, several):
+        """Lines of five words each, ``several`` of which are followed by the same short line."""
+        w = prose(seed, 150).split()
+        cut = [" ".join(w[i : i + 5]) for i in range(0, 150, 5)]
+        return "\n".join(c + "\nback" * (i < several) for i, c in enumerate(cut))
+
+    def windows(seed, again):
+        """One line in which the first ``again`` words come twice."""
+        w = prose(seed, 150).split()
+        return " ".join(w + w[:again])
+
+    rows = [(i, prose(i, 80 + i % 90), "en", "hot", 1) for i in range(300)]
+    rows += [(1000 + i, lines(5000 + i, 28), "en", "hot", 1) for i in range(8)]
+    rows += [(2000 + i, windows(6000 + i, 50), "en", "hot", 1) for i in range(8)]
+    rows += [(3000 + i, lines(7000 + i, 4), "en", "hot", 1) for i in range(8)]
+    rows += [(4000 + i, windows(8000 + i, 8), "en", "hot", 1) for i in range(8)]
+    got = {r.doc_id: r for r in quality.reject_outliers(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[r[0]].kept == (not 1000 <= r[0] < 3000) for r in rows), [r for r in got.values() if r.doc_id >= 1000]
+
+
 def test_quality_of_edge_cases(spark):
     docs = edge_docs(spark)
     out = quality.reject_outliers(clashing(docs))
