@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from llm_helpers import (
-    CLASHES, VOCABULARY, clashing, components, edge_docs, edge_rows, edited, no_docs, prose, words,
+    CLASHES, VOCABULARY, clashing, components, edge_docs, edge_rows, edited, no_docs, prose, shingles, words,
 )
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -364,3 +364,19 @@ def test_every_query_is_registered():
     names = entry.queries()
     assert sum(name.startswith("op") and name[2].isdigit() for name in names) == 10 and "pipeline" in names
     assert set(CLASHES) and VOCABULARY and zlib.crc32(b"a")
+
+
+def test_near_copies_stage_links_from_four_fifths_on(spark):
+    import corpus_pipeline as pipeline
+
+    base = prose(41, 300).split()
+    rows = [(1, " ".join(base))]
+    for i, edits in ((2, 6), (3, 8)):
+        other = list(base)
+        for k in range(edits):
+            other[20 + 35 * k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(other)))
+    sets = [shingles(t) for _, t in rows]
+    assert [round(len(sets[0] & s) / len(sets[0] | s), 2) for s in sets[1:]] == [0.82, 0.76]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_copies(spark, docs, "").collect()} == {1, 3}

@@ -305,7 +305,7 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document of its smallest id.
 
