@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from trialsift.llm.common import WORD, fresh, hashable, others, quoted
 from trialsift.session import cut_lineage
 
+OUTPUTS = ("size", "source_size", "target", "taken")
+_COLUMNS = ("id", "source", "text")
 MAX_EPOCHS = 3
 SLICE_ROWS = 20_000  # rows of a source that are ordered together, about
 
@@ -73,26 +75,19 @@ def source_targets(sized: DataFrame, source: str, size: str, cycle: Sequence[flo
     return rows.select(source, F.col("words").alias("source_size"), "rows", target.alias("target"))
 
 
-def plan_mix(
+def _planned(
     docs: DataFrame,
+    copies: str,
     id: str = "doc_id",
     source: str = "source",
     text: str = "text",
     cycle: Sequence[float] = (1, 2, 3),
     seed: int = 0,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``size``, ``source_size``, ``target``, ``taken`` (words).
-
-    Sources by code point, NULL last, weigh ``cycle`` in turn.  ``taken`` is a whole multiple of
-    ``size``: complete epochs and possibly one more.  The document on which the rest of a source
-    ends is taken if that comes nearer to the target.  Texts that are NULL, empty or without words
-    have size 0 and are never taken; an empty table gives an empty table.  Repeated rows are drawn
-    one by one, in the order of a hash of the row.  Columns with the names of outputs are replaced.
-    """
-    outputs = ("size", "source_size", "target", "taken")
-    plain = docs.select(*others(docs, outputs))
-    u, weight, slot, where_, begun, ran, rows, at, epochs, owner, part = fresh(
-        plain, "u", "weight", "slot", "where", "begun", "ran", "rows", "at", "epochs", "owner", "part"
+    """The plan of :func:`plan_mix` and the number of times each row is taken, as ``copies``."""
+    plain = docs.select(*others(docs, (*OUTPUTS, copies)))
+    u, weight, slot, where_, begun, ran, rows, at, epochs, owner, part, tie = fresh(
+        plain, "u", "weight", "slot", "where", "begun", "ran", "rows", "at", "epochs", "owner", "part", "tie"
     )
     own_id = F.coalesce(quoted(id).cast("string"), F.lit("-"))
     noise = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), own_id)), 1, 13), 16, 10)
@@ -101,6 +96,8 @@ def plan_mix(
         word_count(quoted(text)).alias("size"),
         ((noise.cast("double") + 0.5) / float(1 << 52)).alias(u),
         quality_weight(quoted(text)).alias(weight),
+        # Hashed before rows travel, so that texts travel only where the caller keeps them.
+        F.xxhash64(*hashable(plain)).alias(tie),
     )
     # Texts are read once for the sums, as a narrow table, and once for the rows themselves.
     narrow = cut_lineage(sized.select(quoted(source).alias(where_), "size", u, weight))
@@ -122,7 +119,7 @@ def plan_mix(
     earlier = Window.partitionBy(owner).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(owner, part, F.coalesce(F.sum(ran).over(earlier), F.lit(0)).alias(begun))
     inside = Window.partitionBy(quoted(source), quoted(slot)).orderBy(
-        quoted(at), quoted(id), F.xxhash64(*hashable(plain))
+        quoted(at), quoted(id), quoted(tie)
     )
     before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     run = placed(sized, source).withColumn(ran, before)
@@ -134,17 +131,42 @@ def plan_mix(
     rest = F.col("target") - quoted(epochs) * F.col("source_size")
     start = quoted(begun) + F.coalesce(quoted(ran), F.lit(0))
     once_more = (quoted(epochs) < MAX_EPOCHS) & (start + F.col("size") / 2 < rest)
-    taken = F.col("size") * (quoted(epochs) + F.when(once_more, 1).otherwise(0))
+    times = (quoted(epochs) + F.when(once_more, 1).otherwise(0)).cast("long")
     return run.select(
-        *others(plain, ()), "size", "source_size", "target", taken.cast("long").alias("taken")
+        *others(plain, ()),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * times).alias("taken"),
+        F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long")).alias(copies),
     )
 
 
+def plan_mix(docs: DataFrame, **options) -> DataFrame:
+    """All columns of ``docs`` and ``size``, ``source_size``, ``target``, ``taken`` (words).
+
+    Sources by code point, NULL last, weigh ``cycle`` in turn.  ``taken`` is a whole multiple of
+    ``size``: complete epochs and possibly one more.  The document on which the rest of a source
+    ends is taken if that comes nearer to the target.  Texts that are NULL, empty or without words
+    have size 0 and are never taken; an empty table gives an empty table.  Equal keys, which only equal
+    ids have, are taken in the order of a hash of the row; rows that repeat in full are drawn one by one.
+    Columns with the names of outputs are replaced.  Texts do not travel unless the caller keeps them.
+    Options: ``id``, ``source``, ``text``, ``cycle`` and ``seed``.
+    """
+    (copies,) = fresh(docs, "copies")
+    return _planned(docs, copies, **options).drop(copies)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    planned = plan_mix(docs, **options)
-    (times, copy) = fresh(planned, "times", "copy")
-    counted = planned.where(F.col("taken") > 0).withColumn(
-        times, F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))
-    )
-    return counted.withColumn(copy, F.explode(quoted(times))).select(*[quoted(c) for c in docs.columns])
+    """The mixed corpus: the rows of ``docs`` with their own columns, each as often as it is taken.
+
+    Rows whose text is NULL, empty or without words have no size and are never taken.  Everything
+    else is as in :func:`plan_mix`, also the options.
+    """
+    clashes = [c for c in docs.columns if c.lower() in OUTPUTS]
+    copies, copy, *aside = fresh(docs, "copies", "copy", *[f"own_{c}" for c in clashes])
+    names = dict(zip(clashes, aside))
+    plain = docs.select(*[quoted(c).alias(names.get(c, c)) for c in docs.columns])
+    planned = _planned(plain, copies, **{k: names.get(v, v) if k in _COLUMNS else v for k, v in options.items()})
+    repeated = F.explode(F.array_repeat(F.lit(True), quoted(copies).cast("int")))
+    return planned.withColumn(copy, repeated).select(*[quoted(names.get(c, c)).alias(c) for c in docs.columns])
