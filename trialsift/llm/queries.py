@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialsift.llm.bpe import bpe_encode
 from trialsift.llm.common import table
+from trialsift.llm.filter_audit import audit_filters
 from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.mixing import plan_mix
 from trialsift.llm.passages import repeated_passages
@@ -220,6 +221,50 @@ FROM p
 """
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes in every order, per source."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Counts per part and set of failures meet every order and step.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+m AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed
+  FROM w LEFT JOIN m ON w.doc_id = m.doc_id),
+c AS MATERIALIZED (SELECT part, failed, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x)
+    JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS MATERIALIZED (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM o, range(1, 6) r(step)),
+g AS (
+  SELECT part, filter_order, step, own,
+    CAST(sum(CASE WHEN failed & CAST(before + own AS INTEGER) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN failed & own > 0 AND failed & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN failed & own > 0 AND failed & CAST(before AS INTEGER) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN failed = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN failed & own > 0 AND failed & CAST(before AS INTEGER) = 0 THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN failed & own > 0 AND failed & CAST(before AS INTEGER) = 0 THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+
 #: name: (query, equivalent SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_shards": (op1_shards, None),
@@ -232,4 +277,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_urls": (op8_urls, OP8_SQL),
     "op9_minhash": (op9_minhash, None),
     "op10_mix": (op10_mix, OP10_SQL),
+    "op11_filters": (op11_filters, OP11_SQL),
 }
