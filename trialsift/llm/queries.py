@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialsift.llm.bpe import bpe_encode
+from trialsift.llm.centroids import cluster
 from trialsift.llm.common import table
 from trialsift.llm.filter_audit import audit_filters
 from trialsift.llm.minhash import near_duplicates
 from trialsift.llm.mixing import plan_mix
+from trialsift.llm.packing import encode_pieces, pack_pieces
 from trialsift.llm.passages import repeated_passages
 from trialsift.llm.pii import BASE, KINDS, find_pii, fit_detector, spans_text
 from trialsift.llm.pivots import top_k
 from trialsift.llm.quality import fit, judge, measure
 from trialsift.llm.sharding import assign_shards
 from trialsift.llm.token_files import read_token_files, write_token_files
-from trialsift.llm.tokenizer_files import WORD_BPE
+from trialsift.llm.tokenizer_files import BYTE_BPE, WORD_BPE
 from trialsift.llm.urls import judge_urls
 from trialsift.session import cut_lineage, scratch_path
 
@@ -265,6 +267,55 @@ FROM g
 """
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all sound vectors after five rounds."""
+    return cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds, one after another, with exact integers."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS INTEGER) AS k, e
+  FROM v ORDER BY sha256('2:' || vec_id) NULLS LAST, e LIMIT {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, any_value(v.e) AS e, any_value(vec_id) AS vec_id,
+    min({{'d': CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'k': k}}) AS best
+  FROM v, c{i} c GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM (
+    SELECT best.k AS k, i, sum(e[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY best.k, i) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)""")
+    parts.append("")
+    body = ",".join(parts).rstrip(",")
+    return body + f"""
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = best.k
+"""
+
+
+OP12_SQL = _lloyd_sql(40, 5)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens; digests are taken before pieces travel."""
+    pieces = cut_lineage(
+        encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE(), cap=1024, end=2)
+    )
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack_pieces(digests, cap=1024)
+
+
 #: name: (query, equivalent SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_shards": (op1_shards, None),
@@ -278,4 +329,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_minhash": (op9_minhash, None),
     "op10_mix": (op10_mix, OP10_SQL),
     "op11_filters": (op11_filters, OP11_SQL),
+    "op12_centroids": (op12_centroids, OP12_SQL),
+    "op13_packing": (op13_packing, None),
 }

@@ -7,3 +7,9 @@ def WORD_BPE() -> str:  # noqa: N802
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def BYTE_BPE() -> str:  # noqa: N802
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
