@@ -29,8 +29,12 @@ def _below(free: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(free > 0, np.arange(len(free)), 0))
 
 
-def _better_pair(free: np.ndarray, room: int, least: int) -> tuple[int, int] | None:
-    """Two free lengths of the largest sum over ``least`` and at most ``room``; the longest one wins ties."""
+def _better_pair(free: np.ndarray, room: int, least: int, reserve: int, even: bool) -> tuple[int, int] | None:
+    """Two free lengths, not under ``reserve``, of the largest sum over ``least`` and at most ``room``.
+
+    Of equal sums the one with the longest document wins, or the most even one.
+    """
+    free = np.where(np.arange(len(free)) < reserve, 0, free)
     small = np.flatnonzero(free[: room // 2 + 1] > 0)
     if not len(small):
         return None
@@ -39,15 +43,19 @@ def _better_pair(free: np.ndarray, room: int, least: int) -> tuple[int, int] | N
     alone = (partner == small) & (free[small] < 2)
     partner = np.where(alone, below[small - 1], partner)
     sums = np.where(partner > 0, small + partner, 0)
-    best = int(sums.argmax())
+    best = len(sums) - 1 - int(sums[::-1].argmax()) if even else int(sums.argmax())
     return (int(partner[best]), int(small[best])) if sums[best] > least else None
 
 
-def plan_bins(counts: np.ndarray, cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
+Bins = list[tuple[int, list[tuple[int, int]]]]
+
+
+def plan_bins(counts: np.ndarray, cap: int, reserve: int = 1, even: bool = False) -> Bins:
     """``(times, [(length, how many), ...])`` of all bins for ``counts[length]`` documents of each length.
 
     A bin is repeated while every document that its steps touched is still there, which gives the
-    same bins as one by one: lengths that were not there do not come back.
+    same bins as one by one: lengths that were not there do not come back.  Documents under ``reserve``
+    only fill gaps and never replace another.
     """
     left = counts.astype(np.int64).copy()
     bins = []
@@ -67,7 +75,7 @@ def plan_bins(counts: np.ndarray, cap: int) -> list[tuple[int, list[tuple[int, i
             free = left.copy()
             for size, n in used.items():
                 free[size] -= n
-            pair = _better_pair(free, room + smallest, smallest)
+            pair = _better_pair(free, room + smallest, smallest, reserve, even)
             if pair:
                 held[smallest] -= 1
                 for size in pair:
@@ -85,10 +93,18 @@ def plan_bins(counts: np.ndarray, cap: int) -> list[tuple[int, list[tuple[int, i
     return bins
 
 
+def best_plan(counts: np.ndarray, cap: int) -> Bins:
+    """The plan of fewest bins: short documents reserved or not, both ways of breaking ties."""
+    plans = [
+        plan_bins(counts, cap, max(1, cap // part), even) for part in (cap, 16, 8, 4) for even in (True, False)
+    ]
+    return min(plans, key=lambda bins: sum(times for times, _ in bins))
+
+
 class Places:
     """Sequence and offset of the r-th piece of a length."""
 
-    def __init__(self, bins: list[tuple[int, list[tuple[int, int]]]], cap: int):
+    def __init__(self, bins: Bins, cap: int):
         taken = np.zeros(cap + 1, dtype=np.int64)
         rows, base = [], 0
         for times, held in bins:
@@ -151,7 +167,7 @@ def pack_pieces(pieces: DataFrame, cap: int = 1024, length: str = "length") -> D
     counts = np.zeros(cap + 1, dtype=np.int64)
     for row in held:
         counts[row["s"]] = row["n"]
-    places = Places(plan_bins(counts, cap), cap)
+    places = Places(best_plan(counts, cap), cap)
 
     hashed, part, own, s, rank, begun, place = fresh(plain, "hashed", "part", "own", "s", "rank", "begun", "place")
     slices = F.expr("array(" + ",".join(str(int(-(-n // SLICE_ROWS) or 1)) for n in counts) + ")")
