@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from showcase.bins import rounded
 from showcase.common import LINES, PAIRS, SHOTS, div, lines, pairs, plain, shots, table
 from trialsift.operators import stats as S
+from trialsift.plans.ranges import attach
 
 QUERIES: dict[str, tuple] = {}
 
@@ -153,7 +154,7 @@ add(
 add(
     "kendall_tau_ranges",
     lambda s, d: rounded(
-        S.kendall(lines(s, d), "score", "l_discount", buckets=16).select("n", "tau"), 9
+        S.kendall(lines(s, d), "score", "l_discount", max_rows=100).select("n", "tau"), 9
     ),
     f"""WITH {LINES}, v AS (SELECT score AS x, l_discount AS y, count(*) AS w FROM lines GROUP BY 1, 2),
       e AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y) * a.w * b.w) / 2 AS ex FROM v a, v b),
@@ -163,6 +164,45 @@ add(
       SELECT CAST(n AS BIGINT) AS n,
         round(2 * ex / (sqrt(n * (n - 1) - tx.t2) * sqrt(n * (n - 1) - ty.t2)), 9) AS tau FROM e, n, tx, ty""",
 )
+
+
+def _inputs(frame, name: str, left: str, right: str, max_rows: int):
+    """What p-values are computed from; exact counts, and correlations to nine digits."""
+    k = S.kendall(frame, left, right, max_rows=max_rows)
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("n", "excess", "x2", "x3", "x5", "y2", "y3", "y5")]
+    s = S.spearman(frame, left, right).select(F.round("rho", 9).alias("rho"))
+    own = k.select(F.lit(name).alias("name"), *counts, F.round("tau", 9).alias("tau"))
+    return attach(own, s, [])
+
+
+def _inputs_sql(source: str, name: str, left: str, right: str) -> str:
+    ties = ", ".join(
+        f"""t{c} AS MATERIALIZED (SELECT CAST(sum(t * (t - 1)) AS BIGINT) AS {c}2, CAST(sum(t * (t - 1) * (t - 2)) AS BIGINT) AS {c}3,
+        CAST(sum(t * (t - 1) * (2 * t + 5)) AS BIGINT) AS {c}5 FROM (SELECT CAST(sum(w) AS HUGEINT) AS t FROM v GROUP BY {c}))"""
+        for c in "xy"
+    )
+    return f"""SELECT * FROM (WITH v AS MATERIALIZED (SELECT CAST({left} AS DOUBLE) AS x, CAST({right} AS DOUBLE) AS y, count(*) AS w
+        FROM {source} GROUP BY 1, 2),
+      e AS MATERIALIZED (SELECT coalesce(sum(CASE WHEN (a.y > b.y) THEN a.w * b.w WHEN a.y < b.y THEN -a.w * b.w ELSE 0 END), 0) AS ex
+        FROM v a JOIN v b ON a.x > b.x),
+      n AS (SELECT CAST(sum(w) AS BIGINT) AS n FROM v), {ties},
+      r AS (SELECT {rank_avg(left)} AS x, {rank_avg(right)} AS y FROM {source}), c AS (SELECT round(corr(x, y), 9) AS rho FROM r)
+      SELECT '{name}' AS name, n, CAST(ex AS BIGINT) AS excess, x2, x3, x5, y2, y3, y5,
+        round(2 * ex / (sqrt(CAST(n AS DOUBLE) * (n - 1) - x2) * sqrt(CAST(n AS DOUBLE) * (n - 1) - y2)), 9) AS tau, rho
+      FROM e, n, tx, ty, c)"""
+
+
+# Tied scores of pairs, and continuous ones whose points are cut into strips again and again.
+add(
+    "rank_correlation_inputs",
+    lambda s, d: _inputs(pairs(s, d), "gaps", "logical_gap", "forced_gap_ml", 200_000)
+    .unionByName(_inputs(pairs(s, d), "weights", "forced_stage1_weight", "forced_gap_ml", 200))
+    .unionByName(_inputs(table(s, d, "orders"), "orders", "o_totalprice", "o_custkey", 500)),
+    f"""WITH {PAIRS}, kept AS MATERIALIZED (SELECT * FROM pairs)
+      {_inputs_sql('kept', 'gaps', 'logical_gap', 'forced_gap_ml')} UNION ALL
+      {_inputs_sql('kept', 'weights', 'forced_stage1_weight', 'forced_gap_ml')} UNION ALL
+      {_inputs_sql('orders', 'orders', 'o_totalprice', 'o_custkey')}""",
+)
 # P-values have no counterpart in SQL; tests compare them with published values.
 add(
     "rank_correlations",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialsift.operators import curves as C
+from trialsift.operators import dominance
 from trialsift.operators import stats as S
 from trialsift.plans import ranges as R
 
@@ -128,18 +129,49 @@ def brute_excess(x, y):
     return int(sum(np.sign(x[i] - x) @ np.sign(y[i] - y) for i in range(len(x))) // 2)
 
 
-@pytest.mark.parametrize("buckets", [1, 16])
-def test_kendall_excess(frame, buckets):
+@pytest.mark.parametrize("max_rows", [10**6, 100])
+def test_kendall_excess(frame, max_rows):
     df, pdf = frame
     sub = pdf[np.isfinite(pdf.score)].head(1500)
     small = df.sparkSession.createDataFrame(
         [(float(a), float(b)) for a, b in zip(sub.score, sub.id % 40)], "x double, y double"
     )
-    row = S.kendall(small, "x", "y", buckets=buckets).first()
+    row = S.kendall(small, "x", "y", max_rows=max_rows).first()
     assert row.excess == brute_excess(sub.score.to_numpy(), (sub.id % 40).to_numpy())
     assert row.n == len(sub)
 
 
+@pytest.mark.parametrize("strips,max_rows", [(4, 40), (8, 150), (128, 50)])
+def test_excess_in_recursive_strips(spark, strips, max_rows):
+    rng = np.random.default_rng(strips)
+    n = 1500
+    x = rng.normal(size=n).round(2)
+    x[rng.random(n) < 0.4] = 0.25  # one value of x and one of y hold far more points than a task may
+    y = (x + rng.normal(size=n)).round(1)
+    y[rng.random(n) < 0.3] = -1.0
+    w = rng.integers(1, 4, n)
+    points = spark.createDataFrame(
+        [(float(a), float(b), int(c)) for a, b, c in zip(x, y, w)], "x double, y double, w long"
+    )
+    want = sum(
+        int(w[i]) * int((w * np.sign(x[i] - x) * np.sign(y[i] - y)).sum()) for i in range(n)
+    ) // 2
+    assert dominance.excess(points, max_rows, strips).first().excess == want
+    assert dominance.count_excess(x, y, w) == want
+
+
+def test_excess_of_degenerate_points(spark):
+    schema = "x double, y double, w long"
+    for rows, want in (
+        ([], 0),
+        ([(1.0, 2.0, 3)], 0),
+        ([(1.0, float(i), 1) for i in range(300)], 0),
+        ([(float(i), float(-i), 2) for i in range(300)], -4 * 300 * 299 // 2),
+        ([(float(i % 2), float(i // 2), 1) for i in range(300)], 0),
+    ):
+        assert dominance.excess(spark.createDataFrame(rows, schema), 20, 4).first().excess == want
+
+
 def test_published_correlation_examples(spark):
     a = spark.createDataFrame(
         list(zip([12.0, 2.0, 1.0, 12.0, 2.0], [1.0, 4.0, 7.0, 1.0, 0.0])), "x double, y double"

@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialsift.functions.exprs import col, finite, flag, half_away, known, ratio
 from trialsift.functions.registry import stage_values, stat_columns
 from trialsift.functions.tails import kendall_p, spearman_p
+from trialsift.operators import dominance
 from trialsift.plans.ranges import (
     attach,
     cumulative,
     hot_values,
-    is_hot,
     join_groups,
     order_statistics,
     sketch_bounds,
-    with_ranges,
 )
-from trialsift.session import settle, ship_self
+from trialsift.session import cut_lineage, settle
 
 
 
@@ -216,6 +213,11 @@ def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
     return sums.select(F.col("r_n").alias("n"), _rho("r").alias("rho"))
 
 
+def spearman(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
+    """One row: number of pairs finite in both scores, and their rank correlation."""
+    return _spearman(df, x, y, buckets)
+
+
 def _rank_sums(x: str, y: str, weight: Column, name: str) -> list[Column]:
     """Exact integer sums over twice the ranks, so that the order of rows does not matter."""
     rx, ry = ((F.col(c) * 2).cast("decimal(20,0)") for c in (x, y))
@@ -303,83 +305,6 @@ def spearman_matrix(
     return out
 
 
-def _excess(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
-    """Weighted concordant minus discordant pairs over strictly different x and y.
-
-    A digit-by-digit pass over the ranks of y: at every bit, rows that share all higher bits are
-    paired with the rows of the other bit value and a smaller x, by running sums.
-    """
-    if len(x) < 2:
-        return 0
-    exact = int(w.sum()) ** 2 < 2**62
-    w = w.astype(np.int64) if exact else w.astype(object)
-    order = np.lexsort((y, x))
-    x, y, w = x[order], y[order], w[order]
-    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    xr = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    total = 0
-    for level in range(int(rank.max()).bit_length() - 1, -1, -1):
-        prefix = rank >> (level + 1)
-        by_prefix = np.argsort(prefix, kind="stable")
-        p, xs, ws = prefix[by_prefix], xr[by_prefix], w[by_prefix]
-        bit = (rank[by_prefix] >> level) & 1
-        ones = np.cumsum(ws * bit) - ws * bit
-        zeros = np.cumsum(ws * (1 - bit)) - ws * (1 - bit)
-        new_p = np.r_[True, p[1:] != p[:-1]]
-        new_x = new_p | np.r_[True, xs[1:] != xs[:-1]]
-        index = np.arange(len(p))
-        start_p = np.maximum.accumulate(np.where(new_p, index, 0))
-        start_x = np.maximum.accumulate(np.where(new_x, index, 0))
-        smaller_ones = ones[start_x] - ones[start_p]
-        smaller_zeros = zeros[start_x] - zeros[start_p]
-        total += int((ws * bit * smaller_zeros).sum() - (ws * (1 - bit) * smaller_ones).sum())
-    return total
-
-
-def _strip_excess(keys: Sequence[str]):
-    """Grouped map over one strip: pairs counted by the given x and y columns."""
-    a, b = keys
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = _excess(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"excess": [str(value)]})
-
-    return run
-
-
-def _kendall_excess(pairs: DataFrame, bounds: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Concordant minus discordant pairs of a distinct-pair table, as one row.
-
-    The plane is cut into strips of similar size along both axes.  Pairs of rows in different
-    x-strips and different y-strips follow from the counts of the grid cells alone.  Pairs inside
-    one x-strip, and pairs inside one y-strip but different x-strips, are counted strip by strip.
-    A strip of one hot value only holds ties in that axis and is skipped.
-    """
-    cut = with_ranges(pairs, {"rx": ("x", bounds["x"]), "ry": ("y", bounds["y"])})
-    # Strips in ascending order; within a range its hot value comes first, on its own.
-    for c in "xy":
-        cold = F.when(is_hot(c, bounds[c]), F.lit(0)).otherwise(F.lit(1))
-        cut = cut.withColumn(f"s{c}", F.col(f"r{c}") * 2 + cold)
-    if not bounds["x"] and not bounds["y"]:
-        strips = cut.groupBy("sx").applyInPandas(_strip_excess(("x", "y")), "excess string")
-    else:
-        # The grid of cell counts is bounded by the number of strips squared.
-        grid = cut.groupBy("sx", "sy").agg(F.sum("w").alias("w")).withColumn("one", F.lit(1))
-        parts = [
-            grid.groupBy("one").applyInPandas(_strip_excess(("sx", "sy")), "excess string"),
-            cut.where(~is_hot("x", bounds["x"]))
-            .groupBy("sx")
-            .applyInPandas(_strip_excess(("x", "y")), "excess string"),
-            cut.where(~is_hot("y", bounds["y"]))
-            .groupBy("sy")
-            .applyInPandas(_strip_excess(("sx", "y")), "excess string"),
-        ]
-        strips = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return strips.agg(
-        F.coalesce(F.sum(F.col("excess").cast("decimal(38,0)")), F.lit(0)).alias("excess")
-    )
-
-
 def _tie_terms(pairs: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     """Sums over tie groups of t(t-1), t(t-1)(t-2) and t(t-1)(2t+5), as one row."""
     t = pairs.groupBy(*keys).agg(F.sum("w").alias("t"))
@@ -396,18 +321,15 @@ def _tie_terms(pairs: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     )
 
 
-def kendall(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, max_rows: int = dominance.MAX_ROWS) -> DataFrame:
     """Kendall's tau-b with its tie terms, as one row: ``n, excess, tau`` and the variance parts.
 
-    Memory per task is one strip: about 1 / buckets of the distinct pairs.
+    No task holds more than ``max_rows`` distinct pairs, whatever their number.
     """
-    ship_self(df.sparkSession)
-    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
-    # The grid has at most (2 * ranges)^2 cells and is counted in one task.
-    bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, min(buckets, 1024))
+    pairs = cut_lineage(_distinct_pairs(df, x, y))
     row = pairs.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
     for table in (
-        _kendall_excess(pairs, bounds),
+        dominance.excess(pairs, max_rows),
         _tie_terms(pairs, ["x"], "x"),
         _tie_terms(pairs, ["y"], "y"),
         _tie_terms(pairs, ["x", "y"], "xy"),
@@ -428,7 +350,7 @@ def rank_correlations(
     out = None
     for left, right in pairs:
         s = _spearman(df, left, right, buckets).select(F.col("rho").alias("spearman_r"))
-        k = kendall(df, left, right, buckets)
+        k = kendall(df, left, right)
         row = attach(k, s, []).select(
             F.lit(left).alias("left_score"),
             F.lit(right).alias("right_score"),
