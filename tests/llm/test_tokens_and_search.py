@@ -362,7 +362,7 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert sum(name.startswith("op") and name[2].isdigit() for name in names) == 10 and "pipeline" in names
+    assert sum(name.startswith("op") and name[2].isdigit() for name in names) == 13 and "pipeline" in names
     assert set(CLASHES) and VOCABULARY and zlib.crc32(b"a")
 
 

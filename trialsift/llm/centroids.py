@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trialsift.llm.common import partitions, quoted
 from trialsift.session import cut_lineage, scratch_path
 
-WIDTH = 16
+WIDTH = 32
 CHUNK = 2048
 LIMIT = 1 << 27  # of a component's size: squared distances of 64 components then fit a long
 IDS = -1  # block number of the rows that hold the ids of a chunk
@@ -42,6 +42,16 @@ def _narrow(x: np.ndarray, kinds: tuple[str, ...]) -> tuple[bytes, str]:
     raise OverflowError("a number does not fit the widest type")
 
 
+def _planes(raw: bytes, kind: str) -> bytes:
+    """Numbers with all their first bytes together, then all second ones: high bytes compress well."""
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).ravel().astype(np.int64)
+
+
 def _tiles(vectors: DataFrame, dims: int) -> DataFrame:
     """``block, chunk, n, kind, data, ids``: the blocks of every chunk, and a row with its ids."""
     id_type = vectors.dtypes[0][1]
@@ -115,7 +125,7 @@ def _partial(slices: list[np.ndarray]):
                         pa.array([row["chunk"]], pa.int64()),
                         pa.array([row["n"]], pa.int32()),
                         pa.array([kind], pa.string()),
-                        pa.array([raw], pa.binary()),
+                        pa.array([_planes(raw, kind)], pa.binary()),
                     ],
                     ["chunk", "n", "kind", "data"],
                 )
@@ -131,7 +141,7 @@ def _nearest(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
     total = 0
     for row in table.to_pylist():
         if row["kind"]:
-            total = total + np.frombuffer(row["data"], dtype=row["kind"]).astype(np.int64).reshape(row["n"], k)
+            total = total + _numbers(row["data"], row["kind"]).reshape(row["n"], k)
     label = total.argmin(axis=1)
     return label, total[np.arange(len(label)), label]
 
