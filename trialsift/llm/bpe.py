@@ -24,7 +24,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from trialsift.llm.common import others
+from trialsift.llm.common import others, text_slices
 
 NONE = np.int64(1) << 62
 SLICE = 512  # rows encoded between two outputs
@@ -389,8 +389,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Data
         encoder = encoder_of(vocabulary)
         for batch in batches:
             # Small slices, since ids and decoded text are larger than the text itself.
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
+            for part in text_slices(batch, at, rows=SLICE):
                 ids, decoded = [], []
                 for found, back in encoder.encode(part.column(at).to_pylist()):
                     ids.append(found.astype("<u4").tobytes())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,16 @@ def array_literal(values: Sequence[float | int], kind: str) -> Column:
     """A short list of numbers as one constant array."""
     inner = ",".join(f"CAST('{v!r}' AS {kind})" for v in values)
     return F.expr(f"CAST(array({inner}) AS array<{kind}>)")
+
+
+def text_slices(batch: pa.RecordBatch, column: int, rows: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of text; one row at least."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        upto = int(np.searchsorted(ends, before + size, side="right"))
+        upto = min(max(upto, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto

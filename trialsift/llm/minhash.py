@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import fresh, quoted
+from trialsift.llm.common import fresh, quoted, text_slices
 from trialsift.llm.components import connected_components
 from trialsift.llm.idsets import marked
 from trialsift.llm.shingles import mix, seed, shingle_sets
@@ -79,8 +79,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in text_slices(batch, 1, rows=1000):
                 sets = list(shingle_sets(part.column(1).to_pylist(), words))
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 filled = np.flatnonzero(sizes)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialsift.llm.common import partitions, quoted
+from trialsift.llm.common import partitions, quoted, text_slices
 from trialsift.llm.idsets import marked
 from trialsift.llm.shingles import mix, seed, windows, word_hashes, words_of
 from trialsift.session import cut_lineage
@@ -52,8 +52,7 @@ def grams(hashes: np.ndarray) -> np.ndarray:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of texts and 32 bits of the hash of every word."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
+        for part in text_slices(batch, 1, rows=500):
             digests, counts, hashes = [], [], []
             for text in part.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
