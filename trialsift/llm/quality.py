@@ -344,11 +344,11 @@ def reject_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     Texts that are NULL, empty or short fail the base rules.  NULL is a language and a source like
     any other.  Groups under ``MIN_ROWS`` rows are judged with those of their language, then of all
     languages; where even these are few, only the base rules hold (``distance`` is NULL).  Repeated
-    rows count each.  Columns with the names of outputs are replaced.  Texts are read twice (for
-    the estimates and for the verdict) and never shuffled while the estimates can be broadcast.
+    rows count each.  Columns with the names of outputs are replaced.  Texts are measured once: rows and
+    statistics are written, estimates read the statistics alone, and the verdict reads all.
     """
     (stats,) = fresh(docs.drop("stats"), "stats")
     plain = docs.select(*others(docs, ("stats",)))
-    narrow = measure(docs.select(quoted(lang), quoted(source), quoted(text)), text, stats)
-    model = fit(narrow.select(quoted(lang), quoted(source), quoted(stats)), stats, lang, source)
-    return judge(measure(plain, text, stats), model, stats, lang, source)
+    measured = cut_lineage(measure(plain, text, stats))
+    model = fit(measured.select(quoted(lang), quoted(source), quoted(stats)), stats, lang, source)
+    return judge(measured, model, stats, lang, source)
