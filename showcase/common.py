@@ -178,7 +178,7 @@ DERIVED = """derived AS (
 
 # ---- candidates: an order's header is the baseline, its lines are forced solutions ---------------
 
-CANDIDATES = """cands AS (
+CANDIDATES = """cands AS MATERIALIZED (
   SELECT o_orderkey AS shot_id, 0 AS stage, 0 AS obs_idx, o_totalprice / 10e0 AS weight,
     (CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END)
       + (CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS cls,
@@ -189,7 +189,7 @@ CANDIDATES = """cands AS (
       + (CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END),
     l_linenumber <> 7, l_quantity
   FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-base AS (SELECT * FROM cands WHERE stage = 0)"""
+base AS MATERIALIZED (SELECT * FROM cands WHERE stage = 0)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

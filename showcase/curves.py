@@ -190,6 +190,46 @@ add(
       SELECT threshold, {curve_sql('a', 'k', 'nt', 'et')},
         {div('ec', 'nc')} AS baseline_ler FROM c""",
 )
+
+
+def _lost(s, d):
+    """Trials without an iteration have not converged."""
+    nan = F.lit(float("nan"))
+    return shots(s, d).withColumn("iteration", F.coalesce(F.col("iteration").cast("double"), nan))
+
+
+def _separate_grid_sql(grid: list[float], high: bool, by: str) -> str:
+    """Quantile grid over the converged trials, rates over all trials, baseline at the least score."""
+    kept = f"{SHOTS}, kept AS (SELECT * FROM shots WHERE iteration IS NOT NULL)"
+    inner = grid_sql("kept", kept, grid, high, by)
+    base = "bk" if high else "lk"
+    size = "bn" if high else "ln"
+    return f"""WITH {SHOTS}, g AS MATERIALIZED ({inner}),
+      t AS (SELECT {by}, count(*) AS nt, CAST(sum(is_error::INT) AS BIGINT) AS et, bool_or(iteration IS NULL) AS lost
+        FROM shots GROUP BY {by}),
+      m AS (SELECT {by}, min(score) AS least FROM shots WHERE iteration IS NOT NULL GROUP BY {by}),
+      b AS (SELECT shots.{by}, count(*) AS bn, sum(is_error::INT) AS bk, sum((score = least)::INT) AS ln,
+        sum((score = least AND is_error)::INT) AS lk FROM shots JOIN m ON m.{by} = shots.{by}
+        WHERE iteration IS NOT NULL GROUP BY shots.{by})
+      SELECT g.{by}, g.slot, g.target, g.threshold, {curve_sql('g.accepted', 'g.errors', 't.nt', 't.et')},
+        CASE WHEN t.lost THEN {div(base, size)} END AS baseline_ler
+      FROM g JOIN t ON t.{by} = g.{by} JOIN b ON b.{by} = g.{by}"""
+
+
+add(
+    "postselect_separate_continuous",
+    lambda s, d: C.postselect_separate(
+        _lost(s, d), "score", "is_error", "iteration", "high", "continuous", ["grp"], num_points=40
+    ),
+    _separate_grid_sql(C.abort_grid(40), True, "grp"),
+)
+add(
+    "postselect_separate_continuous_low_log",
+    lambda s, d: C.postselect_separate(
+        _lost(s, d), "score", "is_error", "iteration", "low", "continuous", ["batch"], num_points=25, scale="log"
+    ),
+    _separate_grid_sql(C.abort_grid(25, "log"), False, "batch"),
+)
 TARGETS = [0.0, 0.1, 0.333, 0.5, 0.9]
 add(
     "read_at_abort_rates",
@@ -335,16 +375,12 @@ add(
         kept AS n_accepted, CAST(err AS BIGINT) AS n_error, {div('err', 'kept')} AS post_ler,
         {wilson('err', 'kept', False)} AS ci_low, {wilson('err', 'kept', True)} AS ci_high FROM c""",
 )
-add(
-    "decision_ranking_decomposition",
-    lambda s, d: C.decompose(
-        pairs(s, d).withColumn("anc", F.col("forced_stage2_weight") - F.col("forced_stage1_weight")),
-        "anc", "forced_gap_ml", "forced_stage1_obs_flip", "forced_is_logical_error",
-        ["batch", "shot_id"], RATES,
-    ),
-    f"""WITH {RANK_IN}, {rates_cte(RATES)}, {KEPT},
+
+
+def _decomposition_sql(rates: str) -> str:
+    return f"""WITH {RANK_IN},
       q AS (SELECT {div('sum((forced_stage2_weight < forced_stage1_weight)::INT)', 'count(*)')} AS rm
-        FROM pairs),
+        FROM pairs), {rates}, {KEPT},
       c AS (SELECT abort_rate, k.n, kept, sum((r_anc <= kept AND y0)::INT) AS a0,
         sum((r_forced <= kept AND y0)::INT) AS f0, sum((r_forced <= kept AND fe)::INT) AS fs
         FROM r, k GROUP BY ALL),
@@ -355,7 +391,30 @@ add(
         ({div('fs', 'n')} - {div('f0', 'n')}) / (1e0 - abort_rate) AS d_decision,
         ({div('f0', 'n')} - {div('a0', 'n')}) / (1e0 - abort_rate) AS d_ranking FROM c, q)
       SELECT *, d_decision + d_ranking AS d_total,
-        CASE WHEN l_anc > 0 THEN l_fg / l_anc END AS d_total_relative FROM o""",
+        CASE WHEN l_anc > 0 THEN l_fg / l_anc END AS d_total_relative FROM o"""
+
+
+def _decomposition(s, d, rates=None):
+    anchored = F.col("forced_stage2_weight") - F.col("forced_stage1_weight")
+    return C.decompose(
+        pairs(s, d).withColumn("anc", anchored),
+        "anc", "forced_gap_ml", "forced_stage1_obs_flip", "forced_is_logical_error", ["batch", "shot_id"], rates,
+    )
+
+
+add(
+    "decision_ranking_decomposition",
+    lambda s, d: _decomposition(s, d, RATES),
+    _decomposition_sql(rates_cte(RATES)),
+)
+# Rates up to twice the share of negative scores, which is one of them.
+add(
+    "decision_ranking_decomposition_auto_grid",
+    _decomposition,
+    _decomposition_sql("""top AS (SELECT rm, greatest(CASE WHEN rm > 0 THEN least(0.95e0, rm * 2e0) ELSE 0.5e0 END, 1e-3) AS top FROM q),
+      rates AS (SELECT DISTINCT least(greatest(x, 0e0), 0.999999e0) AS abort_rate FROM (
+        SELECT CASE WHEN i = 29 THEN top ELSE i * (top / 29e0) END AS x FROM top, range(30) t(i)
+        UNION ALL SELECT rm FROM top))"""),
 )
 add(
     "negative_rate",

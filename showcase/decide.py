@@ -49,8 +49,8 @@ def flips(a: str, b: str) -> str:
     return f"CASE xor({a}, {b}) WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '0' ELSE '0,1' END"
 
 
-WIN = CANDIDATES + """, k AS (SELECT * FROM cands WHERE converged),
-  w AS (SELECT shot_id, weight AS win_weight, cls AS win FROM k
+WIN = CANDIDATES + """, k AS MATERIALIZED (SELECT * FROM cands WHERE converged),
+  w AS MATERIALIZED (SELECT shot_id, weight AS win_weight, cls AS win FROM k
     QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY weight, stage, obs_idx) = 1),
   rv AS (SELECT k.shot_id, min(weight) AS rival FROM k JOIN w USING (shot_id) WHERE cls <> win GROUP BY 1),
   nf AS (SELECT shot_id, CAST(sum((stage = 1 AND converged)::INT) AS BIGINT) AS nf FROM cands GROUP BY 1)"""
@@ -80,7 +80,7 @@ add(
     reselect_sql("+inf", "+inf"),
 )
 BEST = CANDIDATES + """, f AS (SELECT * FROM cands WHERE stage = 1 AND converged),
-  b AS (SELECT shot_id, weight AS bw, cls AS bcl FROM f
+  b AS MATERIALIZED (SELECT shot_id, weight AS bw, cls AS bcl FROM f
     QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY weight, obs_idx, cls) = 1),
   nf AS (SELECT shot_id, CAST(sum((stage = 1 AND converged)::INT) AS BIGINT) AS nf FROM cands GROUP BY 1)"""
 add(
@@ -128,7 +128,7 @@ add(
         NOT ok AS forced_error, CASE WHEN ok AND bw IS NOT NULL THEN {flips('c1', 'bcl')}
           WHEN ok AND other THEN {flips('c1', 'cr')} ELSE '' END AS flips FROM g""",
 )
-CASE_SQL = WIN + f""", {TRUTH}, a AS (SELECT DISTINCT shot_id FROM cands JOIN truth USING (shot_id)
+CASE_SQL = WIN + f""", {TRUTH}, a AS MATERIALIZED (SELECT DISTINCT shot_id FROM cands JOIN truth USING (shot_id)
     WHERE stage = 1 AND cls = truth),
   j AS (SELECT base.shot_id, converged AS ok, cls <> truth AS bw, win <> truth AS fw, cls <> win AS moved,
     a.shot_id IS NOT NULL AS alt FROM base JOIN truth USING (shot_id) LEFT JOIN w USING (shot_id)

@@ -85,7 +85,9 @@ def test_accept_rank_and_cutoffs(frame, buckets):
     want = pdf.assign(want=brute_rank(pdf))[["id", "want"]]
     got = R.accept_rank(df, "score", ["batch", "id"], buckets=buckets).select("id", "rank").toPandas()
     assert (got.merge(want, on="id").eval("rank == want")).all()
-    cut = R.rank_cutoffs(df, "score", ["batch", "id"], [1, 17, 2000, 4000], buckets=buckets)
+    cut, flat = R.rank_cutoffs(df, ["score", "g"], ["batch", "id"], [1, 17, 2000, 4000], buckets=buckets)
+    by_group = pdf.sort_values(["g", "batch", "id"], ascending=[False, True, True]).id.to_numpy()
+    assert {k: v[-1] for k, v in flat.items()} == {k: by_group[k - 1] for k in (1, 17, 2000, 4000)}
     ids = {k: v[-1] for k, v in cut.items()}
     assert ids == {k: want[want.want == k].id.item() for k in (1, 17, 2000, 4000)}
 

@@ -568,7 +568,7 @@ def default_rates(r_minus: float, num_points: int = 30, max_multiple: float = 2.
     """Even grid of rejection rates past ``r_minus`` that contains ``r_minus`` itself."""
     top = max(min(0.95, r_minus * max_multiple) if r_minus > 0 else 0.5, 1e-3)
     steps = max(num_points - 1, 1)
-    grid = [top * i / steps for i in range(num_points)] + [r_minus]
+    grid = [top if i == steps else i * (top / steps) for i in range(num_points)] + [r_minus]
     return sorted({min(max(r, 0.0), 0.999999) for r in grid})
 
 

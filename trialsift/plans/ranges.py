@@ -367,18 +367,29 @@ class RankPlan:
     the next ordering column, and so on, so that ties do not pile up in one cell.
     """
 
-    def __init__(
-        self, df: DataFrame, score: str, order: Sequence[str], buckets: int | None = None
-    ):
+    def __init__(self, keys: Sequence[Column], split: Sequence[Column], bounds: Sequence[Sequence[float]]):
+        self.keys, self.split = list(keys), list(split)
+        self.bounds = {f"__k{i}": list(b) for i, b in enumerate(bounds)}
+        self.small = not any(self.bounds.values())
+
+    @classmethod
+    def of(
+        cls, df: DataFrame, scores: Sequence[str], order: Sequence[str], buckets: int | None = None
+    ) -> list[RankPlan]:
+        """Plans of several scores under the same tie order, from one sketch of all their columns."""
         if not order:
             raise ValueError("at least one ordering column is needed to break ties")
-        self.keys = rank_keys(df, score, order)
-        self.split = [_split_key(df, k) for k in self.keys[1 : 1 + _LEVELS]]
-        split = {f"__k{i}": k for i, k in enumerate(self.split)}
-        self.bounds = sketch_bounds(df, split, buckets)
-        self.small = not any(self.bounds.values())
+        keys = [rank_keys(df, score, order) for score in scores]
+        ties = [_split_key(df, k) for k in keys[0][2 : 1 + _LEVELS]]
+        columns = {f"__score{i}": _split_key(df, k[1]) for i, k in enumerate(keys)}
+        columns |= {f"__tie{i}": k for i, k in enumerate(ties)}
+        found = sketch_bounds(df, columns, buckets)
+        shared = [found[f"__tie{i}"] for i in range(len(ties))]
+        return [
+            cls(k, [columns[f"__score{i}"], *ties], [found[f"__score{i}"], *shared]) for i, k in enumerate(keys)
+        ]
 
-    def with_cell(self, df: DataFrame) -> DataFrame:
+    def with_cell(self, df: DataFrame, name: str | None = None) -> DataFrame:
         levels = []
         for i in range(len(self.bounds)):
             levels.append(i)
@@ -394,7 +405,7 @@ class RankPlan:
             inside = F.col(f"__r{i}") * 2 + F.when(hot, F.lit(0)).otherwise(F.lit(1))
             cell = cell * F.lit(_LEVEL_SIZE) + F.when(open_, inside).otherwise(F.lit(0))
             open_ = hot
-        return ranged.withColumn(CELL, cell).drop(*[f"__r{i}" for i in levels])
+        return ranged.withColumn(name or CELL, cell).drop(*[f"__r{i}" for i in levels])
 
     def named_keys(self) -> list[Column]:
         return [k.alias(f"__s{i}") for i, k in enumerate(self.keys)]
@@ -430,7 +441,7 @@ def accept_rank(
     order total.
     """
     df, buckets = settle(df, buckets)
-    plan = RankPlan(df, score, order, buckets)
+    (plan,) = RankPlan.of(df, [score], order, buckets)
     if plan.small:
         whole = Window.partitionBy(F.lit(0)).orderBy(*[k.asc_nulls_last() for k in plan.keys])
         return df.withColumn(rank, F.row_number().over(whole).cast("long"))
@@ -452,45 +463,49 @@ def accepted_count(rate: float, n: int) -> int:
 
 def rank_cutoffs(
     df: DataFrame,
-    score: str,
+    scores: Sequence[str],
     order: Sequence[str],
     ranks: Sequence[int],
     buckets: int | None = None,
-) -> dict[int, tuple]:
-    """Sort keys of the rows at the given one-based ranks.
+) -> list[dict[int, tuple]]:
+    """Sort keys of the rows at the given one-based ranks, for each score.
 
-    ``df`` is read three times (bounds, counts per cell, rows of the cells), so it should be a scan
-    or settled before.  Only the cells holding a requested rank are sorted; no other row is shuffled.  The answer has
-    one row per requested rank, so it is returned to the driver.
+    Two jobs whatever the number of scores and ranks: one sketch of all scores and tie columns, and
+    one query that counts the cells of all scores, keeps those that hold a requested rank, and sorts the rows
+    of these only.  ``df`` should be a scan or settled before.  The answer has one row per score and
+    requested rank, so it is returned to the driver.
     """
     wanted = sorted({int(r) for r in ranks if r >= 1})
-    if not wanted:
-        return {}
-    plan = RankPlan(df, score, order, buckets)
-    names = plan.sort_names()
-
-    def answer(rows: DataFrame) -> dict[int, tuple]:
-        found = rows.select("rank", *names).collect()
-        return {int(r["rank"]): tuple(r[n] for n in names) for r in found}
-
-    if plan.small:
-        whole = Window.partitionBy(F.lit(0)).orderBy(*plan.sort_order())
-        ranked = df.select(*plan.named_keys()).withColumn("rank", F.row_number().over(whole))
-        return answer(ranked.where(F.col("rank").isin(wanted)))
-    celled = plan.with_cell(df.select(*dict.fromkeys([score, *order])))
-    ranks_ = F.array(*[F.lit(r).cast("long") for r in wanted])
+    if not wanted or not scores:
+        return [{} for _ in scores]
+    plans = RankPlan.of(df, scores, order, buckets)
+    celled = df.select(*dict.fromkeys([*scores, *order]))
+    for i, plan in enumerate(plans):
+        celled = plan.with_cell(celled, f"__cell{i}")
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.col(f"__cell{i}").alias("cell"), *plan.named_keys())
+        for i, plan in enumerate(plans)
+    ]
+    rows = celled.select(F.explode(F.array(*entries)).alias("__e")).select("__e.*")
+    whole = Window.partitionBy("i").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("i", "cell").agg(F.count("*").alias("m"))
+    cells = cells.select("i", "cell", "m", F.coalesce(F.sum("m").over(whole), F.lit(0)).alias("cell_before"))
     held = F.filter(
-        ranks_,
+        F.array(*[F.lit(r).cast("long") for r in wanted]),
         lambda r: (r > F.col("cell_before")) & (r <= F.col("cell_before") + F.col("m")),
     )
-    cells = _cell_offsets(celled.select(CELL)).withColumn("held", held)
-    # One row per requested rank at most, so safe to broadcast.
-    cells = F.broadcast(cells.where(F.size("held") > 0).select(CELL, "cell_before", "held"))
-    rows = celled.select(CELL, *plan.named_keys()).join(cells, CELL)
-    inside = Window.partitionBy(CELL).orderBy(*plan.sort_order())
+    cells = cells.withColumn("held", held)
+    # One row per score and requested rank at most, so safe to broadcast.
+    cells = F.broadcast(cells.where(F.size("held") > 0).select("i", "cell", "cell_before", "held"))
+    inside = Window.partitionBy("i", "cell").orderBy(*plans[0].sort_order())
     position = (F.col("cell_before") + F.row_number().over(inside)).cast("long")
-    rows = rows.withColumn("rank", position).where(F.array_contains("held", F.col("rank")))
-    return answer(rows)
+    names = plans[0].sort_names()
+    found = rows.join(cells, ["i", "cell"]).withColumn("rank", position)
+    found = found.where(F.array_contains("held", F.col("rank"))).select("i", "rank", *names)
+    out: list[dict[int, tuple]] = [{} for _ in scores]
+    for r in found.collect():
+        out[r["i"]][int(r["rank"])] = tuple(r[n] for n in names)
+    return out
 
 
 def _sql_literal(value) -> str:
@@ -559,8 +574,8 @@ class NestedSets:
         inner = [k for k in self.sizes if k < self.n_total]
         whole = len(self.sizes) - len(inner)
         columns, levels = [], {}
-        for i, (name, score) in enumerate(scores.items()):
-            cutoffs = rank_cutoffs(df, score, order, inner, buckets)
+        found = rank_cutoffs(df, list(scores.values()), order, inner, buckets)
+        for i, ((name, score), cutoffs) in enumerate(zip(scores.items(), found)):
             keys = rank_keys(df, score, order)
             named = [f"__key{i}_{j}" for j in range(len(keys))]
             columns += [k.alias(n) for k, n in zip(keys, named)]
