@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from showcase.bins import rounded
-from showcase.common import PAIRS, SHOTS, pairs, plain, shots
+from showcase.common import PAIRS, SHOTS, pairs, plain, shots, table
 from showcase.lake import BATCHES, TRIALS, lake, trials, wide, write_chunks
 from showcase.stats import long_sql, nearest
 from trialsift.operators import pairs as P
@@ -14,6 +14,7 @@ from trialsift.operators import stats as S
 from trialsift.session import scratch_path
 from trialsift.sources import catalog as C
 from trialsift.sources import collect as K
+from trialsift.sources import ingest as N
 from trialsift.sources import lake as L
 
 QUERIES: dict[str, tuple] = {}
@@ -183,3 +184,60 @@ add(
         min(value) AS min, {nearest('value', 0.25, '')} AS q25, median(value) AS median,
         {nearest('value', 0.75, '')} AS q75, max(value) AS max FROM r GROUP BY 1, 2""",
 )
+
+
+def _flip_sets(s, d) -> DataFrame:
+    """Flip sets of all orders, from their lines, as binary files of sixteen batches and back."""
+    trials = table(s, d, "lineitem").groupBy(
+        (F.col("l_orderkey") % 16).cast("int").alias("batch"), F.col("l_orderkey").alias("shot_id")
+    ).agg(
+        F.collect_set(F.col("l_partkey") * 37 % 70_000).alias("flips"),
+        F.max(F.col("l_returnflag") == "R").alias("is_logical_error"),
+    )
+    # Some trials have no flip at all.
+    kept = F.when(F.col("shot_id") % 11 == 0, F.array().cast("array<bigint>")).otherwise(F.col("flips"))
+    path = scratch_path(s, "flips")
+    N.write_flip_sets(trials.withColumn("flips", kept), path)
+    found = N.join_flip_labels(N.read_flip_sets(s, path), trials.select("batch", "shot_id", "is_logical_error"))
+    return found.select("batch", "shot_id", F.array_join("flips", ",").alias("flips"), "is_logical_error")
+
+
+add(
+    "flip_sets_round_trip",
+    _flip_sets,
+    """SELECT l_orderkey % 16 AS batch, l_orderkey AS shot_id,
+        CASE WHEN l_orderkey % 11 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list(l_partkey * 37 % 70000))), ',') END AS flips,
+        bool_or(l_returnflag = 'R') AS is_logical_error FROM lineitem GROUP BY l_orderkey""",
+)
+
+
+def _bit_shots(s, d) -> DataFrame:
+    """Detector bits and observables of all events, as files of bit records and back."""
+    events = table(s, d, "events").select(
+        F.floor(F.col("event_id") / 700).alias("file"),
+        F.col("event_id").alias("shot_id"),
+        F.expr(
+            "filter(sequence(0, 20), i -> (shiftright(event_id * 7919 + user_id * 104729, i) & 1) = 1)"
+        ).alias("detectors"),
+        F.array(F.col("event_type") == "error", F.col("user_id") % 3 == 0).alias("observables"),
+    )
+    path = scratch_path(s, "bits")
+    N.write_bit_shots(events, path, 21, 2)
+    found = N.read_bit_shots(s, f"{path}/part=*.b8", 21, 2)
+    return found.select(
+        F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("file"),
+        F.col("shot_id").alias("pos"),
+        F.array_join("detectors", ",").alias("detectors"),
+        F.get("observables", F.lit(0)).alias("first"),
+        F.get("observables", F.lit(1)).alias("second"),
+    )
+
+
+add(
+    "bit_shots_round_trip",
+    _bit_shots,
+    """SELECT CAST(event_id // 700 AS BIGINT) AS file,
+        row_number() OVER (PARTITION BY event_id // 700 ORDER BY event_id) - 1 AS pos,
+        array_to_string(list_filter(range(21), lambda i: ((event_id * 7919 + user_id * 104729) >> CAST(i AS INTEGER)) & 1 = 1), ',') AS detectors,
+        event_type = 'error' AS first, user_id % 3 = 0 AS second FROM events""",
+)

@@ -336,6 +336,24 @@ def test_empty_inputs(spark):
         "n_accepted > 0").count() == 0
 
 
+def test_one_mechanism_in_very_many_checks(spark):
+    n, m = 100_000, 40
+    checks = spark.range(n).select(F.col("id").alias("detector_id"), F.lit(1).alias("error_id"))
+    checks = checks.unionByName(spark.range(50).select(F.col("id").alias("detector_id"), F.lit(2).alias("error_id")))
+    obs = spark.range(m).select(F.col("id").alias("observable_id"), F.lit(1).alias("error_id"))
+    obs = obs.unionByName(spark.range(3).select(F.col("id").alias("observable_id"), F.lit(2).alias("error_id")))
+    c, o = M.deal_pairs(checks, obs, side=500)
+    blocks = {tuple(r)[:2]: r["count"] for r in c.where("error_id = 1").groupBy("__a", "__b").count().collect()}
+    # The checks are spread evenly, and each of them meets every observable once.
+    assert len(blocks) == 200 and max(blocks.values()) < 2 * 500 and sum(blocks.values()) == n
+    assert o.where("error_id = 1").groupBy("observable_id").count().where("count != 200").count() == 0
+    shares = M.overlaps(checks, obs, side=500).groupBy("overlap").count().collect()
+    assert {r["overlap"]: r["count"] for r in shares} == {1: n * m - 150, 2: 150}
+    small = M.overlaps(checks.where("detector_id < 200"), obs, side=7)
+    assert small.where("overlap = 2").count() == 150 and small.count() == 200 * m
+    assert M.new_cycles(checks, obs).agg(F.sum("cycles")).first()[0] == 150
+
+
 def test_curve_read_off_and_improvement(spark):
     rows = [(float(i), i < 3) for i in range(10)]
     df = spark.createDataFrame(rows, "s double, e boolean")

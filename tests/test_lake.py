@@ -246,6 +246,40 @@ def test_flip_sets(spark, tmp_path):
     assert N.decode_flip_blob(struct.pack("<Q", 0)) == []
 
 
+def test_flip_sets_are_written_by_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(3000):
+        wide = rng.choice([3, 200, 40_000, 2_000_000_000])
+        rows.append((int(i % 5) * 7, i, [int(v) for v in rng.integers(0, wide, rng.integers(0, 6))]))
+    df = spark.createDataFrame(rows, "batch int, shot_id long, flips array<int>").repartition(6)
+    assert N.write_flip_sets(df, f"{tmp_path}/sets") == len(rows)
+    got = {(r.batch, r.pos): r.flips for r in N.read_flip_sets(spark, f"{tmp_path}/sets").collect()}
+    want = {}
+    for batch, _, flips in rows:
+        want[batch, sum(b == batch for b, _ in want)] = sorted(set(flips))
+    assert got == want
+    assert not [f for f in (tmp_path / "sets").iterdir() if f.name.endswith(".part")]
+    assert N.write_flip_sets(df.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_bit_shots_of_many_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [
+        (i // 300, i, [int(d) for d in np.flatnonzero(rng.random(17) < 0.3)], [bool(v) for v in rng.random(3) < 0.5])
+        for i in range(2000)
+    ]
+    df = spark.createDataFrame(rows, "file long, shot_id long, detectors array<int>, observables array<boolean>")
+    path = f"{tmp_path}/a,b [c]"
+    assert N.write_bit_shots(df.repartition(5), path, 17, 3) == len(rows)
+    found = N.read_bit_shots(spark, f"{tmp_path}/a,b \\[c\\]/part=*.b8", 17, 3).collect()
+    got = {(int(r.file.rpartition("part=")[2][:-3]), r.shot_id): (r.detectors, r.observables) for r in found}
+    assert got == {(f, i % 300): (d, o) for f, i, d, o in rows}
+    bad = spark.createDataFrame([(0, 0, [17], [True] * 3)], df.schema)
+    with pytest.raises(Exception, match="outside the record"):
+        N.write_bit_shots(bad, f"{tmp_path}/bad", 17, 3)
+
+
 def test_bit_shots(spark, tmp_path):
     rng = np.random.default_rng(0)
     bits = rng.random((1000, 13)) < 0.3
@@ -309,6 +343,11 @@ def test_ranges_against_brute_force(spark):
     ids = np.unique(rng.integers(0, 400, 250)).tolist()
     df = spark.createDataFrame([(i,) for i in ids + ids[:50]], "i long")
     got = sorted(map(tuple, I.covered_ranges(df, "i", block=16).collect()))
+    assert got == sorted(map(tuple, I.covered_ranges(df, "i", block=4, fan=1 << 12).collect()))
+    shifted = df.select((F.col("i") * 1 - 230).alias("i"))
+    assert [(a - 230, b - 230) for a, b in got] == sorted(
+        map(tuple, I.covered_ranges(shifted, "i", block=2, fan=1 << 20).collect())
+    )
     want, start = [], None
     for i in range(402):
         if i in ids and start is None:

@@ -1,7 +1,9 @@
 """Contiguous id ranges, their gaps, dense renumbering and even batches.
 
 Ids are cut into fixed blocks.  Islands are found inside each block; only islands touching a block
-border can continue in the next one, so just those (two per block at most) are stitched together.
+border can continue in the next one, so just those (two per block at most) are stitched together.  They are
+stitched in blocks of ``FAN`` blocks, what touches a border of these in blocks of as many again, and so
+on up to the whole range of a long; no task sees more than ``2 * FAN`` of them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from trialsift.functions.exprs import col
 from trialsift.plans.ranges import cumulative
 
 BLOCK = 1_000_000
+FAN = 65_536
 
 
 def _window(by: Sequence[str], *rest: str):
@@ -22,13 +25,39 @@ def _window(by: Sequence[str], *rest: str):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
+def _block_of(column: str, size: int) -> Column:
+    """Number of the block that holds an id; whole-number arithmetic, also below zero."""
+    return F.expr(f"({column} - pmod({column}, {size}L)) div {size}L")
+
+
+def _split(ranges: DataFrame, by: Sequence[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges that touch a border of their block, and the others."""
+    first = F.col("block") * F.lit(size)
+    touching = (F.col("range_start") == first) | (F.col("range_end") == first + F.lit(size))
+    columns = [*by, "range_start", "range_end"]
+    return ranges.where(touching).select(*columns), ranges.where(~touching).select(*columns)
+
+
+def _stitch(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join ranges that continue each other within ``keys``."""
+    order = _window(keys).orderBy("range_start")
+    fresh = F.coalesce((F.col("range_start") > F.lag("range_end").over(order)).cast("long"), F.lit(1))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranges.withColumn("fresh", fresh)
+        .withColumn("run", F.sum("fresh").over(so_far))
+        .groupBy(*keys, "run")
+        .agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"))
+    )
+
+
 def covered_ranges(
-    df: DataFrame, id_column: str, by: Sequence[str] = (), block: int = BLOCK
+    df: DataFrame, id_column: str, by: Sequence[str] = (), block: int = BLOCK, fan: int = FAN
 ) -> DataFrame:
     """Maximal runs of consecutive ids as ``range_start``, ``range_end`` (exclusive)."""
     by = list(by)
     ids = df.select(*by, col(id_column).cast("long").alias("i")).where("i is not null").distinct()
-    ids = ids.withColumn("block", F.floor(F.col("i") / F.lit(block)).cast("long"))
+    ids = ids.withColumn("block", _block_of("i", block))
     w = _window(by, "block").orderBy("i")
     # Within a run of consecutive ids the difference to the row number is constant.
     island = F.col("i") - F.row_number().over(w)
@@ -37,22 +66,19 @@ def covered_ranges(
         .groupBy(*by, "block", "island")
         .agg(F.min("i").alias("range_start"), (F.max("i") + 1).alias("range_end"))
     )
-    first = F.col("block") * F.lit(block)
-    touching = (F.col("range_start") == first) | (F.col("range_end") == first + F.lit(block))
-    inner = parts.where(~touching).select(*by, "range_start", "range_end")
-    border = parts.where(touching)
-    order = _window(by).orderBy("range_start")
-    fresh = (F.col("range_start") > F.coalesce(F.lag("range_end").over(order), F.lit(-1))).cast("long")
-    fresh = F.when(F.lag("range_end").over(order).isNull(), F.lit(1)).otherwise(fresh)
-    stitched = (
-        border.withColumn("fresh", fresh)
-        .withColumn(
-            "run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        )
-        .groupBy(*by, "run")
-        .agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"))
-    )
-    return stitched.select(*by, "range_start", "range_end").unionByName(inner)
+    size, done = block, []
+    border, inner = _split(parts, by, size)
+    done.append(inner)
+    while size * fan < 1 << 62:
+        size *= fan
+        merged = _stitch(border.withColumn("block", _block_of("range_start", size)), [*by, "block"])
+        border, inner = _split(merged, by, size)
+        done.append(inner)
+    # The whole range of a long has few blocks of this size.
+    out = _stitch(border, by).select(*by, "range_start", "range_end")
+    for inner in done:
+        out = out.unionByName(inner)
+    return out
 
 
 def uncovered_ranges(

@@ -177,14 +177,49 @@ def supports(obs_edges: DataFrame) -> DataFrame:
     return edges.groupBy("observable_id").agg(F.count("*").alias("support_size"))
 
 
+SIDE = 1000  # checks, or observables, of one mechanism that a task pairs together, about
+
+
+def deal_pairs(
+    checks: DataFrame, obs_edges: DataFrame, extra: Sequence[str] = (), side: int = SIDE
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges of both kinds with the block columns ``__a`` and ``__b``.
+
+    Edges of one mechanism meet where both columns are equal.  A mechanism of low degree has one block; one
+    with more than ``side`` edges of a kind is cut by a hash into blocks of about ``side``, and every block
+    of its checks meets every block of its observables once.  So a product of high degrees is
+    spread over as many keys as it needs.
+    """
+    c = checks.select("detector_id", "error_id").distinct()
+    o = obs_edges.select("observable_id", *extra, "error_id").distinct()
+
+    def parts(edges: DataFrame, name: str) -> DataFrame:
+        count = F.ceil(F.count("*") / F.lit(side)).cast("int")
+        return edges.groupBy("error_id").agg(count.alias(name))
+
+    both = parts(c, "__na").join(parts(o, "__nb"), "error_id")
+    # At most one row per ``side`` edges of a kind; most models have none.
+    heavy = both.where((F.col("__na") > 1) | (F.col("__nb") > 1))
+
+    def dealt(edges: DataFrame, key: Column, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        rows = edges.join(heavy, "error_id", "left").fillna(1, ["__na", "__nb"])
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        return rows.drop("__na", "__nb")
+
+    return (
+        dealt(c, F.col("detector_id"), "__a", "__b", "__na", "__nb"),
+        dealt(o, F.struct("observable_id", *extra), "__b", "__a", "__nb", "__na"),
+    )
+
+
 def overlaps(
-    checks: DataFrame, obs_edges: DataFrame, extra: Sequence[str] = ()
+    checks: DataFrame, obs_edges: DataFrame, extra: Sequence[str] = (), side: int = SIDE
 ) -> DataFrame:
     """Shared error mechanisms per observable and check (only pairs that share any)."""
-    c = checks.select("detector_id", "error_id").distinct()
-    o = obs_edges.select("observable_id", *extra, "error_id").distinct()
+    c, o = deal_pairs(checks, obs_edges, extra, side)
     return (
-        o.join(c, "error_id")
+        o.join(c, ["error_id", "__a", "__b"])
         .groupBy("observable_id", *extra, "detector_id")
         .agg(F.count("*").alias("overlap"))
     )

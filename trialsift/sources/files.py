@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,35 @@ def rename(spark: SparkSession, path: str, target: str) -> None:
     p, fs = _fs(spark, path)
     if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
         raise OSError(f"could not move {path} to {target}")
+
+
+class _Whole:
+    """Output stream whose file gets its name when it is closed."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        local = re.sub(r"^file:/+", "/", path)
+        if "://" in local:
+            self.fs, self.path = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", local))
+        else:
+            self.fs, self.path = fs.LocalFileSystem(), local
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.stream = self.fs.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+
+    def close(self) -> None:
+        self.stream.close()
+        self.fs.move(self.part, self.path)
+
+
+def open_for_writing(path: str) -> _Whole:
+    """A new file on a file system that pyarrow knows, for use inside a task.
+
+    It is written under another name and moved at the end, so that a lost or repeated task leaves either
+    nothing or the whole file.
+    """
+    return _Whole(path)
