@@ -93,18 +93,20 @@ def local_estimate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     mid = np.array([quantile(c, 0.5) for c in x.T])
     sd = np.array([(quantile(c, 0.75) - quantile(c, 0.25)) / 1.349 for c in x.T])
-    best = None
-    for mean, cov in ((mid, np.diag(sd**2) + floor), moments(x)):
-        last = None
-        for _ in range(quality.MAX_STEPS):
+    found = []
+    for mean, cov, last in ((mid, np.diag(sd**2) + floor, math.inf), (*moments(x), np.linalg.slogdet(moments(x)[1])[1])):
+        if last < math.inf:
+            found.append((last, mean, cov))
+        while True:
             bins = np.floor(np.log2(far(x, mean, cov) + 1) * quality.BIN)
             cut = np.sort(bins)[math.ceil(len(x) * quality.COVERED) - 1]
             mean, cov = moments(x[bins <= cut])
-            if cut == last:
+            now = np.linalg.slogdet(cov)[1]
+            found.append((now, mean, cov))
+            if not now < last - quality.FALLS:
                 break
-            last = cut
-        if best is None or np.linalg.slogdet(cov)[1] < best[0] - 1e-12:
-            best = (np.linalg.slogdet(cov)[1], mean, cov)
+            last = now
+    best = min(found, key=lambda f: f[0])
     return moments(x[far(x, best[1], best[2]) <= quality.FITS])
 
 

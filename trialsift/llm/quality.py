@@ -3,8 +3,9 @@
 Statistics of a text become a vector of six transformed values.  Per group of language and source
 the minimum-covariance-determinant estimate is found by concentration steps over *all* rows: given
 a centre and a covariance, the ``COVERED`` share of rows with the smallest Mahalanobis distances gives the
-next ones, and the determinant falls until nothing moves.  Two starts (median and interquartile
-range; mean and covariance) are carried on and the smaller determinant wins.  A last step
+next ones.  A group and start goes on as long as its determinant falls, by ``FALLS`` of its logarithm at
+least, and then leaves the steps; so the steps end by themselves, and the smallest determinant seen counts.
+Two starts (median and interquartile range; mean and covariance) are carried on and the smaller determinant wins.  A last step
 re-estimates from all rows that fit, and a document is rejected when its distance is beyond the
 chi-square quantile ``REJECT`` of six degrees of freedom.
 
@@ -42,7 +43,7 @@ NAMES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "letters")
 FLOOR = (0.06, 0.045, 0.1, 0.08, 0.25, 0.4)
 DIMS = len(NAMES)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-MAX_STEPS = 20
+FALLS = 1e-6
 
 
 def chi_square_cut(tail: float) -> float:
@@ -277,14 +278,15 @@ def fit(measured: DataFrame, stats: str = "stats", lang: str = "lang", source: s
     rows = _pooled(cut_lineage(rows))
     sizes = rows.groupBy("g").agg(F.count("*").alias("held")).where(F.col("held") >= MIN_ROWS)
     rows = cut_lineage(rows.join(sizes.select("g"), "g", "left_semi").drop("l"))
-    model = _starts(rows)
-    for _ in range(MAX_STEPS):
-        moved = _step(rows, model)
-        both = moved.select("g", "start", F.col("logdet").alias("now")).join(model, ["g", "start"])
-        change = both.agg(F.max(F.abs(F.col("now") - F.col("logdet")))).first()[0]
-        model = moved
-        if change is None or change < 1e-9:
-            break
+    active = _starts(rows)
+    seen = active
+    while not active.isEmpty():
+        moved = _step(rows, active)
+        seen = seen.unionByName(moved)
+        last = active.select("g", "start", F.col("logdet").alias("last"))
+        falling = moved.join(last, ["g", "start"]).where(F.col("logdet") < F.col("last") - FALLS)
+        active = cut_lineage(falling.drop("last"))
+    model = seen
     best = model.groupBy("g").agg(F.min_by(F.struct(*model.columns), F.struct("logdet", "start")).alias("b"))
     best = cut_lineage(best.select("b.*"))
     fitting = rows.join(best, "g").where(distance() <= FITS)
@@ -311,22 +313,25 @@ def judge(
         "*", _group(lang, source).alias(names[0]), _group(lang, None).alias(names[1])
     )
     # Working names must not meet columns of the documents.
-    marked = [(n, f"__{n}") for n in model.columns]
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in out.columns):
+        mark += "_"
+    marked = [(n, f"{mark}{n}") for n in model.columns]
     distances = []
-    xs = [x.alias(f"__x{i}") for i, x in enumerate(vector(s))]
+    xs = [x.alias(f"{mark}x{i}") for i, x in enumerate(vector(s))]
     out = out.select("*", *xs)
     every = model.where(F.col("g") == EVERY)
     for k, (part, key) in enumerate(
         ((model, quoted(names[0])), (model, quoted(names[1])), (every, F.lit(EVERY)))
     ):
         own = part.select(*[F.col(n).alias(f"{m}_{k}") for n, m in marked])
-        found = F.col(f"__g_{k}")
+        found = F.col(f"{mark}g_{k}")
         # One row at most has the name of all languages, so that this one is broadcast.
         out = out.join(F.broadcast(own) if k == 2 else own, found == key, "left")
-        z = [F.col(f"__x{i}") / SCALE - F.col(f"__m{i}_{k}") for i in range(DIMS)]
+        z = [F.col(f"{mark}x{i}") / SCALE - F.col(f"{mark}m{i}_{k}") for i in range(DIMS)]
         total = F.lit(0.0)
         for i, j in PAIRS:
-            total = total + F.col(f"__v{i}{j}_{k}") * z[i] * z[j]
+            total = total + F.col(f"{mark}v{i}{j}_{k}") * z[i] * z[j]
         distances.append(F.when(found.isNotNull(), F.greatest(total, F.lit(0.0))))
     far = F.coalesce(*distances)
     failed = base_failed(s)
