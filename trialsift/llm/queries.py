@@ -67,6 +67,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
