@@ -57,24 +57,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     The table survives the loss of executors, is read column by column, and its size is known to
-    the optimizer.  :func:`clear_scratch` removes what a session has written.
+    the optimizer.  It is deleted when the application ends, or before by :func:`clear_scratch`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
+    written, fs = _file_system(spark, path)
+    fs.deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the tables written by :func:`cut_lineage`; results built on them become unreadable."""
     removed = 0
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        path, fs = _file_system(spark, _WRITTEN.pop())
+        removed += bool(fs.delete(path, True))
     return removed
 
 
