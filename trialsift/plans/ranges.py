@@ -142,7 +142,10 @@ def cumulative(
     if not ranged:
         return _cumulative_small(rows, x, by, group, order(x), totals, measures, positions)
     preceding = group.orderBy(order(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*by, BUCKET).agg(*totals)
+    # Without positions the counts of ranges come from the collapsed rows, whose exchange both sides
+    # share, so that the input is read once.
+    collapsed = rows.groupBy(*by, BUCKET, x).agg(*totals) if positions is None else rows
+    offsets = collapsed.groupBy(*by, BUCKET).agg(*totals)
     offsets = offsets.select(
         *by,
         BUCKET,
@@ -173,7 +176,9 @@ def cumulative(
         *[f"{m}_total" for m in measures],
         *(["__wanted"] if positions is not None else []),
     )
-    body = rows.groupBy(*by, BUCKET, x).agg(*totals).withColumn("__row", F.lit(1))
+    if positions is not None:
+        collapsed = rows.groupBy(*by, BUCKET, x).agg(*totals)
+    body = collapsed.withColumn("__row", F.lit(1))
     inside = Window.partitionBy(*by, BUCKET).orderBy("__row", order(x))
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
