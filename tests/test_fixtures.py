@@ -1,4 +1,4 @@
-"""Small tables with known answers."""
+"""Small tables with known answers; inputs and published results are fixed values."""
 
 import math
 
