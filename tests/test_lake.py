@@ -263,6 +263,27 @@ def test_flip_sets_are_written_by_batch(spark, tmp_path):
     assert N.write_flip_sets(df.limit(0), f"{tmp_path}/none") == 0
 
 
+def test_keys_stay_whole_when_a_join_turns_out_small(spark, tmp_path):
+    rows = spark.range(4000, numPartitions=7).select(
+        (F.col("id") % 5).alias("batch"), F.col("id").alias("shot_id"), F.array(F.col("id")).alias("flips")
+    )
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows, conf = spark.read.parquet(f"{tmp_path}/rows"), "spark.sql.adaptive."
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    spark.conf.set(f"{conf}autoBroadcastJoinThreshold", "10KB")
+    spark.conf.set(f"{conf}coalescePartitions.enabled", "false")
+    try:
+        assert N.write_flip_sets(rows, f"{tmp_path}/sets") == 4000
+    finally:
+        spark.conf.set(threshold, before)
+        spark.conf.unset(f"{conf}autoBroadcastJoinThreshold")
+        spark.conf.unset(f"{conf}coalescePartitions.enabled")
+    got = {(r.batch, r.pos): r.flips for r in N.read_flip_sets(spark, f"{tmp_path}/sets").collect()}
+    assert got == {(i % 5, i // 5): [i] for i in range(4000)}
+
+
 def test_bit_shots_of_many_files(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [

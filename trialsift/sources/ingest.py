@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialsift.plans.ranges import cumulative
@@ -119,14 +119,15 @@ def _write_streams(
 ) -> int:
     """Write the rows of each key to a file of its own, in ``order``; returns the number of rows.
 
-    A key's rows are sorted by Spark and stream through a task, so memory is one batch.  The
-    number of rows comes first, by one aggregation.  A file appears under its name only when it is complete.
+    A key's rows are sorted by Spark and stream through a task in batches.  Their number comes first, from a
+    window, which also keeps a key in one task: an exchange before a join on the same key may be dropped, and
+    the join's own be read in pieces.  A file appears under its name only when it is complete.
     """
     ship_self(rows.sparkSession)
-    counts = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
-    counted = rows.join(counts, F.col(key) == F.col("__key")).drop("__key")
-    rest = [c for c in counted.columns if c not in (key, order, "__n")]
-    sorted_ = counted.select(key, "__n", order, *rest).repartition(key).sortWithinPartitions(key, order)
+    rest = [c for c in rows.columns if c not in (key, order)]
+    kept = rows.where(F.col(key).isNotNull())
+    sorted_ = kept.select(key, F.count("*").over(Window.partitionBy(key)).alias("__n"), order, *rest)
+    sorted_ = sorted_.sortWithinPartitions(key, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, out, written = None, None, 0
