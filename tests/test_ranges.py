@@ -1,6 +1,7 @@
 """Distributed ordering against brute force, with ties, hot values, NaN and infinities."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -235,3 +236,35 @@ def test_plans_stay_distributed(frame):
     plan = R.cumulative(df, "score", by=["g"], buckets=32)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "SinglePartition" not in plan
+
+
+def test_ranks_with_a_text_before_other_keys(spark):
+    rows = [(1.0, ("low", "lowest1", "lowest2", "top")[i % 4], None if i % 9 == 0 else Decimal(4000 - i) / 100, i) for i in range(4000)]
+    rows += [(1.0, None, Decimal(0), 4000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "score double, word string, price decimal(12,2), id long").repartition(4)
+    want = [r[3] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, r[2] or 0, r[3]))]
+    order = ["word", "price", "id"]
+    got = R.accept_rank(df, "score", order, buckets=32).orderBy("rank").collect()
+    assert [r.id for r in got] == want and [r["rank"] for r in got] == list(range(1, 4501))
+    cut = R.rank_cutoffs(df, ["score"], order, [1, 700, 1500, 4200], buckets=32)[0]
+    assert {rank: key[4] for rank, key in cut.items()} == {r: want[r - 1] for r in (1, 700, 1500, 4200)}
+
+
+def test_ranks_with_null_prices_and_odd_numbers(spark):
+    rows = [(1.0, None if i % 4 == 0 else Decimal(4000 - i) / 100, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "score double, price decimal(12,2), id long").repartition(4)
+    got = R.accept_rank(df, "score", ["price", "id"], buckets=32).orderBy("rank").collect()
+    assert [r.id for r in got] == [r[2] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2]))]
+    odd = [math.inf, math.nan, None, -math.inf, 0.5]
+    rows = [(1.0, odd[i % 5] if i % 2 else float(i % 100), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "score double, x double, id long").repartition(4)
+    got = R.accept_rank(df, "score", ["x", "id"], buckets=32).orderBy("rank").collect()
+    key = lambda x: (3, 0) if x is None else (2, 0) if math.isnan(x) else (1, x)
+    assert [r.id for r in got] == [r[2] for r in sorted(rows, key=lambda r: (key(r[1]), r[2]))]
+
+
+def test_ranks_with_numbers_that_doubles_do_not_tell_apart(spark):
+    rows = [(1.0, 2**60 + i % 3, 3000 - i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "score double, big long, id long").repartition(4)
+    got = R.accept_rank(df, "score", ["big", "id"], buckets=32).orderBy("rank").collect()
+    assert [r.id for r in got] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
