@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from showcase.common import PAIRS, div, pairs, plain, table
 from trialsift.operators.scorer import ScoreResult, score_batches
-from trialsift.session import scratch_path
+from trialsift.session import cut_lineage, scratch_path
 from trialsift.sources import catalog as C
 from trialsift.sources import collect as K
 from trialsift.sources import lake as L
+from trialsift.sources.files import delete, exists, make_folder, rename
 from trialsift.streaming import collect as T
 
 QUERIES: dict[str, tuple] = {}
@@ -55,7 +56,10 @@ def build_lake(s: SparkSession, d: str) -> str:
     if key in _LAKES:
         return _LAKES[key]
     root = scratch_path(s, "lake")
-    rows = trials(s, d).persist()
+    # Written once, by directory and batch: each statistic below reads its own columns of its own trials.
+    staged = scratch_path(s, "trials")
+    trials(s, d).write.partitionBy("d", "lot").parquet(staged)
+    rows = s.read.parquet(staged)
     for distance, p in ((3, 0.001), (5, 0.002)):
         circuit = f"{root}/code=surface_Z,d={distance},rounds={distance},noisemodel=si1000,p={p},xyz=False"
         mine = rows.where(F.col("d") == distance).withColumnsRenamed(
@@ -86,7 +90,7 @@ def build_lake(s: SparkSession, d: str) -> str:
         put(linear, "metric=linearize_logicalgap",
             (F.col("forced_stage2_weight") - F.col("forced_stage1_weight")).alias("linearize_logicalgap"))
         put(linear, "logicalerror", F.col("forced_stage1_obs_flip").alias("is_logical_error"))
-    rows.unpersist()
+    delete(s, staged)
     _LAKES[key] = root
     return root
 
@@ -202,13 +206,24 @@ def wide(s, d) -> DataFrame:
 
 
 def write_chunks(s, df: DataFrame, path: str, parts: int = 6) -> None:
+    """Chunks of trials from one pass over the rows; a chunk has four files or fewer, however many the trials."""
+    staged = scratch_path(s, "staged")
+    numbered = df.withColumn("__chunk", F.pmod(F.xxhash64("shot_id"), F.lit(parts)))
+    numbered = numbered.repartition(4 * parts, "__chunk", F.pmod(F.hash("shot_id"), F.lit(4)))
+    numbered.write.partitionBy("__chunk").parquet(staged)
     for i in range(parts):
-        rows = df.where(F.pmod(F.xxhash64("shot_id"), F.lit(parts)) == i)
-        rows.write.parquet(f"{path}/chunk_{i:04d}.parquet")
+        target = f"{path}/chunk_{i:04d}.parquet"
+        if exists(s, f"{staged}/__chunk={i}"):
+            if not exists(s, path):
+                make_folder(s, path)
+            rename(s, f"{staged}/__chunk={i}", target)
+        else:
+            df.where("false").write.parquet(target)
+    delete(s, staged)
 
 
 def _collected(s, d) -> DataFrame:
-    base, rows, found = scratch_path(s, "collect"), wide(s, d), []
+    base, rows, found = scratch_path(s, "collect"), cut_lineage(wide(s, d)), []
     for lot in BATCHES:
         chunks, to = f"{base}/chunks/batch={lot}", f"{base}/out"
         write_chunks(s, rows.where(F.col("batch") == lot), chunks, 4)
@@ -216,7 +231,8 @@ def _collected(s, d) -> DataFrame:
         K.collect_chunks(s, chunks, to, lot, "forced_gap_ml")
         out = s.read.parquet(f"{to}/logicalerror_batch={lot}.parquet")
         for stem in ("metric=forced_gap_ml", "metric=forced_gap_ml_case", "detailed_stats", "decoder_stat"):
-            out = out.join(s.read.parquet(f"{to}/{stem}_batch={lot}.parquet"), "shot_id")
+            # Small as files, but not as rows: neither side is for broadcasting.
+            out = out.join(s.read.parquet(f"{to}/{stem}_batch={lot}.parquet").hint("merge"), "shot_id")
         found.append(out.withColumn("batch", F.lit(lot)))
     return found[0].unionByName(found[1])
 
@@ -277,10 +293,10 @@ add(
 
 def _streamed(s, d) -> DataFrame:
     base = scratch_path(s, "stream")
-    rows = wide(s, d)
+    rows = cut_lineage(wide(s, d))
     write_chunks(s, rows, f"{base}/chunks", 4)
     # A resubmitted task delivers some trials a second time.
-    rows.where("shot_id % 5 = 0").write.parquet(f"{base}/chunks/chunk_9999.parquet")
+    rows.where("shot_id % 5 = 0").coalesce(4).write.parquet(f"{base}/chunks/chunk_9999.parquet")
     schema = s.read.parquet(f"{base}/chunks/chunk_9999.parquet").schema
     stream = T.read_chunk_stream(s, f"{base}/chunks", schema, max_files=2)
     T.stream_collect(stream, f"{base}/out", f"{base}/checkpoint", "forced_gap_ml").awaitTermination()

@@ -154,7 +154,7 @@ def convert_legacy(spark: SparkSession, out_dir: str) -> list[int]:
             if published in used or name not in table.columns:
                 continue
             table = table.select("shot_id", F.col(name).alias(published))
-            joined = table if joined is None else joined.join(table, "shot_id")
+            joined = table if joined is None else joined.join(table.hint("merge"), "shot_id")
             used.add(published)
         if joined is not None:
             _write(joined.sortWithinPartitions("shot_id"), target, mode="ignore")

@@ -51,6 +51,10 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.mkdirs(p)
+
 
 def rename(spark: SparkSession, path: str, target: str) -> None:
     p, fs = _fs(spark, path)

@@ -96,6 +96,15 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= _BROADCAST_ROWS else table
 
 
+def _with(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join two tables of trials on their keys.
+
+    Ids and flags shrink to a small part in a file, so file sizes say nothing of rows; a table of trials is
+    never for broadcasting.
+    """
+    return df.join(other.hint("merge"), list(KEYS), how)
+
+
 def _collect(catalog: DataFrame) -> list[Row]:
     """File metadata on the driver; Spark's own file index holds the same list there."""
     return catalog.select(
@@ -170,13 +179,13 @@ def _read_metric(
     ids = directories.ids
     df = read_files(spark, values, ids, ["shot_id", metric])
     label = read_files(spark, labels, ids, ["shot_id", "is_logical_error"])
-    df = df.join(label, list(KEYS))
+    df = _with(df, label)
     for stem, columns in extra.items():
         files = _within(by_stem[stem], usable)
         missing = _batches(values) - _batches(files)
         if missing:
             raise FileNotFoundError(f"{stem} is missing for {sorted(missing)[0]}")
-        df = df.join(read_files(spark, files, ids, ["shot_id", *columns]), list(KEYS))
+        df = _with(df, read_files(spark, files, ids, ["shot_id", *columns]))
     return directories.attach(df) if params else df
 
 
@@ -253,7 +262,7 @@ def read_detail(
         spark, _within(labels, wanted), ids,
         ["shot_id", F.col("is_logical_error").alias(f"{prefix}_is_logical_error")],
     )
-    df = df.join(label, list(KEYS))
+    df = _with(df, label)
     names = {
         source: f"{prefix}_{target}"
         for source, target in DETAIL_NAMES.items()
@@ -269,7 +278,7 @@ def read_detail(
     detail = parts[0]
     for part in parts[1:]:
         detail = detail.unionByName(part, allowMissingColumns=True)
-    df = df.join(detail, list(KEYS))
+    df = _with(df, detail)
     if not params:
         return df
     out = directories.attach(df)
@@ -298,7 +307,7 @@ def _old_detail(spark, rows, wanted, ids, names) -> DataFrame:
             continue
         df = read_files(spark, files, ids, ["shot_id", F.col(legacy).alias(target)])
         how = "inner" if "2ndbest" not in legacy else "left"
-        out = df if out is None else out.join(df, list(KEYS), how)
+        out = df if out is None else _with(out, df, how)
     return out
 
 
@@ -325,7 +334,7 @@ def read_detail_pair(
     b = b.select(*names, "batch", "shot_id", F.col("dir_id").alias("forced_dir_id"), *keep)
     a_ = a.withColumn("__c", F.to_json(F.struct(*names)))
     b_ = b.withColumn("__c", F.to_json(F.struct(*names))).drop(*names)
-    joined = a_.join(b_, ["__c", "batch", "shot_id"]).drop("__c")
+    joined = a_.join(b_.hint("merge"), ["__c", "batch", "shot_id"]).drop("__c")
     return joined
 
 
@@ -365,7 +374,7 @@ def read_stems(
         # No column list: everything the files hold.
         wanted = ["shot_id", *names] if names else None
         df = read_files(spark, _within(by_stem[stem], usable), directories.ids, wanted)
-        out = df if out is None else out.join(df, list(KEYS))
+        out = df if out is None else _with(out, df)
     return directories.attach(out)
 
 
@@ -463,5 +472,5 @@ def read_split_sources(
     out = None
     for frame, columns in frames:
         part = frame.select(*keys, *columns)
-        out = part if out is None else out.join(part, keys)
+        out = part if out is None else out.join(part.hint("merge"), keys)
     return out.dropna(subset=required)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trialsift.functions.exprs import flag, ratio
+from trialsift.session import cut_lineage
 from trialsift.sources.collect import narrow_tables
 from trialsift.sources.files import escape_glob
 
@@ -56,14 +57,11 @@ def stream_collect(
     keys = list(keys)
 
     def publish(frame: DataFrame, epoch: int) -> None:
-        frame = frame.dropDuplicates(keys)
-        frame.persist()
-        try:
-            for stem, table in narrow_tables(frame, metric, keys).items():
-                target = f"{out_dir.rstrip('/')}/{stem}/epoch={epoch}"
-                table.write.mode("overwrite").option("compression", "zstd").parquet(target)
-        finally:
-            frame.unpersist()
+        # Written once; each narrow table then reads its own columns.
+        frame = cut_lineage(frame.dropDuplicates(keys))
+        for stem, table in narrow_tables(frame, metric, keys).items():
+            target = f"{out_dir.rstrip('/')}/{stem}/epoch={epoch}"
+            table.write.mode("overwrite").option("compression", "zstd").parquet(target)
 
     writer = chunks.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:
