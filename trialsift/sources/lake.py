@@ -1,8 +1,8 @@
 """Reading trial tables from a result lake.
 
 A read turns the pruned catalog into explicit file lists, one multi-file scan per file stem, and
-joins the stems on ``(dir_id, batch, shot_id)``.  ``dir_id`` and ``batch`` come from the path of each
-file and a small table of directories; directory parameters are attached at the end as typed columns.
+joins the stems on ``(dir_id, batch, shot_id)``.  ``dir_id`` and ``batch`` come from a table of the
+files; directory parameters are attached at the end as typed columns.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from trialsift.sources.catalog import RESULT_FOLDER, common_type, literal, prune
 from trialsift.sources.files import encoded, escape_glob
 
 KEYS = ("dir_id", "batch", "shot_id")
-_BROADCAST_ROWS = 100_000  # directories, not files
+_BROADCAST_ROWS = 100_000  # directories or files
 
 # Columns of the detailed statistics and their names after reading.
 DETAIL_NAMES = {
@@ -73,26 +73,33 @@ def read_files(
 ) -> DataFrame:
     """Scan data files with their directory id and batch as columns.
 
-    Directory and batch are parsed from the path of each file; only a table of the directories is
-    joined, so the plan is the same for any number of files.
+    Directory and batch are parsed once from the path of each file, on the driver, whose file index
+    holds the same list.  Rows meet them by the name of their file in one join with a table of the
+    files, so the plan is the same for any number of files and no row's path is parsed.
     """
     # A label file may serve several directories, but is read once.
     paths = list(dict.fromkeys(r.path for r in rows))
     df = spark.read.option("recursiveFileLookup", "true").parquet(*[escape_glob(p) for p in paths])
     chosen = df.columns if columns is None else columns
-    serves = {(encoded(_FILE.search(r.path).group(1)), ids[r.circuit_dir, r.decoder_dir]) for r in rows}
-    table = spark.createDataFrame(sorted(serves), "__folder string, dir_id int")
-    file = F.col("_metadata.file_path")
-    scanned = df.select(
-        *chosen,
-        F.regexp_extract(file, _FILE.pattern, 1).alias("__folder"),
-        F.regexp_extract(file, _FILE.pattern, 2).cast("int").alias("batch"),
-    )
-    return scanned.join(_small(table, len(serves)), "__folder").drop("__folder")
+    serves: dict[str, set[int]] = {}
+    for r in rows:
+        serves.setdefault(encoded(_FILE.search(r.path).group(1)), set()).add(ids[r.circuit_dir, r.decoder_dir])
+    files = []
+    for name in df.inputFiles():
+        folder, batch = _FILE.search(name).groups()
+        # Local paths are spelled with one slash or with three; a row has one of the two.
+        spelled = {name, re.sub(r"^file:/+", "file:/", name), re.sub(r"^file:/+", "file:///", name)}
+        files += [(n, int(batch), i) for n in sorted(spelled) for i in sorted(serves[folder])]
+    table = spark.createDataFrame(files, "__file string, batch int, dir_id int")
+    scanned = df.select(*chosen, F.col("_metadata.file_path").alias("__file"))
+    # A file that the table does not name is an error, not a loss of rows.
+    lost = F.raise_error(F.concat(F.lit("a file of no known directory: "), F.col("__file"))).cast("int")
+    placed = scanned.join(_small(table, len(files)), "__file", "left")
+    return placed.withColumn("dir_id", F.coalesce("dir_id", lost)).drop("__file")
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
-    """A table of directories, broadcast while it is short; a plain join is right for any length."""
+    """A table of directories or files, broadcast while it is short; a plain join is right for any length."""
     return F.broadcast(table) if rows <= _BROADCAST_ROWS else table
 
 
