@@ -8,6 +8,7 @@ from showcase.bins import rounded
 from showcase.common import LINES, PAIRS, SHOTS, div, lines, pairs, plain, shots, table
 from trialsift.operators import stats as S
 from trialsift.plans.ranges import attach
+from trialsift.session import settle
 
 QUERIES: dict[str, tuple] = {}
 
@@ -192,12 +193,20 @@ def _inputs_sql(source: str, name: str, left: str, right: str) -> str:
       FROM e, n, tx, ty, c)"""
 
 
+def _correlation_inputs(s, d):
+    # Read by four passes each, so the join of orders and lines is written once.
+    kept, _ = settle(pairs(s, d).select("logical_gap", "forced_gap_ml", "forced_stage1_weight"))
+    return (
+        _inputs(kept, "gaps", "logical_gap", "forced_gap_ml", 200_000)
+        .unionByName(_inputs(kept, "weights", "forced_stage1_weight", "forced_gap_ml", 200))
+        .unionByName(_inputs(table(s, d, "orders"), "orders", "o_totalprice", "o_custkey", 500))
+    )
+
+
 # Tied scores of pairs, and continuous ones whose points are cut into strips again and again.
 add(
     "rank_correlation_inputs",
-    lambda s, d: _inputs(pairs(s, d), "gaps", "logical_gap", "forced_gap_ml", 200_000)
-    .unionByName(_inputs(pairs(s, d), "weights", "forced_stage1_weight", "forced_gap_ml", 200))
-    .unionByName(_inputs(table(s, d, "orders"), "orders", "o_totalprice", "o_custkey", 500)),
+    _correlation_inputs,
     f"""WITH {PAIRS}, kept AS MATERIALIZED (SELECT * FROM pairs)
       {_inputs_sql('kept', 'gaps', 'logical_gap', 'forced_gap_ml')} UNION ALL
       {_inputs_sql('kept', 'weights', 'forced_stage1_weight', 'forced_gap_ml')} UNION ALL

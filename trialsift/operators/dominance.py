@@ -15,34 +15,45 @@ to the base of about ``STRIPS``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialsift.session import cut_lineage, ship_self
 
 STRIPS = 128  # a power of two
+_FEWEST = 8  # strips of a group just over the limit
 MAX_ROWS = 200_000
 _GROUPS = 1024  # more than four times STRIPS: next groups of one group
 
 
-def count_excess(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
-    """Weighted concordant minus discordant pairs over strictly different x and y.
+def count_excess(x: np.ndarray, y: np.ndarray, w: np.ndarray, g: np.ndarray | None = None) -> int:
+    """Weighted concordant minus discordant pairs over strictly different x and y, within each group ``g``.
 
     A digit-by-digit pass over the ranks of y: at every bit, rows that share all higher bits are
-    paired with the rows of the other bit value and a smaller x, by running sums.
+    paired with the rows of the other bit value and a smaller x, by running sums.  The group stands
+    before the highest bit, so that one pass counts many groups.
     """
     if len(x) < 2:
         return 0
-    exact = int(w.sum()) ** 2 < 2**62
+    g = np.zeros(len(x), np.int64) if g is None else g
+    by_y = np.lexsort((y, g))
+    ys, gs = y[by_y], g[by_y]
+    new_g = np.r_[True, gs[1:] != gs[:-1]]
+    held = np.add.reduceat(w[by_y].astype(float), np.flatnonzero(new_g))
+    exact = float((held * held).sum()) < 2.0**61
     w = w.astype(np.int64) if exact else w.astype(object)
-    order = np.lexsort((y, x))
-    x, y, w = x[order], y[order], w[order]
-    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
-    xr = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    dense = np.cumsum(new_g | np.r_[True, ys[1:] != ys[:-1]]) - 1
+    # Ranks of y and numbers of groups, both from 0.
+    rank, group = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+    group[by_y] = np.cumsum(new_g) - 1
+    rank[by_y] = dense - dense[new_g][group[by_y]]
+    order = np.lexsort((x, group))
+    x, w, rank, group = x[order], w[order], rank[order], group[order]
+    xr = np.cumsum(np.r_[True, (x[1:] != x[:-1]) | (group[1:] != group[:-1])])
+    bits = int(rank.max()).bit_length()
     total = 0
-    for level in range(int(rank.max()).bit_length() - 1, -1, -1):
-        prefix = rank >> (level + 1)
+    for level in range(bits - 1, -1, -1):
+        prefix = (group << (bits - level - 1)) | (rank >> (level + 1))
         by_prefix = np.argsort(prefix, kind="stable")
         p, xs, ws = prefix[by_prefix], xr[by_prefix], w[by_prefix]
         bit = (rank[by_prefix] >> level) & 1
@@ -59,14 +70,38 @@ def count_excess(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
     return total
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Groups that fit a task, one task each."""
+_TOGETHER = 100_000  # rows of whole groups that are counted in one pass, unless one group holds more
+
+
+def _count_sorted(batches):
+    """Counts of groups from batches sorted by group; the last group of a batch may go on in the next one."""
+    import pyarrow as pa
+
+    def count(table: pa.Table) -> pa.RecordBatch:
+        columns = (table.column(c).to_numpy() for c in ("x", "y", "w", "g"))
+        return pa.RecordBatch.from_pydict({"excess": [str(count_excess(*columns))]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = count_excess(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"excess": [str(value)]})
+    held, rows, enough = [], 0, _TOGETHER
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        table = pa.Table.from_batches(held)
+        g = table.column("g").to_numpy()
+        first = int(np.searchsorted(g, g[-1]))  # of the group that may go on
+        if first:
+            yield count(table.slice(0, first))
+            held, rows = table.slice(first).to_batches(), rows - first
+        enough = max(_TOGETHER, 2 * rows)
+    if rows:
+        yield count(pa.Table.from_batches(held))
 
-    found = rows.groupBy("g").applyInPandas(run, "excess string")
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Groups that fit a task; a task takes its groups in the order of their numbers, many at a time."""
+    sorted_rows = rows.select("x", "y", "w", "g").repartition("g").sortWithinPartitions("g")
+    found = sorted_rows.mapInArrow(_count_sorted, "excess string")
     return found.select(F.col("excess").cast("decimal(38,0)").alias("excess"))
 
 
@@ -88,7 +123,7 @@ def _grid(cells: DataFrame) -> DataFrame:
     return lean.select(product.cast("decimal(38,0)").alias("excess"))
 
 
-def _strip(value: str, bounds: str, steps: list[int]) -> tuple[Column, Column]:
+def _strip(value: str, bounds: str) -> tuple[Column, Column]:
     """Strip of a value, in the order of values, and whether a strip holds this value alone.
 
     Two bisections count the bounds below and up to the value.  A bound that repeats is a frequent value; it
@@ -97,7 +132,7 @@ def _strip(value: str, bounds: str, steps: list[int]) -> tuple[Column, Column]:
 
     def bisect(inside) -> Column:
         return F.aggregate(
-            F.array(*[F.lit(s) for s in steps]),
+            "steps",
             F.lit(0),
             lambda at, step: F.when(inside(F.get(bounds, at + step - 1)), at + step).otherwise(at),
         )
@@ -116,12 +151,12 @@ def excess(points: DataFrame, max_rows: int = MAX_ROWS, strips: int = STRIPS) ->
     if strips < 4 or strips & (strips - 1) or 4 * strips + 4 > _GROUPS:
         raise ValueError("the number of strips must be a power of two from 4 to 128")
     ship_self(points.sparkSession)
-    steps = [1 << i for i in range(strips.bit_length() - 2, -1, -1)]
+    steps = F.array(*[F.lit(1 << i) for i in range(strips.bit_length() - 2, -1, -1)])
     shares = [i / strips for i in range(1, strips)]
     rows = points.select(F.lit(0).cast("long").alias("g"), "x", "y", F.col("w").cast("long").alias("w"))
     parts = []
     while True:
-        sizes = rows.groupBy("g").agg(F.count("*").alias("held"))
+        sizes = cut_lineage(rows.groupBy("g").agg(F.count("*").alias("held")))
         biggest = sizes.agg(F.max("held")).first()[0] or 0
         if biggest <= max_rows:
             parts.append(_small(rows))
@@ -131,11 +166,24 @@ def excess(points: DataFrame, max_rows: int = MAX_ROWS, strips: int = STRIPS) ->
             parts.append(_small(rows.join(big, "g", "left_anti")))
             rows = rows.join(big, "g", "left_semi")
         bounds = rows.groupBy("g").agg(
+            F.count("*").alias("held"),
             F.percentile_approx("x", shares, 100 * strips).alias("bx"),
             F.percentile_approx("y", shares, 100 * strips).alias("by"),
         )
-        sx, alone_x = _strip("x", "bx", steps)
-        sy, alone_y = _strip("y", "by", steps)
+        # A group is cut into as many strips as it needs: a grid of more cells than points is of no use.
+        needed = F.pow(F.lit(2), F.ceil(F.log2(2 * F.col("held") / max_rows))).cast("long")
+        bounds = bounds.withColumn(
+            "every", (strips / F.least(F.lit(strips), F.greatest(F.lit(_FEWEST), needed))).cast("int")
+        )
+        at = F.sequence(F.col("every"), F.lit(strips - 1), F.col("every"))
+        bounds = bounds.select(
+            "g",
+            F.transform(at, lambda i: F.get("bx", i - 1)).alias("bx"),
+            F.transform(at, lambda i: F.get("by", i - 1)).alias("by"),
+            F.filter(steps, lambda step: step * F.col("every") < strips).alias("steps"),
+        )
+        sx, alone_x = _strip("x", "bx")
+        sy, alone_y = _strip("y", "by")
         cut = rows.join(cut_lineage(bounds), "g").select(
             "g", "x", "y", "w", sx.alias("sx"), alone_x.alias("ax"), sy.alias("sy"), alone_y.alias("ay")
         )
