@@ -1,9 +1,11 @@
 """Token ids and files, shared passages, exact search, URLs and the pipeline against plain Python."""
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import (
     CLASHES, VOCABULARY, clashing, components, edge_docs, edge_rows, edited, no_docs, prose, shingles, words,
@@ -13,6 +15,7 @@ from tokenizers import Tokenizer
 
 from trialsift.llm import bpe, passages, pivots, range_coder, token_files, urls
 from trialsift.llm.tokenizer_files import WORD_BPE
+from trialsift.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -247,6 +250,69 @@ def test_shared_passages(spark):
     assert passages.repeated_passages(no_docs(spark)).count() == 0
 
 
+def test_places_travel_in_a_few_bytes():
+    """Places of seeds come whole out of their packs, which have half the bytes of plain rows."""
+    rng = np.random.default_rng(4)
+    words = {7 * i: rng.integers(0, 1 << 32, size=400, dtype=np.uint32) for i in range(250)}
+    words[5] = np.array([1, 2, 3], dtype=np.uint32)  # too short for a seed
+    batch = pa.RecordBatch.from_pydict({"node": list(words), "words": [w.tobytes() for w in words.values()]})
+    packs = list(passages._places(6)(iter([batch])))
+    rows = [r for b in packs for r in b.to_pylist()]
+    assert [r["bucket"] for r in rows] == list(range(6))
+    got = set()
+    for r in rows:
+        rest = passages.unpacked_hashes(r["h"], r["n"]).tolist()
+        got |= set(zip([r["bucket"]] * r["n"], rest, *(passages.unpacked(r[c], r["n"]).tolist() for c in ("node", "p"))))
+    want, kept = set(), 1 << 8 * passages.SEED_BYTES
+    for node, own in words.items():
+        for p, h in enumerate(passages.grams(own.astype(np.uint64)).view(np.uint64).tolist()):
+            want.add((h % 6, h // 6 % kept, node, p))
+    assert got == want and sum(r["n"] for r in rows) == len(want) == 250 * 397
+    assert sum(b.nbytes for b in packs) < 10 * len(want)
+
+
+def test_packs_do_not_multiply_with_partitions():
+    assert passages.bucket_count(0, 200) == 1
+    assert passages.bucket_count(8_000_000, 211) == passages.bucket_count(8_000_000, 4000) == 488
+    assert passages.bucket_count(24_000_000, 12) == 96
+    assert passages.bucket_count(10**10, 48) == 9537
+
+
+def test_anchors_travel_in_packs(spark):
+    """Links over packs are those over plain rows, whatever the number of buckets."""
+    rng = np.random.default_rng(9)
+    columns = {"node": list(range(40)), "words": [rng.integers(0, 4, size=60, dtype=np.uint32).tobytes() for _ in range(40)]}
+    batch = pa.RecordBatch.from_pydict(columns)
+
+    def anchors(buckets):
+        by_bucket = {}
+        for r in (r for b in passages._places(buckets)(iter([batch])) for r in b.to_pylist()):
+            by_bucket.setdefault(r["bucket"], []).append(r)
+        rows = [r for k in sorted(by_bucket) for r in by_bucket[k]]
+        found = []
+        for b in passages._linked(buckets)(iter([pa.RecordBatch.from_pylist(rows)])):
+            for r in b.to_pylist():
+                found += zip(*(passages.unpacked(r[c], r["n"]).tolist() for c in "xyda"))
+        return sorted(found)
+
+    plain = [(int(h), n, p) for n, w in zip(*columns.values())
+             for p, h in enumerate(passages.grams(np.frombuffer(w, dtype=np.uint32).astype(np.uint64)))]
+    h, node, p = (np.array(c) for c in zip(*sorted(plain)))
+    want = [(int(node[i]), int(node[j]), int(p[j] - p[i]), int(p[i]))
+            for u, v in passages.links(h, node, np.arange(len(h))) for i, j in zip(u, v)]
+    assert anchors(1) == anchors(13) == sorted(want)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in folders for _, _, names in os.walk(str(d)) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    written = cut_lineage(spark.range(1000).repartition(3, "id"), free=True)
+    assert not files() - before and written.count() == 1000
+
+
 # ---- search --------------------------------------------------------------------------------------
 
 

@@ -67,30 +67,107 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SLICE = 1 << 16  # rows of one output batch
+HELD = 1 << 20  # places or anchors that a task collects before it packs them
+SEED_BYTES = 5  # of a seed's hash that travel, beside the number of its bucket
+LEAST, MOST = 1 << 14, 1 << 20  # places of a bucket on average
+PER_PARTITION = 8  # buckets of a shuffle partition, if they have ``LEAST`` places
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every seed of every text with its place."""
+def packed(values: np.ndarray) -> bytes:
+    """Differences of whole numbers, byte by byte (all lowest bytes first), compressed."""
+    steps = np.diff(values.astype("<i8"), prepend=np.int64(0))
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
-    def batch_of() -> pa.RecordBatch:
-        counts = [len(g) for g in found]
-        spots = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-        columns = [np.concatenate(found), np.repeat(np.array(nodes, dtype=np.int64), counts), spots]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "p"])
 
-    found: list[np.ndarray] = []
-    nodes: list[int] = []
-    held = 0
+def unpacked(raw: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * count, codec="zstd"), dtype=np.uint8).reshape(8, count)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8")[:, 0])
+
+
+def packed_hashes(rest: np.ndarray) -> bytes:
+    """The low ``SEED_BYTES`` bytes of each."""
+    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SEED_BYTES].tobytes()
+
+
+def unpacked_hashes(raw: bytes, count: int) -> np.ndarray:
+    wide = np.zeros((count, 8), dtype=np.uint8)
+    wide[:, :SEED_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(count, SEED_BYTES)
+    return wide.view("<i8")[:, 0]
+
+
+def bucket_count(words: int, parts: int) -> int:
+    """Buckets follow the words, so that packs stay large however many tasks write them."""
+    return max(1, min(PER_PARTITION * parts, words // LEAST), -(-words // MOST))
+
+
+def bucket_bounds(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Buckets with the begin and end of their rows, which are sorted by bucket."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    yield from zip(bucket[starts].tolist(), starts.tolist(), np.append(starts[1:], len(bucket)).tolist())
+
+
+_SEEDS = "bucket int, n int, h binary, node binary, p binary"
+_ANCHORS = "bucket int, n int, x binary, y binary, d binary, a binary"
+
+
+def _packs(names: list[str], bucket: np.ndarray, columns: list[np.ndarray], encoders: list) -> Iterator[pa.RecordBatch]:
+    """One row per bucket, its columns packed; rows are sorted by bucket."""
+    rows = [
+        (number, end - start, *(encode(c[start:end]) for encode, c in zip(encoders, columns)))
+        for number, start, end in bucket_bounds(bucket)
+    ]
+    if rows:
+        kinds = [pa.int32()] * 2 + [pa.binary()] * len(columns)
+        arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "n", *names])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], decoders: list) -> Iterator[list[np.ndarray]]:
+    """Columns of one bucket after another, from packs sorted by bucket."""
+    number: int | None = None
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        for node, words in zip(*(batch.column(i).to_pylist() for i in range(2))):
-            found.append(grams(np.frombuffer(words, dtype=np.uint32).astype(np.uint64)))
-            nodes.append(node)
-            held += len(found[-1])
-            if held >= SLICE:
-                yield batch_of()
-                found, nodes, held = [], [], 0
+        buckets, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, (bucket, count) in enumerate(zip(buckets, counts)):
+            if bucket != number and held:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            number = bucket
+            held.append([decode(batch.column(j + 2)[i].as_py(), count) for j, decode in enumerate(decoders)])
     if held:
-        yield batch_of()
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _places(buckets: int):
+    """Every seed of every text with its place, packed by the bucket of the seed."""
+
+    def pack(found: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        counts = [len(g) for g in found]
+        h = np.concatenate(found).view(np.uint64)
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        node = np.repeat(np.array(nodes, dtype=np.int64), counts)[order]
+        p = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])[order]
+        rest = (h // np.uint64(buckets))[order]
+        yield from _packs(["h", "node", "p"], bucket[order], [rest, node, p], [packed_hashes, packed, packed])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        nodes: list[int] = []
+        held = 0
+        for batch in batches:
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                words = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.uint32)
+                found.append(grams(words.astype(np.uint64)))
+                nodes.append(node)
+                held += len(found[-1])
+                if held >= HELD:
+                    yield from pack(found, nodes)
+                    found, nodes, held = [], [], 0
+        if held:
+            yield from pack(found, nodes)
+
+    return run
 
 
 def links(h: np.ndarray, node: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,37 +195,38 @@ def links(h: np.ndarray, node: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.
     yield at[there], after[there]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of places sorted by seed, document and place."""
-
-    def anchors(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, node, p = (np.concatenate(c) for c in zip(*pieces))
-        for start in range(0, len(h), SLICE):
-            for x, y in links(h, node, np.arange(start, min(start + SLICE, len(h)))):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in (node[x], node[y], p[x], p[y] - p[x])], ["x", "y", "a", "d"]
-                    )
-
-    open_: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        columns = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        h = columns[0]
-        if not len(h):
-            continue
-        # The last seed of a batch may go on in the next.
-        cut = int(np.searchsorted(h, h[-1]))
-        if open_ and open_[-1][0][-1] != h[-1]:
-            open_.append(tuple(c[:cut] for c in columns))
-            yield from anchors(open_)
-            open_ = [tuple(c[cut:] for c in columns)]
-        elif open_ or cut == 0:
-            open_.append(columns)
-        else:
-            yield from anchors([tuple(c[:cut] for c in columns)])
-            open_ = [tuple(c[cut:] for c in columns)]
-    if open_:
-        yield from anchors(open_)
+def _linked(buckets: int):
+    """Anchors of packed places, packed by the bucket of their document."""
+
+    def pack(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x, y, d, a = (np.concatenate(c) for c in zip(*found))
+        bucket = (mix(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((a, d, y, x, bucket))
+        columns = [c[order] for c in (x, y, d, a)]
+        yield from _packs(["x", "y", "d", "a"], bucket[order], columns, [packed] * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+        held = 0
+        for h, node, p in _by_bucket(batches, [unpacked_hashes, unpacked, unpacked]):
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            # A seed with a single place links nothing.
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            h, node, p = h[order], node[order], p[order]
+            order = np.lexsort((p, node, h))
+            h, node, p = h[order], node[order], p[order]
+            for start in range(0, len(h), SLICE):
+                for u, v in links(h, node, np.arange(start, min(start + SLICE, len(h)))):
+                    found.append([node[u], node[v], p[v] - p[u], p[u]])
+                    held += len(u)
+                if held >= HELD:
+                    yield from pack(found)
+                    found, held = [], 0
+        if held:
+            yield from pack(found)
+
+    return run
 
 
 class Fenwick:
@@ -229,7 +307,7 @@ def diagonal_runs(path: list[tuple[int, int, int]]) -> tuple[list[int], list[int
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by (x, y, diagonal, place in x) to chains."""
+    """Packed anchors to chains; in a bucket they are taken by (x, y, diagonal, place in x)."""
     key: tuple[int, int] | None = None
     xs: list[int] = []
     ys: list[int] = []
@@ -252,13 +330,18 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["x", "y", "x0", "x1", "y0", "y1", "begins", "ends", "diagonals"],
         )
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y, d, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    for columns in _by_bucket(batches, [unpacked] * 4):
+        order = np.lexsort(columns[::-1])
+        x, y, d, a = (c[order] for c in columns)
         apart = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
         starts = np.concatenate([[0], np.flatnonzero(apart) + 1])
         lengths = np.diff(np.append(starts, len(x)))
+        # Pairs of texts whose anchors all lie within a few words have no chain to be aligned.
+        u, v, begin = x[starts], y[starts], a[starts]
+        pairs = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        reach = np.maximum.reduceat(begin + lengths - 1, pairs) - np.minimum.reduceat(begin, pairs) + K
+        wide = np.repeat(reach >= MIN_OPEN, np.diff(np.append(pairs, len(starts))))
+        starts, lengths = starts[wide], lengths[wide]
         rows = zip(*(c[starts].tolist() for c in (x, y, a, a + d)), lengths.tolist())
         for u, v, begin, other, n in rows:
             if (u, v) != key:
@@ -385,18 +468,22 @@ def shared_stretches(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             F.count("*").alias("members"),
             F.first("n_words").alias("n_words"),
             F.first("words").alias("words"),
-        )
+        ),
+        free=True,
     )
     parts = partitions(docs.sparkSession)
-    places = classes.select("node", "words").mapInArrow(_places, "h long, node long, p int")
-    by_seed = places.repartition(parts, "h").sortWithinPartitions("h", "node", "p")
-    anchors = by_seed.mapInArrow(_linked, "x long, y long, a int, d int").select("x", "y", "d", "a")
-    by_document = anchors.repartition(parts, "x").sortWithinPartitions("x", "y", "d", "a")
+    words = classes.agg(F.sum(F.col("n_words").cast("long"))).first()[0] or 0
+    buckets = bucket_count(words, parts)
+    places = classes.select("node", "words").mapInArrow(_places(buckets), _SEEDS)
+    by_seed = places.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    anchors = by_seed.mapInArrow(_linked(buckets), _ANCHORS)
+    by_document = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket")
     chained = cut_lineage(
         by_document.mapInArrow(
             _chained,
             "x long, y long, x0 int, x1 int, y0 int, y1 int, begins array<int>, ends array<int>, diagonals array<int>",
-        )
+        ),
+        free=True,
     )
     # Stretches whose words are needed: those of a document are bounded by its length.
     spans = chained.select(F.col("x").alias("node"), F.col("x0").alias("a"), F.col("x1").alias("b")).union(
@@ -407,7 +494,7 @@ def shared_stretches(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     likely = marked(plain, F.col("id"), spans.select("node"), "likely").where("likely")
     one_text = likely.join(per_node, F.col("id") == F.col("node")).select("node", "text", "spans")
     slices = one_text.mapInArrow(_sliced, "node long, a int, b int, words binary")
-    slices = cut_lineage(slices.groupBy("node", "a", "b").agg(F.first("words").alias("words")))
+    slices = cut_lineage(slices.groupBy("node", "a", "b").agg(F.first("words").alias("words")), free=True)
     x_side = slices.select(
         F.col("node").alias("x"), F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("words").alias("x_words")
     )
@@ -416,7 +503,7 @@ def shared_stretches(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     both = chained.join(x_side, ["x", "x0", "x1"]).join(y_side, ["y", "y0", "y1"])
     found = cut_lineage(
-        both.mapInArrow(_aligned, "x long, x0 int, x1 int, y long, y0 int, y1 int")
+        both.mapInArrow(_aligned, "x long, x0 int, x1 int, y long, y0 int, y1 int"), free=True
     )
     return found, classes.drop("words")
 
