@@ -341,6 +341,27 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert pivots.top_k(one, F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 40])
+def test_best_of_a_block_looks_seldom_and_is_exact(monkeypatch, scale):
+    """Bounds that exclude little cost a few evaluations of growing size, not one for every 128 rows."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-9, 10, size=(6000, 12)) * scale
+    rows[3000:3200] = rows[17]  # ties
+    ids = rng.permutation(6000)
+    pivots_ = pivots.choose_pivots(rows[:100])
+    table = pivots._distances(rows, pivots_)
+    block = pivots.Block(ids, rows, table, np.square(rows.astype(np.float64)).sum(axis=1))
+    sizes = []
+    scores = pivots.Block.scores
+    monkeypatch.setattr(pivots.Block, "scores", lambda self, at, q: (sizes.append(len(at)), scores(self, at, q))[1])
+    for i in (17, 3000, 42):
+        sizes.clear()
+        found = pivots.best_of(rows[i], int(ids[i]), table[i], -np.inf, block, 5)
+        query = rows[i].tolist()
+        want = [(sum(a * b for a, b in zip(r, query)), n) for r, n in zip(rows.tolist(), ids.tolist()) if n != ids[i]]
+        assert found == sorted(want, key=lambda f: (-f[0], f[1]))[:5] and len(sizes) <= 6
+
+
 # ---- URLs ----------------------------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ PIVOTS = 24
 SAMPLE = 2048  # rows from which pivots and first thresholds are taken
 QUERY_BLOCK = 512
 ROW_BLOCK = 8192
-STEP = 128  # candidates evaluated between two looks at the bounds
+STEP = 128  # candidates evaluated before the first look at the bounds
 
 
 def whole_numbers(vector: Column, factor: int = 256) -> Column:
@@ -62,26 +62,60 @@ def choose_pivots(rows: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return rows[chosen]
 
 
-def best_of(
-    query: np.ndarray, own: int, to_pivots: np.ndarray, floor: float, ids: np.ndarray, rows: np.ndarray,
-    table: np.ndarray, norms: np.ndarray, k: int,
-) -> list[tuple[int, int]]:
-    """Best ``k`` (score, id) of a block for a query, none below ``floor`` needed."""
-    apart = np.abs(table - to_pivots).max(axis=1)
+class Block:
+    """A block of rows, made ready once for all its queries."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, table: np.ndarray, norms: np.ndarray):
+        self.ids, self.rows, self.norms = ids, rows, norms
+        self.to_pivots = np.ascontiguousarray(table.T)  # a row for each pivot
+        self.largest = float(np.abs(rows).max(initial=0))
+        self.plain = rows.astype(np.float64)
+
+    def apart(self, to_pivots: np.ndarray) -> np.ndarray:
+        """Least distance of every row to a query, by the pivots."""
+        out = np.abs(self.to_pivots[0] - to_pivots[0])
+        step = np.empty_like(out)
+        for own, other in zip(self.to_pivots[1:], to_pivots[1:]):
+            np.subtract(own, other, out=step)
+            np.maximum(out, np.abs(step, out=step), out=out)
+        return out
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products of some rows."""
+        if self.largest * float(np.abs(query).max(initial=0)) * len(query) < 2**53:
+            return (self.plain[at] @ query.astype(np.float64)).astype(np.int64)
+        return inner(self.rows[at], query)
+
+
+def best_of(query: np.ndarray, own: int, to_pivots: np.ndarray, floor: float, block: Block, k: int) -> list[tuple[int, int]]:
+    """Best ``k`` (score, id) of a block for a query, none below ``floor`` needed.
+
+    Candidates come in the order of their bounds, each time twice as many, until no bound is left that
+    reaches the k-th score.
+    """
+    apart = block.apart(to_pivots)
     square = float(query.astype(np.float64) @ query.astype(np.float64))
-    bound = (square + norms - np.square(apart)) / 2
+    bound = (square + block.norms - np.square(apart)) / 2
     bound += 1e-6 * (1 + np.abs(bound) + np.square(apart))  # rounding errors only widen it
-    live = np.flatnonzero((bound >= floor) & (ids != own))
-    live = live[np.argsort(-bound[live], kind="stable")]
+    live = np.flatnonzero((bound >= floor) & (block.ids != own))
     found: list[tuple[int, int]] = []
-    for start in range(0, len(live), STEP):
-        worst = max(floor, found[k - 1][0]) if len(found) >= k else floor
-        if bound[live[start]] < worst:
-            break
-        some = live[start : start + STEP]
-        some = some[bound[some] >= worst]
-        found += zip(inner(rows[some], query).tolist(), ids[some].tolist())
-        found = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+    size = STEP
+    while len(live):
+        if size < len(live):
+            # The next ones by bound, in no order among themselves; all of them are evaluated.
+            cut = np.argpartition(-bound[live], size - 1)
+            some, live = live[cut[:size]], live[cut[size:]]
+        else:
+            some, live = live, live[:0]
+        scores, ids = block.scores(some, query), block.ids[some]
+        if len(some) > k:
+            # Those below the k-th score of their own are none of the best; ties stay.
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, ids = scores[scores >= least], ids[scores >= least]
+        found = sorted([*found, *zip(scores.tolist(), ids.tolist())], key=lambda f: (-f[0], f[1]))[:k]
+        if len(found) >= k:
+            live = live[bound[live] >= max(floor, found[-1][0])]
+        size *= 2
     return found
 
 
@@ -196,14 +230,14 @@ def top_k(
                 load = lambda name, kind, wide: np.frombuffer(row[name], dtype=kind).reshape(-1, wide)
                 ids, norms = load("ids", np.int64, 1)[:, 0], load("norms", np.float64, 1)[:, 0]
                 rows = load("rows", np.int64, dim)
-                table = np.frombuffer(row["table"], dtype=np.float64).reshape(len(ids), -1)
+                block = Block(ids, rows, np.frombuffer(row["table"], dtype=np.float64).reshape(len(ids), -1), norms)
                 q_ids = load("q_ids", np.int64, 1)[:, 0]
                 q_table = np.frombuffer(row["q_table"], dtype=np.float64).reshape(len(q_ids), -1)
                 floors = load("floors", np.float64, 1)[:, 0]
                 out = []
                 for i, query in enumerate(load("q_rows", np.int64, dim)):
                     own = int(q_ids[i])
-                    best = best_of(query, own, q_table[i], floors[i], ids, rows, table, norms, k)
+                    best = best_of(query, own, q_table[i], floors[i], block, k)
                     out += [(own, other, score) for score, other in best]
                 columns = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays(
