@@ -99,6 +99,58 @@ def test_coder_round_trip(kind):
         range_coder.decode_blocks([damaged], lengths[:1], [checks[0] ^ 1])
 
 
+def encoded(encoder, texts):
+    import pyarrow as pa
+
+    return [np.frombuffer(x.as_buffer(), "<u2").tolist() for run in encoder.encode(pa.array(texts, pa.string()), 2) for x in run]
+
+
+@pytest.mark.parametrize("around", ["{}", "a{}B", "9{}9", "'{}", "{}'S", "\u00df{}", "{}\u0301"])
+def test_split_words_are_those_of_the_library(tokenizer, around):
+    """Every character up to the end of Greek and Cyrillic, whether its piece is split here or in the library."""
+    texts = [around.format(chr(c)) for c in range(0x530)]
+    encoder = token_files.LibraryEncoder(open(WORD_BPE(), encoding="utf-8").read())
+    want = [w.ids + [2] for w in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(encoder, texts) == want
+
+
+def test_every_word_is_merged_once(tokenizer, monkeypatch):
+    encoder = token_files.LibraryEncoder(open(WORD_BPE(), encoding="utf-8").read())
+    asked, merge = [], encoder.merger._merge
+    monkeypatch.setattr(encoder.merger, "_merge", lambda words: (asked.extend(words.to_pylist()), merge(words))[1])
+    monkeypatch.setattr(encoder, "_encode_whole", lambda pieces: pytest.fail(f"asked whole: {pieces}"))
+    texts = ["Word, word. (WORD) word's", None, "", " \n", "\u00c9t\u00e9 \u00e9t\u00e9, word", *[prose(i, 30) for i in range(9)]]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert encoded(encoder, texts) == want and encoded(encoder, texts[::-1]) == want[::-1]
+    assert len(asked) == len(set(asked)) and {"word", "\u00e9t\u00e9", ",", "'s"} <= set(asked)
+
+
+def test_memory_of_words_and_length_of_runs_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
+    monkeypatch.setattr(token_files, "_RUN", 300)
+    monkeypatch.setattr(token_files, "_CALL", 7)
+    encoder = token_files.LibraryEncoder(open(WORD_BPE(), encoding="utf-8").read())
+    texts = [*odd_texts(), *[prose(i, 40) for i in range(30)]]
+    assert encoded(encoder, texts) == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert len(encoder.merger.known) < 200
+
+
+def test_coder_learns_whole_ids():
+    """A block of few, scattered ids: order 0 alone must learn their upper bytes."""
+    ids = np.random.default_rng(5).choice(np.array([3, 7000, 7001, 30_000, 49_000]), 4 * range_coder.BLOCK).astype(np.uint16)
+    starts = np.arange(0, len(ids), range_coder.BLOCK)
+    lengths = np.full(len(starts), range_coder.BLOCK)
+    payloads, checks = range_coder.encode_blocks(ids, starts, lengths)
+    # Blocks of different length, and one without ids, go side by side.
+    more, sums = range_coder.encode_blocks(ids, np.array([0, 5, 9, 40]), np.array([1000, 17, 0, 300]))
+    back = range_coder.decode_blocks([*payloads, *more], np.append(lengths, [1000, 17, 0, 300]), [*checks, *sums])
+    for got, s, n in zip(back, [*starts, 0, 5, 9, 40], [*lengths, 1000, 17, 0, 300]):
+        assert (got == ids[s : s + n]).all()
+    assert sum(map(len, payloads)) * 8 < 13 * len(ids)
+    with pytest.raises(ValueError):
+        range_coder.decode_blocks([payloads[0][:-3]], lengths[:1], checks[:1])
+
+
 def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT", 4096)
     docs = clashing(edge_docs(spark)).repartition(5)
