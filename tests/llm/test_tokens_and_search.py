@@ -151,6 +151,16 @@ def test_coder_learns_whole_ids():
         range_coder.decode_blocks([payloads[0][:-3]], lengths[:1], checks[:1])
 
 
+def test_no_small_group_of_blocks_is_left_over(monkeypatch):
+    monkeypatch.setattr(range_coder, "LANES", 100)
+    for n in (0, 1, 99, 104, 149, 151, 1049):
+        lengths = np.random.default_rng(n).integers(0, 50, n)
+        groups = list(range_coder._batches(lengths))
+        assert sorted(np.concatenate([*groups, []]).tolist()) == list(range(n))
+        assert all((np.diff(lengths[g]) <= 0).all() for g in groups)
+        assert n < 100 or all(60 < len(g) <= 150 for g in groups)
+
+
 def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT", 4096)
     docs = clashing(edge_docs(spark)).repartition(5)
