@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from showcase.bins import rounded
 from showcase.common import LINES, PAIRS, SHOTS, div, lines, pairs, plain, shots, table
 from trialsift.operators import stats as S
-from trialsift.plans.ranges import attach
-from trialsift.session import settle
+from trialsift.session import cut_lineage, settle
 
 QUERIES: dict[str, tuple] = {}
 
@@ -169,11 +168,12 @@ add(
 
 def _inputs(frame, name: str, left: str, right: str, max_rows: int):
     """What p-values are computed from; exact counts, and correlations to nine digits."""
-    k = S.kendall(frame, left, right, max_rows=max_rows)
-    counts = [F.col(c).cast("bigint").alias(c) for c in ("n", "excess", "x2", "x3", "x5", "y2", "y3", "y5")]
-    s = S.spearman(frame, left, right).select(F.round("rho", 9).alias("rho"))
-    own = k.select(F.lit(name).alias("name"), *counts, F.round("tau", 9).alias("tau"))
-    return attach(own, s, [])
+    counts = ["n", "excess", "x2", "x3", "x5", "y2", "y3", "y5"]
+    row = S.kendall_and_spearman(frame, left, right, max_rows)
+    row = cut_lineage(row.select(F.lit(name).alias("name"), *counts, F.round("tau", 9).alias("tau"), F.round("rho", 9).alias("rho")))
+    # Sums of cubes outgrow a bigint at some millions of ties; such a column stays a decimal, so that its number is whole.
+    found = row.first()
+    return row.withColumns({c: F.col(c).cast("bigint") for c in counts if abs(found[c]) < 2**63})
 
 
 def _inputs_sql(source: str, name: str, left: str, right: str) -> str:

@@ -201,9 +201,9 @@ def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
+def _spearman(pairs: DataFrame, buckets: int | None) -> DataFrame:
     """One row: number of finite pairs and the rank correlation, from distinct pairs."""
-    pairs, buckets = settle(_distinct_pairs(df, x, y), buckets)
+    pairs, buckets = settle(pairs, buckets)
     bounds = sketch_bounds(pairs, {"x": "x", "y": "y"}, buckets)
     ranked = pairs
     for c in ("x", "y"):
@@ -215,7 +215,7 @@ def _spearman(df: DataFrame, x: str, y: str, buckets: int | None) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
     """One row: number of pairs finite in both scores, and their rank correlation."""
-    return _spearman(df, x, y, buckets)
+    return _spearman(_distinct_pairs(df, x, y), buckets)
 
 
 def _rank_sums(x: str, y: str, weight: Column, name: str) -> list[Column]:
@@ -299,34 +299,42 @@ def spearman_matrix(
         cells = F.concat(*[both(i, j, F.col(f"p{i}_{j}_n"), _rho(f"p{i}_{j}")) for i, j in places])
         return out.unionByName(sums.select(F.explode(cells).alias("e")).select("e.*"))
     for i, j in places:
-        row = _spearman(df, scores[i], scores[j], buckets)
+        row = _spearman(_distinct_pairs(df, scores[i], scores[j]), buckets)
         cells = row.select(F.explode(both(i, j, F.col("n"), F.col("rho"))).alias("e"))
         out = out.unionByName(cells.select("e.*"))
     return out
 
 
 def _tie_terms(pairs: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    """Sums over tie groups of t(t-1), t(t-1)(t-2) and t(t-1)(2t+5), as one row."""
+    """Sums over tie groups of t(t-1), t(t-1)(t-2) and t(t-1)(2t+5), as one row of exact whole numbers."""
+    wide = "decimal(38,0)"
     t = pairs.groupBy(*keys).agg(F.sum("w").alias("t"))
     size = F.col("t").cast("decimal(18,0)")
-    two = size * (size - 1)
+    two = (size * (size - 1)).cast(wide)
 
     def total(c: Column, name: str) -> Column:
-        return F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"{prefix}{name}")
+        return F.coalesce(F.sum(c.cast(wide)), F.lit(0)).cast(wide).alias(f"{prefix}{name}")
 
-    return t.agg(
-        total(two, "2"),
-        total(two.cast("double") * (size - 2).cast("double"), "3"),
-        total(two.cast("double") * (size * 2 + 5).cast("double"), "5"),
-    )
+    return t.agg(total(two, "2"), total(two * (size - 2), "3"), total(two * (size * 2 + 5), "5"))
 
 
 def kendall(df: DataFrame, x: str, y: str, max_rows: int = dominance.MAX_ROWS) -> DataFrame:
     """Kendall's tau-b with its tie terms, as one row: ``n, excess, tau`` and the variance parts.
 
-    No task holds more than ``max_rows`` distinct pairs, whatever their number.
+    Distinct pairs are cut into pieces of at most ``max_rows``, whatever their number.  Counts are exact whole numbers.
     """
-    pairs = cut_lineage(_distinct_pairs(df, x, y))
+    return _kendall(cut_lineage(_distinct_pairs(df, x, y), free=True), max_rows)
+
+
+def kendall_and_spearman(
+    df: DataFrame, x: str, y: str, max_rows: int = dominance.MAX_ROWS, buckets: int | None = None
+) -> DataFrame:
+    """The row of :func:`kendall` with Spearman's correlation as ``rho``; distinct pairs are formed once."""
+    pairs = cut_lineage(_distinct_pairs(df, x, y), free=True)
+    return attach(_kendall(pairs, max_rows), _spearman(pairs, buckets).select("rho"), [])
+
+
+def _kendall(pairs: DataFrame, max_rows: int) -> DataFrame:
     row = pairs.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
     for table in (
         dominance.excess(pairs, max_rows),
@@ -349,9 +357,7 @@ def rank_correlations(
     df, buckets = _settled_scores(df, [c for pair in pairs for c in pair], buckets)
     out = None
     for left, right in pairs:
-        s = _spearman(df, left, right, buckets).select(F.col("rho").alias("spearman_r"))
-        k = kendall(df, left, right)
-        row = attach(k, s, []).select(
+        row = kendall_and_spearman(df, left, right, buckets=buckets).withColumnRenamed("rho", "spearman_r").select(
             F.lit(left).alias("left_score"),
             F.lit(right).alias("right_score"),
             "n",
